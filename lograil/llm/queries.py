@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lograil.llm import bpe, langid, mixing, quality, simhash
+from lograil.llm import bpe, langid, license, linededup, mixing, quality, simhash
+from lograil.llm.oracles import ORACLES
 
 
 def tokenizer_path() -> str:
@@ -33,7 +34,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), version=2)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_mask")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +45,22 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(license.document_paths(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op5_langid": op5_langid,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_license": op8_license,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
