@@ -38,4 +38,12 @@ not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or word_chars < 2 * n_w
 from m
 """
 
-ORACLES = {"op3_quality": QUALITY, "op7_line_dedup": LINE_DEDUP, "op8_license": license.oracle()}
+WARC = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+f as (select page_id, html, strlen(html) as n, sha256(html) as d from p),
+g as (select *, case when n >= 100 then min(page_id) over (partition by d) else page_id end as first from f)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+case when page_id <> first then first end as refers_to from g
+"""
+
+ORACLES = {"op6_warc": WARC, "op3_quality": QUALITY, "op7_line_dedup": LINE_DEDUP, "op8_license": license.oracle()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lograil.llm import bpe, langid, license, linededup, mixing, quality, simhash
+from lograil.llm import bpe, hnsw, langid, license, linededup, mixing, quality, simhash, warc
 from lograil.llm.oracles import ORACLES
 
 
@@ -45,6 +45,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -53,14 +57,20 @@ def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(license.document_paths(table(spark, sf_dir, "documents")))
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op5_langid": op5_langid,
+    "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_license": op8_license,
+    "op9_hnsw": op9_hnsw,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
