@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lograil.llm import bpe, hnsw, langid, license, linededup, mixing, quality, simhash, warc
+from lograil.llm import bpe, hnsw, langid, license, linededup, mixing, passages, quality, simhash, warc
 from lograil.llm.oracles import ORACLES
 
 
@@ -61,6 +61,10 @@ def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_license": op8_license,
     "op9_hnsw": op9_hnsw,
+    "op10_passages": op10_passages,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
