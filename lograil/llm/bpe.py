@@ -48,7 +48,7 @@ class Automaton:
     table_limit: entries of the transition table; word_limit: words whose encoding is kept. Both are emptied when full.
     """
 
-    def __init__(self, path: str, table_limit: int = 1 << 19, word_limit: int = 1 << 19):
+    def __init__(self, path: str, table_limit: int = 1 << 17, word_limit: int = 1 << 17):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -215,7 +215,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, max(b.num_rows, 1), 1000)):
             got = [enc.encode(t) for t in batch.column("text").to_pylist()]
             cols = [batch.column("doc_id"), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for _, d in got], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
