@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, fingerprints within 2 bits."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each group of near duplicates stays: five-word shingles, Jaccard similarity of at least 0.8."""
+    return simhash.keep_one_alike(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lograil.llm._common import bounded_batches
+
 END = "\0"  # stands for the end-of-word suffix inside labels
 
 #: Contractions, runs of letters, single numbers, runs of other characters. (Characters of the newest Unicode version may count as letters here and not in the tokenizers library, which lags.)
@@ -211,6 +213,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     tokens and the hash of nothing; whole texts are read, however long; repeated rows and null ids pass through as they
     are; other columns are not read. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

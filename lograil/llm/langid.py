@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lograil.llm._common import bounded_batches
+
 #: Buckets of hashed trigrams for each language: bounds the model at BUCKETS numbers a language.
 BUCKETS = 1 << 15
 #: Gain of log-likelihood, in units of log(number of n-grams), that a further language must bring.
@@ -65,6 +67,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
 
+    bounded_batches(labelled.sparkSession)
     kept = labelled.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).dropna()
     rows = kept.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows.column("lang").to_pylist()), key=str.encode)
@@ -126,6 +129,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     """
     names, logs = model
     shared = docs.sparkSession.sparkContext.broadcast((names, logs))
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,32 +17,62 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lograil.llm._common import components, materialize
+from lograil.llm._common import bounded_batches, components, materialize
 
 BITS = 64
+#: Sampled fingerprints of a text and the shingles in each: two texts alike by 0.8 share one with probability 0.9998.
+SAMPLES, SAMPLE = 12, 3
+#: Texts with a common sampled fingerprint that are still compared each with each.
+SMALL = 16
+_MIX = np.random.default_rng(7).integers(1, 1 << 63, (SAMPLES, 2), dtype=np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of a text, unsigned: A-Z lowered, ASCII-white-space words, shingles with repeats, strict majority; no words: 0."""
+def digests(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included: A-Z lowered, ASCII-white-space words; fewer words: the whole sequence."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(b" ".join(words), seed)
-    joined, counts, n = b" ".join(words), np.zeros(BITS, np.int64), len(words) - shingle + 1
+        return np.array([digest(b" ".join(words), seed)], np.uint64)
+    joined, n = b" ".join(words), len(words) - shingle + 1
     step = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(step) - 1
-    starts = (ends - step + 1)[:n].tolist()
-    stops = ends[shingle - 1 :].tolist()
-    for lo in range(0, n, 1 << 15):
-        part = np.array([digest(joined[s:e], seed) for s, e in zip(starts[lo : lo + (1 << 15)], stops[lo : lo + (1 << 15)], strict=True)], dtype="<u8")
+    starts = (ends - step + 1)[:n]
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; none: 0."""
+    counts = np.zeros(BITS, np.int64)
+    for lo in range(0, len(hashes), 1 << 15):
+        part = hashes[lo : lo + (1 << 15)].astype("<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """SimHash of a text, unsigned: shingles with repeats, strict majority; no words: 0."""
+    return majority(digests(text, shingle, seed))
+
+
+def sample_prints(distinct: np.ndarray) -> list[int]:
+    """SimHashes of SAMPLES consistent samples of a shingle set: its SAMPLE smallest under each of as many hash functions.
+
+    Sets of Jaccard similarity s have a given sample, and thus its SimHash, in common with probability of about s ** SAMPLE.
+    """
+    if len(distinct) <= SAMPLE:
+        return [majority(distinct)] if len(distinct) else []
+    out = []
+    for add, mult in _MIX:
+        x, y, z = distinct[np.argpartition((distinct ^ add) * mult, SAMPLE - 1)[:SAMPLE]].tolist()
+        out.append((x & y) | (y & z) | (x & z))
+    return out
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """The kept columns and `out`, the fingerprint as a signed long. A map over Arrow batches."""
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,3 +231,90 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     best = Window.partitionBy("_g").orderBy(F.col(f"_row.`{id_col}`").asc_nulls_last(), F.col(f"_row.`{text_col}`").asc_nulls_last())
     grouped = fps.join(roots, "fp", "left").withColumn("_g", F.coalesce("root", "fp"))
     return grouped.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("_row.*")
+
+
+def with_prints(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """_row (all columns), fp (fingerprint), sid (hash of the shingle set), n (its size), keys (fp and the sampled ones), sh (the set, 4 bytes a shingle)."""
+    bounded_batches(docs.sparkSession)
+    kept = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sids, sizes, keys, sets = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
+                every = digests(text, shingle)
+                distinct = np.unique(every)
+                fp = majority(every)
+                fps.append(fp)
+                sids.append(xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes()) if len(distinct) else 0)
+                sizes.append(len(distinct))
+                keys.append(np.array(list({fp, *sample_prints(distinct)}), np.uint64).view(np.int64))
+                sets.append(np.unique((distinct >> np.uint64(32)).astype("<u4")).tobytes())
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sids)]
+            cols = [batch.column(0), *signed, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["_row", "fp", "sid", "n", "keys", "sh"])
+
+    return kept.mapInArrow(run, f"_row {kept.dtypes[0][1]}, fp long, sid long, n int, keys array<long>, sh binary")
+
+
+def candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (c, p) of sids, one row each, that may be alike: sets has one row (sid, n, fp, keys) for each shingle set.
+
+    Those with a common sampled fingerprint: up to SMALL each with each, more with the smallest and the largest sid there
+    (c), so that a group of any size gives two rows a member. And those whose whole fingerprints `links` joins. Sets whose
+    sizes rule the similarity out are left out.
+    """
+    fits = F.expr(f"least(nc, np) >= {float(similarity)} * greatest(nc, np) and c <> p")
+    keyed = sets.select(F.struct("sid", "n").alias("m"), F.explode("keys").alias("k"))
+    groups = materialize(keyed.groupBy("k").agg(F.count("*").alias("size"), F.min("m").alias("low"), F.max("m").alias("high")).where("size > 1"), "groups")
+    own = materialize(keyed.join(groups, "k"), "keyed")
+    small = own.where(f"size <= {SMALL}")
+    each = small.select("k", F.col("m").alias("x")).join(small.select("k", F.col("m").alias("y")), "k").where("x.sid < y.sid")
+    star = own.where(f"size > {SMALL}").select(F.explode(F.array("low", "high")).alias("x"), F.col("m").alias("y"))
+    first = materialize(sets.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("m")), "first")
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("m").alias("y")), "a").join(first.select(F.col("fp").alias("b"), F.col("m").alias("x")), "b")
+    pairs = each.select("x", "y").unionAll(star).unionAll(near.select("x", "y"))
+    return pairs.select(F.col("x.sid").alias("c"), F.col("y.sid").alias("p"), F.col("x.n").alias("nc"), F.col("y.n").alias("np")).where(fits).select("c", "p").distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float, salt: int = 1000) -> DataFrame:
+    """The pairs (a, b) of `pairs` (c, p) whose sets (sid, sh) have at least the given Jaccard similarity.
+
+    A c with more than `salt` pairs is dealt over as many keys as it takes; its set goes to each once.
+    """
+    own = materialize(pairs, "pairs")
+    parts = own.groupBy("c").agg(F.ceil(F.count("*") / salt).cast("int").alias("parts"))
+    named = own.select(F.explode(F.array("c", "p")).alias("sid")).distinct()
+    kept = materialize(sets.join(named, "sid", "left_semi").groupBy("sid").agg(F.first("sh").alias("sh")), "sets")
+    centre = kept.join(parts, kept.sid == parts.c).select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.col("sh").alias("x"))
+    dealt = own.join(parts, "c").select("c", "p", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int").alias("s"))
+    both = dealt.join(centre, ["c", "s"]).join(kept.select(F.col("sid").alias("p"), F.col("sh").alias("y")), "p").select("c", "p", "x", "y")
+    bounded_batches(pairs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).rename_columns(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def keep_one_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near duplicates, by the Jaccard similarity of their shingle sets; all columns are kept.
+
+    A whole text's fingerprint lies some 10 bits from that of a text alike by 0.8, where no pigeonhole prunes. So SimHashes
+    of consistent samples of the shingles are compared too, for equality, and every candidate is verified on the whole sets.
+    Of each component of verified links the row with the smallest id (nulls last, then the smallest text) stays. Texts
+    without words have the empty set and are copies of each other; texts of fewer words than a shingle are alike if equal;
+    equal sets meet before pairs are formed; an empty table gives no rows.
+    """
+    rows = materialize(with_prints(docs, text_col, shingle), "rows")
+    sets = materialize(rows.groupBy("sid").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "prints")
+    roots = components(alike(candidates(sets, similarity), rows.select("sid", "sh"), similarity))
+    grouped = rows.select("_row", "sid").join(roots.withColumnsRenamed({"node": "sid"}), "sid", "left").withColumn("_g", F.coalesce("root", "sid"))
+    best = Window.partitionBy("_g").orderBy(F.col(f"_row.`{id_col}`").asc_nulls_last(), F.col(f"_row.`{text_col}`").asc_nulls_last())
+    return grouped.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("_row.*")

@@ -70,6 +70,33 @@ def test_stars_keep_all_links(spark):
     assert {r["root"] for r in found} == {min(fps)} and len(found) == len(fps)
 
 
+def test_keep_one_alike_equals_brute_force(spark):
+    rng = random.Random(8)
+    base = [words(rng, 200).split() for _ in range(30)]
+    passage = words(rng, 150)
+    texts = [*ODD, "a b c", "A b  c", "a b d", *map(" ".join, base)]
+    for changed in (1, 2, 3, 4, 8):  # alike by 0.95 down to 0.66
+        for b in base:
+            own = list(b)
+            for at in rng.sample(range(0, 200, 6), changed):
+                own[at] = "new" + str(rng.random())
+            texts.append(" ".join(own))
+    texts += [passage + " " + words(rng, n) for n in (5, 10, 20, 60, 90, 120) for _ in range(12)]  # more than SMALL share the passage
+
+    def sets(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    own = [sets(t) for t in texts]
+    label = list(range(len(texts)))
+    like = [[j for j in range(len(texts)) if own[i] == own[j] or len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])] for i in range(len(texts))]
+    for _ in texts:
+        label = [min(label[j] for j in like[i]) for i in range(len(texts))]
+    got = simhash.keep_one_alike(docs(spark, texts).withColumn("_row", F.lit(1)).withColumn("keys", F.lit("x")))
+    assert "keys" in got.columns and "_row" in got.columns
+    assert sorted(r["doc_id"] for r in got.where("doc_id is not null").collect()) == sorted(set(label))
+
+
 def test_quality_and_ablation(spark):
     texts = [*ODD, " ".join(f"word{i}" for i in range(80)), "a b c " * 40, "same line here\n" * 30]
     rows = {r["doc_id"]: r for r in quality.apply_policy(quality.ledger(docs(spark, texts)), 2).collect()}
@@ -150,4 +177,4 @@ def test_passages(spark):
 def test_empty_tables(spark):
     none = docs(spark, []).limit(0)
     assert simhash.near_duplicates(none).isEmpty() and mixing.mix(none).isEmpty() and langid.identify(none).isEmpty()
-    assert linededup.dedup_lines(none).isEmpty() and passages.near_passages(none).isEmpty() and quality.ledger(none).isEmpty() and bpe.encode(none, PATH).isEmpty()
+    assert linededup.dedup_lines(none).isEmpty() and simhash.keep_one_alike(none).isEmpty() and passages.near_passages(none).isEmpty() and quality.ledger(none).isEmpty() and bpe.encode(none, PATH).isEmpty()
