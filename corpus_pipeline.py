@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokenize", tokenize),
 ]
 
-#: Language ID, SimHash and BPE are beyond SQL; tests hold run() against a brute-force version.
+#: Language ID, SimHash and BPE are beyond SQL; each stage's operator has its own test, run() as a whole has none yet.
 ORACLE_SQL: str | None = None
 
 
