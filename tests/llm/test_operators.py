@@ -70,7 +70,10 @@ def test_stars_keep_all_links(spark):
     assert {r["root"] for r in found} == {min(fps)} and len(found) == len(fps)
 
 
-def test_keep_one_alike_equals_brute_force(spark):
+@pytest.mark.parametrize(("small", "levels"), [(16, 3), (2, 1)])  # as in production; large groups in blocks alone
+def test_keep_one_alike_equals_brute_force(spark, monkeypatch, small, levels):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "LEVELS", simhash.LEVELS[:levels])
     rng = random.Random(8)
     base = [words(rng, 200).split() for _ in range(30)]
     passage = words(rng, 150)
