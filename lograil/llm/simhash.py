@@ -295,16 +295,16 @@ def by_keys(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     small, large = own.where(f"size <= {SMALL}"), own.where(f"size > {SMALL}")
     each = small.select("k", F.col("m").alias("x")).join(small.select("k", F.col("m").alias("y")), "k").where("x.sid < y.sid").select("x", "y")
     star = large.select(F.explode(F.array("low", "high")).alias("x"), F.col("m").alias("y"))
-    return each.unionAll(star), large.select("k", "m", "size")
+    return each.unionAll(star), large.select("k", "m")
 
 
 def unsettled(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (k, m, size) of the groups whose members are not all one component of the links (a, b) found; m has the new roots.
+    """Rows of large (k, m, any others) of the groups whose members are not all one component of the links (a, b) found; m has the new roots.
 
     Where all are one component no further link changes anything.
     """
     roots = components(found)
-    named = large.join(roots, F.col("m.sid") == F.col("node"), "left").select("k", F.struct(F.coalesce("root", "m.sid").alias("root"), "m.sid", "m.n").alias("m"), "size")
+    named = large.join(roots, F.col("m.sid") == F.col("node"), "left").withColumn("m", F.struct(F.coalesce("root", "m.sid").alias("root"), "m.sid", "m.n")).drop("node", "root")
     named = materialize(named, "named")
     mixed = named.groupBy("k").agg(F.min("m.root").alias("lo"), F.max("m.root").alias("hi")).where("lo <> hi").select("k")
     return materialize(named.join(mixed, "k", "left_semi"), "unsettled")
@@ -313,13 +313,17 @@ def unsettled(large: DataFrame, found: DataFrame) -> DataFrame:
 def by_blocks(large: DataFrame, found: DataFrame, verify) -> DataFrame:
     """All links (a, b): those found, and what comparing blocks of about BLOCK members with their whole group adds.
 
-    A group has as many blocks as its size takes, one a round, until its members are one component or no block is left;
-    so every two members of different components are compared, and a round's rows are linear in the groups.
+    Two members of different components are not both of a group's largest one, so only those outside it take their turn
+    in a block. There is one block a round, until the group is one component or no block is left; so every two members of
+    different components are compared, and a round's rows are linear in the groups.
     """
-    block, rest = 0, unsettled(large, found)
-    parts = F.ceil(F.col("size") / BLOCK)
-    while not (rest := rest.where(parts > block)).isEmpty():
-        centres = rest.where(F.pmod(F.xxhash64("m.sid"), parts) == block).select("k", F.col("m").alias("x"))
+    rest = unsettled(large, found)
+    shares = rest.groupBy("k", F.col("m.root").alias("root")).agg(F.count("*").alias("c"))
+    most = shares.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.ceil((F.sum("c") - F.max("c")) / BLOCK).alias("blocks"))
+    turn = F.when(F.col("m.root") != F.col("most"), F.pmod(F.xxhash64("m.sid"), F.col("blocks")))
+    rest, block = materialize(rest.join(most, "k").select("k", "m", "blocks", turn.alias("turn")), "blocks"), 0
+    while not (rest := rest.where(F.col("blocks") > block)).isEmpty():
+        centres = rest.where(F.col("turn") == block).select("k", F.col("m").alias("x"))
         added = verify(centres.join(rest.select("k", F.col("m").alias("y")), "k").select("x", "y"))
         found = found.unionAll(added)
         block, rest = block + 1, unsettled(rest, found)
