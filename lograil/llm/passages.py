@@ -6,9 +6,11 @@ c. The windows are the nodes of the Cartesian tree of the hashes that are wide e
 Texts with a window of the same minimum may share a passage. Where the windows that two texts share under enough hash
 functions overlap, the passages are aligned and verified: five-word shingles, Jaccard similarity of at least 0.8.
 
-Equal texts are one from the start. Texts that share a minimum are linked to the one before them in order of their hash
-and to the first, not each to each; within a batch of documents already before the shuffle, so a passage that a third of
-all documents holds is one row for each batch.
+Equal texts are one from the start. Texts that share a minimum are first linked to the one before them in order of their
+hash and to the first, not each to each; within a batch of documents already before the shuffle, so a passage that a third
+of all documents holds is one row for each batch. Minima whose texts this leaves in several components go on to pairs of
+minima of overlapping windows, and what is open there is compared in blocks, until no two texts of different components
+share such a pair (`settled`).
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lograil.llm._common import components, materialize
+from lograil.llm._common import bounded_batches, components, materialize
+from lograil.llm.simhash import by_blocks, by_keys
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 WIDTH = WORDS - SHINGLE + 1
@@ -66,13 +69,13 @@ def compact_windows(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.array([los, at, his], np.int64) - [[0], [0], [1]]
 
 
-def _chained(key: np.ndarray, th: np.ndarray, span: np.ndarray) -> list[np.ndarray]:
-    """Rows key, th, span, pth, pspan, linked: the first text of each key as a member, the others as links."""
+def _chained(key: np.ndarray, th: np.ndarray) -> list[np.ndarray]:
+    """Rows key, th, pth, linked: the first text of each key as a member, the others as links."""
     order = np.lexsort((th, key))
-    key, th, span = key[order], th[order], span[order]
+    key, th = key[order], th[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (th[1:] != th[:-1])
-    key, th, span = key[fresh], th[fresh], span[fresh]
+    key, th = key[fresh], th[fresh]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(~first)
@@ -80,15 +83,15 @@ def _chained(key: np.ndarray, th: np.ndarray, span: np.ndarray) -> list[np.ndarr
     more = head != at - 1
     take = np.concatenate((np.flatnonzero(first), at, at[more]))
     back = np.concatenate((np.flatnonzero(first), at - 1, head[more]))
-    return [key[take], th[take], span[take], th[back], span[back], np.arange(len(take)) >= first.sum()]
+    return [key[take], th[take], th[back], np.arange(len(take)) >= first.sum()]
 
 
 def windows(docs: DataFrame, text_col: str) -> DataFrame:
-    """key, th (hash of the text), span (c and the reach to both sides), pth, pspan, linked; see `_chained`."""
+    """key, th (hash of the text), pth, linked; see `_chained`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ths, spans = [], [], []
+            keys, ths = [], []
             for th, text in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)).items():
                 s = shingles(text)
                 if len(s) < WIDTH:
@@ -98,38 +101,105 @@ def windows(docs: DataFrame, text_col: str) -> DataFrame:
                     w = compact_windows(h)
                     keys.append(h[w[1]])
                     ths.append((th, w.shape[1]))
-                    spans.append(w)
             if keys:
-                lo, c, hi = np.concatenate(spans, axis=1)
                 th = np.repeat(np.array([t for t, _ in ths], np.int64), [n for _, n in ths])
-                cells = _chained(np.concatenate(keys).view(np.int64), th, (c << 32) | (np.minimum(c - lo, 0xFFFF) << 16) | np.minimum(hi - c, 0xFFFF))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["key", "th", "span", "pth", "pspan", "linked"])
+                cells = _chained(np.concatenate(keys).view(np.int64), th)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["key", "th", "pth", "linked"])
 
     rows = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, th long, span long, pth long, pspan long, linked boolean")
+    return rows.mapInArrow(run, "key long, th long, pth long, linked boolean")
 
 
-def candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """a, b (a < b) and the links [span in a, span in b, hash function] of texts that agree under enough functions."""
+def agreeing(key: str) -> Column:
+    """Number of hash functions of a group's keys."""
+    return F.bit_count(F.bit_or(F.expr(f"shiftleft(1, cast({key} & 7 as int))")))
+
+
+def chain(docs: DataFrame, text_col: str) -> DataFrame:
+    """Links key, th, pth of texts that share a minimum: those before and the first ones, which name all texts of the key."""
     own = Window.partitionBy("key").orderBy("linked", "th")
-    link = lambda th, span: F.struct(th.alias("pth"), span.alias("pspan"))
-    near = F.when(F.col("linked"), F.array(link(F.col("pth"), F.col("pspan")))).otherwise(F.array(link(F.col("before.th"), F.col("before.span")), link(F.col("head.th"), F.col("head.span"))))
-    here = F.struct("th", "span")
-    seen = windows(docs, text_col).withColumns({"before": F.lag(here).over(own), "head": F.first(here).over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    near = F.when(F.col("linked"), F.array("pth")).otherwise(F.array("before", "head"))
+    seen = windows(docs, text_col).withColumns({"before": F.lag("th").over(own), "head": F.first("th").over(own.rowsBetween(Window.unboundedPreceding, 0))})
     some = seen.where("linked or before is not null")
-    links = some.select("key", "th", "span", F.explode(F.array_distinct(near)).alias("p")).select("key", "th", "span", "p.*").where("th <> pth")
-    low = F.col("th") < F.col("pth")
-    side = links.select(F.least("th", "pth").alias("a"), F.greatest("th", "pth").alias("b"), F.struct(F.when(low, F.col("span")).otherwise(F.col("pspan")).alias("x"), F.when(low, F.col("pspan")).otherwise(F.col("span")).alias("y"), F.col("key").bitwiseAND(F.lit(7)).cast("int").alias("f")).alias("l"))
-    return side.groupBy("a", "b").agg(F.collect_set("l").alias("links")).where(F.size(F.array_distinct("links.f")) >= ENOUGH)
+    return materialize(some.select("key", "th", F.explode(F.array_distinct(near)).alias("pth")).where("th <> pth"), "chain")
+
+
+def candidates(links: DataFrame) -> DataFrame:
+    """a, b (a < b): linked texts that agree under enough functions."""
+    return links.groupBy(F.least("th", "pth").alias("a"), F.greatest("th", "pth").alias("b")).agg(agreeing("key").alias("n")).where(F.col("n") >= ENOUGH).select("a", "b")
+
+
+def opened(links: DataFrame, found: DataFrame) -> DataFrame:
+    """root, th, keys: texts, and their minima that texts of several components share, under enough functions."""
+    members = links.select("key", F.explode(F.array("th", "pth")).alias("th")).distinct()
+    named = materialize(members.join(components(found).withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")), "members")
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return named.join(mixed, "key", "left_semi").groupBy("th").agg(F.first("root").alias("root"), F.collect_list("key").alias("keys"), agreeing("key").alias("n")).where(F.col("n") >= ENOUGH).select("root", "th", "keys")
+
+
+def paired_keys(text: str | None, keys: np.ndarray) -> np.ndarray:
+    """Hashes of each two of the given minima, of different functions, whose windows overlap by a passage's width."""
+    s = shingles(text)
+    every = []
+    for f in range(HASHES):
+        h = minima(s, f)
+        lo, c, hi = compact_windows(h)
+        kept = np.isin(h[c], keys)
+        every.append((h[c][kept], lo[kept], hi[kept]))
+    out = [np.empty(0, np.uint64)]
+    for f, (k, lo, hi) in enumerate(every):
+        for k2, lo2, hi2 in every[f + 1 :]:
+            step = max(1, (1 << 20) // max(len(k2), 1))
+            for at in range(0, len(k), step):
+                part = slice(at, at + step)
+                i, j = np.nonzero(np.minimum(hi[part, None], hi2) - np.maximum(lo[part, None], lo2) + 1 >= WIDTH)
+                out.append(np.unique((k[part][i] * _MIX[0, 0]) ^ (k2[j] * _MIX[1, 1])))
+    return np.unique(np.concatenate(out))
+
+
+def with_paired_keys(rows: DataFrame) -> DataFrame:
+    """k, m: the paired keys of rows (root, th, keys, text), m as of `simhash.by_keys`."""
+    bounded_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
+            found = [paired_keys(t, np.array(k, np.int64).view(np.uint64)).view(np.int64) for k, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["root", "th", "ks"])
+
+    each = rows.select("root", "th", "keys", "text").mapInArrow(run, "root long, th long, ks array<long>")
+    return each.select(F.explode("ks").alias("k"), F.struct("root", F.col("th").alias("sid"), F.lit(1).alias("n")).alias("m"))
+
 
+def settled(docs: DataFrame, text_col: str) -> DataFrame:
+    """a, b and the passages of pairs of texts, whose components are those of all pairs that agree under enough functions at a place.
 
-def overlaps(spans: list[int], functions: list[int]) -> np.ndarray:
-    """Which of a text's shingles lie in windows of enough hash functions, up to the last window's end."""
-    masks = np.zeros((HASHES, max((x >> 32) + (x & 0xFFFF) for x in spans) + 1), bool)
-    for span, f in zip(spans, functions, strict=True):
-        c = span >> 32
-        masks[f, max(0, c - ((span >> 16) & 0xFFFF)) : c + (span & 0xFFFF) + 1] = True
-    return masks.sum(axis=0) >= ENOUGH
+    The chain settles most minima. Where it leaves several components, texts are regrouped by paired minima: small groups
+    meet each with each, large ones in blocks until they are one component or all members of different ones were compared.
+    """
+    links = chain(docs, text_col)
+    tried = [materialize(candidates(links), "pairs")]
+    found = [verified(docs, text_col, tried[0])]
+    rest = materialize(opened(links, found[0].select("a", "b")), "opened")
+    if rest.isEmpty():
+        return found[0]
+    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    texts = materialize(texts.join(rest.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "open_texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        new = pairs.where("x.root <> y.root").select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+        for old in tried:
+            new = new.join(old, ["a", "b"], "left_anti")
+        tried.append(materialize(new, "pairs"))
+        found.append(aligned(tried[-1], texts))
+        return found[-1].select("a", "b")
+
+    pairs, large = by_keys(with_paired_keys(rest.join(texts, "th")))
+    first = found[0].select("a", "b")
+    by_blocks(large, first.unionAll(verify(pairs)), verify)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionAll(more)
+    return every
 
 
 def align(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
@@ -178,12 +248,14 @@ def align(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> l
     return sorted(found)
 
 
-def verified(docs: DataFrame, text_col: str) -> DataFrame:
-    """a, b and the passages of each pair of texts that has any."""
-    pairs = materialize(candidates(docs, text_col), "pairs")
+def verified(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+    """a, b and the passages of each of the pairs (a, b) of texts that has any."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
     texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    texts = materialize(texts.join(nodes, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "texts")
+    return aligned(pairs, materialize(texts.join(nodes, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "texts"))
+
+
+def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(texts.withColumnsRenamed({"th": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"th": "b", "text": "tb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,17 +271,16 @@ def verified(docs: DataFrame, text_col: str) -> DataFrame:
 
         for batch in batches:
             cells: list[list] = [[], [], []]
-            for a, b, ta, tb, links in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb", "links")], strict=True):
-                f = [x["f"] for x in links]
-                in_a, in_b = overlaps([x["x"] for x in links], f), overlaps([x["y"] for x in links], f)
-                got = align(hashed(a, ta), hashed(b, tb), in_a, in_b) if min(in_a.sum(), in_b.sum()) >= WIDTH else []
+            for a, b, ta, tb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")], strict=True):
+                x, y = hashed(a, ta), hashed(b, tb)
+                got = align(x, y, np.ones(len(x), bool), np.ones(len(y), bool))
                 if got:
-                    for cell, x in zip(cells, (a, b, [dict(zip(("a_start", "a_end", "b_start", "b_end", "similarity"), g, strict=True)) for g in got]), strict=True):
-                        cell.append(x)
+                    for cell, v in zip(cells, (a, b, [dict(zip(("a_start", "a_end", "b_start", "b_end", "similarity"), g, strict=True)) for g in got]), strict=True):
+                        cell.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), kind), strict=True)], names=["a", "b", "passages"])
 
     kind = "array<struct<a_start:long,a_end:long,b_start:long,b_end:long,similarity:double>>"
-    return materialize(both.select("a", "b", "ta", "tb", "links").mapInArrow(run, f"a long, b long, passages {kind}"), "verified")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, f"a long, b long, passages {kind}"), "verified")
 
 
 def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,7 +293,7 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeat an id and a text are as many rows; null ids are never a class_id unless all of a class are null; other columns
     are not read; an empty table gives no rows.
     """
-    found = verified(docs, text_col)
+    found = settled(docs, text_col)
     rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), (F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")) >= WORDS).alias("long")), "rows")
     texts = materialize(rows.where("long").groupBy("th").agg(F.min("doc_id").alias("first")), "firsts")
     linked = components(found.select("a", "b")).withColumnsRenamed({"node": "th"}).join(texts, "th")

@@ -177,6 +177,23 @@ def test_passages(spark):
     assert [got[i]["class_id"] for i in range(8)] == [0, 0, 2, 0, 0, 5, 6, 7] and got[4]["copy_of"] == 3 and got[1]["n_passages"] >= 1
 
 
+def test_passages_of_a_common_frame_equal_brute_force(spark):
+    rng = random.Random(12)
+    frame, texts = words(rng, 42), []
+    for _ in range(60):  # families of two, alike by over 0.8; different families share only the frame
+        own = words(rng, 14).split()
+        texts += [frame + " " + " ".join(own), frame + " " + " ".join([*own[:-1], "other"])]
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                label[i] = min(label[i], label[j])
+    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == label and len(set(label)) == 60
+
+
 def test_empty_tables(spark):
     none = docs(spark, []).limit(0)
     assert simhash.near_duplicates(none).isEmpty() and mixing.mix(none).isEmpty() and langid.identify(none).isEmpty()
