@@ -202,50 +202,72 @@ def settled(docs: DataFrame, text_col: str) -> DataFrame:
     return every
 
 
-def align(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+def stretch(hit: np.ndarray) -> tuple[int, int, int]:
+    """Start, end and score of the stretch with the most hits over twice its misses."""
+    total = np.concatenate(([0], np.cumsum(np.where(hit, 1, -2))))
+    end = int((total - np.minimum.accumulate(total)).argmax())
+    start = int(total[: end + 1].argmin())
+    return start, end, int(total[end] - total[start])
+
+
+def places(values: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of b, each apart from the others, that consist mostly of the given values (sorted)."""
+    hit = values[np.searchsorted(values, b).clip(max=len(values) - 1)] == b
+    found, todo = [], [(0, len(b))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo >= WIDTH:
+            start, end, score = stretch(hit[lo:hi])
+            if score >= WIDTH // 2:
+                found.append((lo + start, lo + end))
+                todo += [(lo, lo + start), (lo + end, hi)]
+    return found
+
+
+def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate passages of two shingle sequences: first and last word in each, and the similarity.
 
-    Shingles of b are looked up in a inside the given places; stretches with many more common than other shingles are
-    verified by the Jaccard similarity of their shingle sets.
+    Stretches of a with many more shingles of b than others are verified by the Jaccard similarity of their shingle sets
+    against every place of b that consists of theirs, so a passage that stands at several places is found at each.
     """
-    at_b = np.flatnonzero(in_b)
-    a = a[: len(in_a)]
-    values, where = np.unique(b[at_b], return_index=True)
+    values, where = np.unique(b, return_index=True)
     if not len(values):
         return []
     spot = np.searchsorted(values, a).clip(max=len(values) - 1)
-    common = in_a & (values[spot] == a)
-    place = np.where(common, at_b[where[spot]], -1)
+    common = values[spot] == a
+    place = np.where(common, where[spot], -1)
     found, todo = [], [(0, len(a))]
     while todo:
         lo, hi = todo.pop()
         if hi - lo < WIDTH:
             continue
-        total = np.concatenate(([0], np.cumsum(np.where(common[lo:hi], 1, -2))))
-        low = np.minimum.accumulate(total)
-        end = int((total - low).argmax())
-        start = int(total[: end + 1].argmin())
-        if total[end] - total[start] < WIDTH // 2:
+        start, end, score = stretch(common[lo:hi])
+        if score < WIDTH // 2:
             continue
         i, j = lo + start, lo + end  # passage a[i:j]
         spots = place[i:j][common[i:j]]
         k, m = int(np.sort(spots)[len(spots) // 2]), j - i
         near = spots[np.abs(spots - k) <= m]
-        p, q = int(near.min()), int(near.max()) + 1
-        sa, sb = np.unique(a[i:j]), np.unique(b[p:q])
-        both = len(np.intersect1d(sa, sb, assume_unique=True))
-        jaccard = both / (len(sa) + len(sb) - both)
-        if j - i >= WIDTH and q - p >= WIDTH and jaccard >= SIMILARITY:
-            found.append((i, j + SHINGLE - 2, p, q + SHINGLE - 2, round(jaccard, 6)))
+        sa, alike = np.unique(a[i:j]), []
+        for p, q in [*places(sa, b), (int(near.min()), int(near.max()) + 1)]:
+            if q - p < WIDTH or any(p < end and start < q for _, _, start, end, _ in alike):
+                continue
+            sb = np.unique(b[p:q])
+            both = len(np.intersect1d(sa, sb, assume_unique=True))
+            jaccard = both / (len(sa) + len(sb) - both)
+            if m >= WIDTH and jaccard >= SIMILARITY:
+                alike.append((i, j, p, q, round(jaccard, 6)))
+        if alike:
+            found += alike
             todo += [(lo, i), (j, hi)]
-        elif j - i > WIDTH:  # parts of it may still be alike, such as two passages that moved apart
+        elif m > WIDTH:  # parts of it may still be alike, such as two passages that moved apart
             jump = np.abs(np.diff(np.where(common[i:j], place[i:j] - np.arange(i, j), np.iinfo(np.int64).min // 4)))
             jump[~(common[i + 1 : j] & common[i : j - 1])] = 0
             cut = i + 1 + int(jump.argmax()) if jump.max() > SHINGLE else (i + j) // 2
             todo += [(i, cut), (cut, j), (lo, i), (j, hi)]
         else:
             todo += [(lo, i), (j, hi)]
-    return sorted(found)
+    return sorted((i, j + SHINGLE - 2, p, q + SHINGLE - 2, x) for i, j, p, q, x in found)
 
 
 def verified(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
@@ -273,7 +295,7 @@ def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             cells: list[list] = [[], [], []]
             for a, b, ta, tb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")], strict=True):
                 x, y = hashed(a, ta), hashed(b, tb)
-                got = align(x, y, np.ones(len(x), bool), np.ones(len(y), bool))
+                got = sorted({*align(x, y), *((p, q, i, j, v) for i, j, p, q, v in align(y, x))})
                 if got:
                     for cell, v in zip(cells, (a, b, [dict(zip(("a_start", "a_end", "b_start", "b_end", "similarity"), g, strict=True)) for g in got]), strict=True):
                         cell.append(v)

@@ -177,6 +177,17 @@ def test_passages(spark):
     assert [got[i]["class_id"] for i in range(8)] == [0, 0, 2, 0, 0, 5, 6, 7] and got[4]["copy_of"] == 3 and got[1]["n_passages"] >= 1
 
 
+def test_passages_that_a_text_repeats(spark):
+    rng = random.Random(9)
+    p, q = words(rng, 80), words(rng, 60)
+    head = " ".join(q.split()[:30])  # stands alone too, before the whole passage
+    texts = [p + " " + words(rng, 200) + " " + p + " " + words(rng, 90), words(rng, 40) + " " + p, head + " " + words(rng, 70) + " " + q, words(rng, 20) + " " + q + " " + words(rng, 30) + " " + q]
+    got = {r["doc_id"]: r for r in passages.near_passages(docs(spark, texts)).collect()}
+    spans = lambda i: {(x["start"], x["end"]) for x in got[i]["passages"]}
+    assert spans(0) == {(0, 79), (280, 359)} and spans(1) == {(40, 119)}
+    assert spans(2) == {(100, 159)} and spans(3) == {(20, 79), (110, 169)}
+
+
 def test_passages_of_a_common_frame_equal_brute_force(spark):
     rng = random.Random(12)
     frame, texts = words(rng, 42), []
