@@ -615,6 +615,24 @@ def q8_dual_pack(docs, asked):
     return retrieve.dual_pack(retrieve.bm25(docs, asked, 3, "knowledge"), retrieve.bm25(docs, asked, 5, "case"))
 
 
+_BM25_ALL, _PACK_ALL = _BM25.replace("from queries", "from all_queries"), _PACK.replace("from queries", "from all_queries")
+
+
+@query("corpus", "all_queries", sql=f"with {_BM25_ALL} select query_id, source_id, score, row_number() over (partition by query_id order by score desc, source_id) as rank from hits qualify rank <= 10")
+def q4_bm25_all_queries(docs, asked):
+    return q4_bm25(docs, asked)
+
+
+@query("corpus", "all_queries", sql=f"with {_BM25_ALL}, t as (select *, row_number() over (partition by query_id order by score desc, source_id) as rank from hits qualify rank <= 20), r as (select query_id, source_id, rank, 0 as route from t union all select query_id, source_id, 21 - rank, 1 from t where query_id % 2 = 0), f as (select query_id, source_id, round(sum(1.0 / (60 + rank)), 9) as score from r group by all) select query_id, source_id, score, row_number() over (partition by query_id order by score desc, source_id) as rank, query_id % 2 = 0 as fused from f qualify rank <= 10")
+def q7_hybrid_all_queries(docs, asked):
+    return q7_hybrid(docs, asked)
+
+
+@query("corpus", "all_queries", sql=f"with {_PACK_ALL}, t as (select *, row_number() over (partition by query_id, source_type order by score desc, source_id) as rank from hits) select query_id, source_id, rank, case source_type when 'knowledge' then 0 else 1 end as route, row_number() over (partition by query_id order by case source_type when 'knowledge' then 0 else 1 end, rank) as place from t where rank <= case source_type when 'knowledge' then 3 else 5 end")
+def q8_dual_pack_all_queries(docs, asked):
+    return q8_dual_pack(docs, asked)
+
+
 @query("calls", sql="select case_id as query_id, source_id, text as content, step as rank from calls qualify row_number() over (partition by case_id, case when source_id <> '' then source_id else substr(text, 1, 50) end order by case when step < 4 then 0 else 1 end, step) = 1")
 def q9_merge_evidence(rows):
     e = rows.select(F.col("case_id").alias("query_id"), "source_id", F.col("text").alias("content"), F.col("step").alias("rank"))
