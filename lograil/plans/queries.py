@@ -113,6 +113,12 @@ def s13_dead_letter_envelope(logs):
     return out.select("event_id", "reason", "stage", "error_message", "message", F.array_join("tags", ",").alias("tags"), "status", "retry_count")
 
 
+@query("access_log", sql="select event_id, 'bad' as reason, 'rules' as stage, path as error_message, substr(path, 1, 2048) as message, 'dlq,rules' as tags, 'pending' as status, 0 as retry_count from access_log")
+def s13_all_dead_letter_envelopes(logs):
+    out = normalize.dead_letter(logs.withColumn("err", F.col("path")), "path", "bad", "rules", "err")
+    return out.select("event_id", "reason", "stage", "error_message", "message", F.array_join("tags", ",").alias("tags"), "status", "retry_count")
+
+
 @query("access_log", sql="select event_id, ip, path, method, cast(status as varchar) as status, user_agent, 'unknown' as attack_type from access_log")
 def p20_flatten_event(logs):
     message = F.to_json(F.struct("event_id", F.struct("ip", "path", "method", "status", "user_agent").alias("log_context")))
@@ -252,6 +258,11 @@ def a2_count_by_method(logs):
     return logquery.counts(logs, "method", 3)
 
 
+@query("access_log", sql="select method as value, count(*) as n from access_log group by method")
+def a2_count_all_methods(logs):
+    return logquery.counts(logs, "method")
+
+
 @query("access_log", sql="select cast(status as varchar) as value, count(*) as n from access_log group by status")
 def a5_status_distribution(logs):
     return logquery.counts(logs, "status")
@@ -359,6 +370,11 @@ def v4_manifest(rows):
     return verify.manifest(rows).select("n")
 
 
+@query("versioned_log", sql="with h as (select cast(concat('0x', substr(sha256(concat(record_id, ':', payload_hash)), 1, 15)) as bigint) as h from versioned_log) select count(*) as n, bit_xor(h) as digest, cast(sum(h % 1000003) as bigint) as checksum from h")
+def v4_manifest_digest(rows):
+    return verify.manifest(rows)
+
+
 @query("versioned_log", "checkpoints", sql=f"with t as (select event_time - event_time % 86400000 as day_ms, topic, part, max(off) as off, count(*) as n from versioned_log group by all), j as (select t.*, k.next_offset from t left join checkpoints k on t.topic = k.topic and t.part = k.part and k.part <> 3) select day_ms, cast(sum(n) as bigint) as n, case when bool_and(coalesce(off < next_offset, false)) then 'ELIGIBLE' else 'BLOCKED' end as state from j where day_ms + 86400000 <= {HOT} group by day_ms")
 def v5_cleanup_plan(rows, ck):
     return verify.cleanup_plan(rows, ck.where("part <> 3"), NOW)
@@ -545,6 +561,15 @@ def c9_follow_notices(rows):
     return corpus.follow(r.select(n.alias("notice_id"), "record_id"), r.where(n % 9 != 0), 5000, TODAY, FROM + 86_400_000)
 
 
+@query("versioned_log", sql=f"with {_LATEST} select cast(v.record_id as bigint) as notice_id, v.record_id, case when cast(v.record_id as bigint) % 9 = 0 or event_time < {FROM + 86_400_000} then 'remove' when event_time > {TODAY} then 'wait' else 'upsert' end as action from v")
+def c9_follow_all_notices(rows):
+    r = logquery.latest(rows)
+    n = F.col("record_id").cast("long")
+    notices = r.select(n.alias("notice_id"), "record_id")
+    pending = rows.agg(F.max(n)).first()[0]  # the largest notice id at the start
+    return corpus.follow(notices, r.where(n % 9 != 0), -1 if pending is None else pending, TODAY, FROM + 86_400_000)
+
+
 @query("access_log", sql="select event_id, concat_ws(' ', 'xss', concat('IP ', ip), concat(method, ' ', path), concat('status ', cast(status as varchar)), case when user_agent <> '' then substr(user_agent, 1, 100) end) as query from access_log")
 def q1_case_query(logs):
     return retrieve.case_query(logs.withColumn("attack_type", F.lit("xss")))
