@@ -335,7 +335,8 @@ def all_links(rows: DataFrame, similarity: float) -> DataFrame:
 
     Candidates have a sampled fingerprint in common, or whole fingerprints that `links` joins. Members of large groups
     that the first comparisons leave in several components go on to a level of larger samples, which only texts alike in
-    most shingles share; what is left open at the last level is compared in blocks.
+    most shingles share. That can miss pairs, such as short texts, so what is then open of the first level's groups is
+    compared in blocks.
     """
     verify = lambda pairs: materialize(alike(fitting(pairs, similarity), rows.select("sid", "sh"), similarity), "alike")
     sets = materialize(rows.groupBy("sid").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "prints")
@@ -344,13 +345,15 @@ def all_links(rows: DataFrame, similarity: float) -> DataFrame:
     first = materialize(sets.groupBy("fp").agg(F.min(member).alias("m")), "first")
     near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("m").alias("y")), "a").join(first.select(F.col("fp").alias("b"), F.col("m").alias("x")), "b")
     found = verify(pairs.unionAll(near.select("x", "y")))
+    rest = unsettled(large, found)
+    groups = rest  # of the first level: only these name all candidates, further levels settle most of them
     for level in LEVELS[1:]:
-        rest = unsettled(large, found)
         if rest.isEmpty():
-            return found
+            break
         pairs, large = by_keys(materialize(deeper(rest, rows, level), "deeper"))
         found = found.unionAll(verify(pairs))
-    return by_blocks(large, found, verify)
+        rest = unsettled(large, found)
+    return by_blocks(groups, found, verify)
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float, salt: int = 1000) -> DataFrame:

@@ -100,6 +100,17 @@ def test_keep_one_alike_equals_brute_force(spark, monkeypatch, small, levels):
     assert sorted(r["doc_id"] for r in got.where("doc_id is not null").collect()) == sorted(set(label))
 
 
+def test_keep_one_alike_of_short_texts_with_a_frame(spark):
+    rng = random.Random(13)
+    frame, texts = words(rng, 8), []
+    for _ in range(150):  # 5 shingles, and the same with one more word: alike by 5/6
+        own = frame + " " + words(rng, 1) + str(rng.random())
+        texts += [own, own + " " + words(rng, 1) + str(rng.random())]
+    assert len(texts) > simhash.SMALL
+    got = simhash.keep_one_alike(docs(spark, texts)).where("doc_id is not null").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(0, 300, 2))
+
+
 def test_quality_and_ablation(spark):
     texts = [*ODD, " ".join(f"word{i}" for i in range(80)), "a b c " * 40, "same line here\n" * 30]
     rows = {r["doc_id"]: r for r in quality.apply_policy(quality.ledger(docs(spark, texts)), 2).collect()}
