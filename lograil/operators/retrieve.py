@@ -43,35 +43,50 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, source_type: str | None
     return ranked(hits, k)
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, block: int = 512, most: int = 50_000) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int, block: int = 512, chunk: int = 2048) -> DataFrame:
     """query_id, source_id, score = (1 + cosine) / 2, rank: exact, over all rows but the query's own id.
 
-    Queries go to the tasks in blocks against each batch of the corpus, which is never shuffled; every batch passes on k
-    rows for each query of a block. More than `most` queries are refused: they are broadcast. Vectors that are null, empty or zero take no part.
+    Blocks of queries and chunks of the corpus are rows that meet each with each; a task keeps k rows for each query of its
+    block over all of its chunks. Vectors that are null, empty or zero take no part.
     """
     fine = lambda c: c.isNotNull() & F.exists(c, lambda x: x != 0)
-    rows = corpus.where(fine(F.col("embedding"))).select("source_id", "embedding")
-    n = queries.count()
-    if n > most:
-        raise ValueError(f"more than {most} queries; use an index")
-    asked = queries.where(fine(F.col("embedding"))).select("query_id", "embedding", F.pmod(F.hash("query_id"), F.lit(-(-max(n, 1) // block))).alias("block"))
-    blocks = asked.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.collect_list("embedding").alias("vectors")).collect()
-    shared = corpus.sparkSession.sparkContext.broadcast([(b["ids"], np.array(b["vectors"], float)) for b in blocks])
+
+    def packed(rows: DataFrame, key: str, size: int, names: list[str]) -> DataFrame:
+        own = rows.where(fine(F.col("embedding"))).select(key, "embedding")
+        each = own.groupBy(F.pmod(F.xxhash64(key), F.lit(-(-max(own.count(), 1) // size))).alias("part")).agg(F.collect_list(F.struct(key, "embedding")).alias("r"))
+        return each.select("part", F.col(f"r.{key}"), F.col("r.embedding")).toDF(*names)
+
+    both = packed(queries, "query_id", block, ["block", "asked", "q"]).crossJoin(packed(corpus, "source_id", chunk, ["chunk", "ids", "x"]).hint("shuffle_replicate_nl"))
+
+    def out(asked: list, best: list) -> pd.DataFrame:
+        ids, scores = np.concatenate([i for i, _ in best]), np.concatenate([s for _, s in best])
+        return pd.DataFrame({"query_id": np.repeat(np.array(asked), [len(i) for i, _ in best]), "source_id": ids, "score": scores})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, asked, best = None, [], []
         for pdf in frames:
-            x, ids = np.array(pdf["embedding"].tolist(), float), pdf["source_id"].to_numpy()
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for asked_ids, q in shared.value:
-                cos = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T
-                for i, query in enumerate(asked_ids):
-                    cos[i, ids == query] = -np.inf
-                    top = np.lexsort((ids, -cos[i].round(9)))[: k + 1]
-                    top = top[np.isfinite(cos[i, top])]
-                    yield pd.DataFrame({"query_id": query, "source_id": ids[top], "score": ((1 + cos[i, top]) / 2).round(6)})
+            for number, names, vectors, sources, others in zip(pdf["block"], pdf["asked"], pdf["q"], pdf["ids"], pdf["x"], strict=True):
+                if number != now:
+                    if now is not None:
+                        yield out(asked, best)
+                    now, asked = number, list(names)
+                    q = np.array([*vectors], float)
+                    q /= np.linalg.norm(q, axis=1, keepdims=True)
+                    best = [(np.array(sources)[:0], np.empty(0))] * len(asked)
+                x, ids = np.array([*others], float), np.array(sources)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                scores = ((1 + q @ x.T) / 2).round(6)
+                for i, query in enumerate(asked):
+                    other = ids != query
+                    found, score = np.concatenate((best[i][0], ids[other])), np.concatenate((best[i][1], scores[i, other]))
+                    top = np.lexsort((found, -score))[:k]
+                    top = top[np.isfinite(score[top])]
+                    best[i] = found[top], score[top]
+        if now is not None:
+            yield out(asked, best)
 
     kinds = dict(corpus.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
-    return ranked(rows.mapInPandas(run, f"query_id {kinds['query_id']}, source_id {kinds['source_id']}, score double"), k)
+    return ranked(both.select("block", "asked", "q", "ids", "x").mapInPandas(run, f"query_id {kinds['query_id']}, source_id {kinds['source_id']}, score double"), k)
 
 
 def knn_sql(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -1,11 +1,13 @@
 """Small cases with known results."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from lograil.functions.decode import canonical, decode_text, source_ids
 from lograil.functions.times import relative_range
-from lograil.operators import corpus, detect, iforest, normalize, verify
+from lograil.operators import corpus, detect, iforest, normalize, retrieve, verify
 from lograil.operators.logquery import QuerySpec
 from lograil.operators.rules import LIBRARIES, Profile, validate
 from lograil.streaming import jobs
@@ -80,3 +82,13 @@ def test_streams_equal_batches(spark, tmp_path):
     q = jobs.hourly(stream).writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from hours").first()[0] == 60 and spark.table("hours").count() == 10
+
+
+def test_knn_takes_any_number_of_queries(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("query_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    found = retrieve.knn(rows.where("query_id < 30").withColumnRenamed("query_id", "source_id"), rows, 3, chunk=8)
+    got = found.groupBy("query_id").count().agg(F.count("*"), F.min("count"), F.max("count")).first()
+    assert tuple(got) == (60_000, 3, 3)
+    for q in (0, 17, 59_999):
+        want = sorted((i for i in range(30) if i != q), key=lambda i: (-round((1 + math.cos(i - q)) / 2, 6), i))[:3]
+        assert [r["source_id"] for r in found.where(f"query_id = {q}").orderBy("rank").collect()] == want
