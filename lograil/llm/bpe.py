@@ -5,11 +5,13 @@ tokenizations. Before any merge it has one state for each base symbol and every
 takes the arc b away after a and adds the token ab: its state starts as a copy of b's (what may follow ab is what may
 follow b), and the arc ab leaves every state from which a and then b could be read. A token's state is thus described by
 its gadget (left part, right part, k) and the arcs taken away, of which there are as many as merges; a dense table would
-have tokens squared entries. `Automaton.arc` resolves one entry through the gadgets, newest first, and keeps it in the
-transition table, which grows to a stated bound.
+have tokens squared entries. `Automaton.arc` resolves one entry through the gadgets, newest first.
 
-A pre-split word is encoded by walking the table: from the state of the last token, read the longest token for which
-there is an arc, and go back a token where no arc leads on. Decoding emits the labels of the arcs.
+Over single symbols the arcs are strings, so a state of the deterministic automaton for reading is a set: for each place
+where a token may end, the token state there and the part of the next token read since. Each prefix has exactly one correct
+tokenization, so the set names the last token of the prefix too. Sets are made when they are first reached and kept as
+states of the transition table, up to a stated number. A pre-split word is encoded by one table entry a symbol, without
+search or way back; its tokens are then read off from the last one. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import hashlib
 import json
 import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,46 @@ from lograil.llm._common import bounded_batches
 
 END = "\0"  # stands for the end-of-word suffix inside labels
 
-#: Contractions, runs of letters, single numbers, runs of other characters. (Characters of the newest Unicode version may count as letters here and not in the tokenizers library, which lags.)
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+#: Letters and numbers that Unicode 16 added to 15.1 (first and last code point), which the tokenizers library
+#: knows and unicodedata does not.
+NEW_LETTERS = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5"
+    " 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
+)
+NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: Marks that the library's NFC takes for starters (combining class 0), its tables being older.
+LATE_MARKS = (
+    "7FD-7FD 898-89F 8CA-8D3 9FE-9FE C3C-C3C D3B-D3C EBA-EBA 1715-1715 1ABF-1ACE 1DF6-1DFA A82C-A82C 10D24-10D27 10EAB-10EAC"
+    " 10EFD-10EFF 10F46-10F50 10F82-10F85 11070-11070 1133B-1133B 1145E-1145E 11839-1183A 11930-11930 1193D-1193E 11943-11943"
+    " 119E0-119E0 11A34-11A34 11A47-11A47 11A99-11A99 11D42-11D42 11D44-11D45 11D97-11D97 11F41-11F42 16FF0-16FF1 1E08F-1E08F"
+    " 1E130-1E136 1E2AE-1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+#: Capitals of Unicode 16 and 17 (first and last code point, small letter of the first), which it lowers too.
+NEW_CAPITALS = (
+    "1C89-1C89:1C8A A7CB-A7CB:264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5 A7DA-A7DA:A7DB A7DC-A7DC:19B"
+    " 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+)
+
+
+def _spans(spec: str) -> list[tuple[int, int]]:
+    return [(int(lo, 16), int(hi, 16)) for lo, hi in (x.split("-") for x in spec.split())]
+
+
+def _members(kind: str, new: str) -> str:
+    """The code points of a general category in Unicode 16, as ranges for a character class."""
+    inside = [unicodedata.category(chr(c))[0] == kind for c in range(sys.maxunicode + 1)]
+    for lo, hi in _spans(new):
+        inside[lo : hi + 1] = [True] * (hi - lo + 1)
+    edges = [c for c, (a, b) in enumerate(zip([False, *inside], [*inside, False], strict=True)) if a != b]
+    return "".join(f"\\U{lo:08x}-\\U{hi - 1:08x}" for lo, hi in zip(edges[::2], edges[1::2], strict=True))
+
+
+_LETTER, _NUMBER, _SPACE = _members("L", NEW_LETTERS), _members("N", NEW_NUMBERS), "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Contractions, runs of letters, single numbers, runs of other characters.
+SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+_LOWER = {lo + i: int(small, 16) + i for span, small in (x.split(":") for x in NEW_CAPITALS.split()) for lo, hi in _spans(span) for i in range(hi - lo + 1)}
+_LATE = re.compile("([" + "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in _spans(LATE_MARKS)) + "])")
+_CAPITALS = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
 #: Separators for str.split() that are no white space in Unicode's property.
 ODD = re.compile("[\x1c-\x1f]")
 
@@ -44,36 +84,63 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class State(dict):
+    """A state of the automaton over symbols: its transitions, made when first taken, and the last token of what was read."""
+
+    __slots__ = ("auto", "live", "token", "size")
+
+    def __missing__(self, symbol: str) -> State:
+        found = self[symbol] = self.auto.step(self.live, symbol)
+        return found
+
+
 class Automaton:
     """The compiled merges of a tokenizer file, with its transition table.
 
-    table_limit: entries of the transition table; word_limit: words whose encoding is kept. Both are emptied when full.
+    arc_limit: resolved arcs that are kept; state_limit: states of the transition table. Both are emptied when full; states
+    only between words, so that a word adds one for each of its symbols at most.
     """
 
-    def __init__(self, path: str, table_limit: int = 1 << 17, word_limit: int = 1 << 17):
+    def __init__(self, path: str, arc_limit: int = 1 << 16, state_limit: int = 1 << 17):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         suffix = model.get("end_of_word_suffix") or ""
         inner = lambda t: t[: -len(suffix)] + END if suffix and t.endswith(suffix) and t != suffix else t
         self.labels: dict[int, str] = {i: t for t, i in model["vocab"].items()}
-        self.tokens: dict[str, int] = {inner(t): i for t, i in model["vocab"].items()}
         self.special: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.labels.update({i: t for t, i in self.special.items()})
-        self.reach: dict[str, int] = {}  # the longest token by its first two symbols
-        for t in self.tokens:
-            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 0))
-        size = max(self.labels) + 1
-        self.size, self.made, self.left, self.right = size, [-1] * size, [-1] * size, [-1] * size
+        tokens = {inner(t): i for t, i in model["vocab"].items()}
+        self.size = max(self.labels) + 1
+        self.made, self.left, self.right = [-1] * self.size, [-1] * self.size, [-1] * self.size
         self.taken: dict[int, int] = {}
         for k, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self._gadget(k, self.tokens[inner(a)], self.tokens[inner(b)], self.tokens[inner(a) + inner(b)])
-        self.table: dict[int, bool] = {}
-        self.table_limit, self.word_limit = table_limit, word_limit
+            self._gadget(k, tokens[inner(a)], tokens[inner(b)], tokens[inner(a) + inner(b)])
+        self._grow(tokens)
+        self.arcs: dict[int, bool] = {}
+        self.arc_limit, self.state_limit = arc_limit, state_limit
         self.end = END if suffix else ""
-        self.symbols = byte_symbols()
+        self.symbols = dict(enumerate(byte_symbols()))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.states: dict[tuple[int, ...], State] = {}
+        self._restart()
+
+    def _grow(self, tokens: dict[str, int]) -> None:
+        """The parts of tokens as a tree: child[part << 9 | symbol] is a part, ends[part] the token that it is, open[part] whether it goes on."""
+        self.child: dict[int, int] = {}
+        self.ends, self.open, self.length = [-1], [True], [0]
+        for text, token in tokens.items():
+            part = 0
+            for c in text:
+                self.open[part] = True
+                key = part << 9 | ord(c)
+                part = self.child.setdefault(key, len(self.ends))
+                if part == len(self.ends):
+                    self.ends.append(-1)
+                    self.open.append(False)
+                    self.length.append(self.length[key >> 9] + 1)
+            self.ends[part] = token
 
     def _gadget(self, k: int, a: int, b: int, ab: int) -> None:
         self.taken[a * self.size + b] = k
@@ -82,11 +149,11 @@ class Automaton:
     def arc(self, state: int, token: int) -> bool:
         """Whether `token` may be read in the state after `state`."""
         key = state * self.size + token
-        found = self.table.get(key)
+        found = self.arcs.get(key)
         if found is None:
-            if len(self.table) >= self.table_limit:
-                self.table.clear()
-            found = self.table[key] = self._resolve(state, token)
+            if len(self.arcs) >= self.arc_limit:
+                self.arcs.clear()
+            found = self.arcs[key] = self._resolve(state, token)
         return found
 
     def _resolve(self, u: int, v: int) -> bool:
@@ -102,36 +169,57 @@ class Automaton:
             else:  # v's arc came with that of its left part; at equal merges the left one goes first
                 bound, v = made[v] + 1, self.left[v]
 
+    def _state(self, live: tuple[int, ...], token: int, size: int) -> State:
+        found = self.states.get(live)
+        if found is None:
+            found = self.states[live] = State()
+            found.auto, found.live, found.token, found.size = self, live, token, size
+        return found
+
+    def _restart(self) -> None:
+        for state in self.states.values():
+            state.clear()
+        self.states.clear()
+        self.start = self._state((self.size,), -1, 0)  # `size` stands for the state before any token
+
+    def step(self, live: tuple[int, ...], symbol: str) -> State:
+        """The state after one more symbol. live: for each place where a token may end, part * (size + 1) + token state."""
+        base, code, out, last, size = self.size + 1, ord(symbol), [], -1, 0
+        for cell in live:
+            part, state = divmod(cell, base)
+            part = self.child.get(part << 9 | code)
+            if part is None:
+                continue
+            token = self.ends[part]
+            if last < 0 <= token and (state == self.size or self.arc(state, token)):
+                last, size = token, self.length[part]
+            if self.open[part]:
+                out.append(part * base + state)
+        if last >= 0:
+            out.append(last)
+        return self._state(tuple(out), last, size)
+
     def word(self, symbols: str) -> list[int]:
         """Token ids of one pre-split word, given as byte symbols."""
-        s = symbols + self.end
-        n, reach, tokens, arc = len(s), self.reach, self.tokens, self.arc
-        path: list[int] = []
-        ends = [0]
-        length = n
-        while ends[-1] < n:
-            at = ends[-1]
-            length = min(length, n - at, reach.get(s[at : at + 2], 1))
-            while length:
-                t = tokens.get(s[at : at + length])
-                if t is not None and (not path or arc(path[-1], t)):
-                    break
-                length -= 1
-            if length:
-                path.append(t)
-                ends.append(at + length)
-                length = n
-            elif path:  # no arc leads on: read a shorter token before
-                path.pop()
-                length = ends.pop() - ends[-1] - 1
-            else:
+        if len(self.states) >= self.state_limit:
+            self._restart()
+        state, path, ids = self.start, [], []
+        for symbol in symbols + self.end:
+            state = state[symbol]
+            path.append(state)
+        at = len(path)
+        while at:
+            state = path[at - 1]
+            if not state.size:
                 raise ValueError(f"no tokenization of {symbols!r}")
-        return path
+            ids.append(state.token)
+            at -= state.size
+        ids.reverse()
+        return ids
 
-    def split(self, text: str) -> list[str]:
-        """The words of a normalised text, as byte symbols."""
-        sym = self.symbols
-        return ["".join([sym[b] for b in w.encode()]) for w in SPLIT.findall(text)]
+    def spell(self, word: str) -> str:
+        """A word of a normalised text as byte symbols."""
+        return word.encode().decode("latin-1").translate(self.symbols)
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined as a tokenizer without decoder joins them."""
@@ -142,43 +230,53 @@ def normalize(text: str) -> str:
     """NFC, then the lower case of each character by itself."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    if not unicodedata.is_normalized("NFC", text):
+        text = "".join([unicodedata.normalize("NFC", part) for part in _LATE.split(text)])
+    text = text.replace("Σ", "σ").lower()
+    return text.translate(_LOWER) if _CAPITALS.search(text) else text
 
 
 class Encoder:
-    """Whole texts to ids and labels; the encoding of white-space-delimited chunks is kept."""
+    """Whole texts to ids and labels.
 
-    def __init__(self, automaton: Automaton):
-        self.automaton = auto = automaton
-        labels: dict[str, bytes] = {}
+    The encoding of white-space-delimited chunks is kept in two generations of about chunk_limit each: what is used of the
+    older one moves to the newer one, and the rest goes when that is full.
+    """
 
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                if len(self) >= auto.word_limit:
-                    self.clear()
-                    labels.clear()
-                ids = [i for w in auto.split(chunk) for i in auto.word(w)]
-                labels[chunk] = auto.decode(ids).encode()
-                out = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-                return out
+    def __init__(self, automaton: Automaton, chunk_limit: int = 1 << 17):
+        self.automaton, self.chunk_limit = automaton, chunk_limit
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+        encoder = self
 
-        self.ids, self.labels = Chunks(), labels
+        class Chunks(dict):
+            def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
+                found = encoder.old.get(chunk) or encoder.chunk(chunk)
+                self[chunk] = found
+                return found
+
+        self.fresh = Chunks
+        self.new = Chunks()
+
+    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """ids and labels of a text without white space."""
+        words = [chunk] if chunk.isalpha() else SPLIT.findall(chunk)
+        if len(words) > 1:
+            parts = [self.new[w] if len(w) < 64 else self.chunk(w) for w in words]
+            return b"".join([i for i, _ in parts]), b" ".join([n for _, n in parts])
+        auto = self.automaton
+        ids = [i for w in words for i in auto.word(auto.spell(w))]
+        return struct.pack(f"<{len(ids)}I", *ids), auto.decode(ids).encode()
 
     def _plain(self, text: str) -> tuple[bytes, bytes]:
         text = normalize(text)
-        if ODD.search(text):
-            ids = [i for w in self.automaton.split(text) for i in self.automaton.word(w)]
-            return struct.pack(f"<{len(ids)}I", *ids), self.automaton.decode(ids).encode()
+        chunks = SPLIT.findall(text) if ODD.search(text) else text.split()
         out, names = [], []
-        for lo in range(0, len(chunks := text.split()), 1 << 16):
-            part = chunks[lo : lo + (1 << 16)]
-            ids = list(map(self.ids.__getitem__, part))
-            out.append(b"".join(ids))
-            try:
-                found = list(map(self.labels.__getitem__, part))
-            except KeyError:  # the tables were emptied while this part was read
-                found = [self.automaton.decode(list(struct.unpack(f"<{len(x) // 4}I", x))).encode() for x in ids]
-            names += [x for x in found if x]
+        for lo in range(0, len(chunks), 1 << 14):
+            if len(self.new) >= self.chunk_limit:
+                self.old, self.new = self.new, self.fresh()
+            found = list(map(self.new.__getitem__, chunks[lo : lo + (1 << 14)]))
+            out.append(b"".join([i for i, _ in found]))
+            names.append(b" ".join([n for _, n in found]))
         return b"".join(out), b" ".join(names)
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
