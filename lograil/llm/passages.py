@@ -1,16 +1,17 @@
 """Substring dedup: near-duplicate passages by compact windows.
 
-A text is its sequence of five-word shingles. Under one hash function, all subsequences of at least WIDTH shingles are
-grouped by their minimum into compact windows (l, c, r): every one that starts in l..c and ends in c..r has its minimum at
-c. The windows are the nodes of the Cartesian tree of the hashes that are wide enough; there are about 2n / WIDTH of them.
-Texts with a window of the same minimum may share a passage. Where the windows that two texts share under enough hash
-functions overlap, the passages are aligned and verified: five-word shingles, Jaccard similarity of at least 0.8.
-
-Equal texts are one from the start. Texts that share a minimum are first linked to the one before them in order of their
-hash and to the first, not each to each; within a batch of documents already before the shuffle, so a passage that a third
-of all documents holds is one row for each batch. Minima whose texts this leaves in several components go on to pairs of
-minima of overlapping windows, and what is open there is compared in blocks, until no two texts of different components
-share such a pair (`settled`).
+A text is its sequence of five-word shingles. Under one hash function, the subsequences of RUN shingles are grouped by
+their minimum into compact windows (c, lo, hi): those that start in lo..hi have their minimum at c. These are the nodes of
+the Cartesian tree of the hashes that span RUN shingles or more, cut to that length. Where the windows of the two functions
+overlap (an interval join of the two lists), the pair of minima is a signature: all subsequences that start there share it.
+
+Passages of at least 50 words that are alike by 0.8 or more differ in so few places that some RUN shingles in a row, 24
+words, are the same in both (an unbroken run of 21 at least, as each place that differs takes four shingles or more).
+Under every function these have the same minimum, so both texts have the signature: none is missed by chance. Texts that
+share a signature are a group. In small groups the whole texts are aligned each with each, in large ones with the first;
+passages are verified by the Jaccard similarity of their shingles. Where that leaves a large group in several components,
+the surroundings of the signature are compared, all in blocks of bounded size, and aligned where they have LEAST shingles
+in common, as passages alike by 0.8 do around such a run. So no link between components is left out in groups of any size.
 """
 
 from __future__ import annotations
@@ -20,17 +21,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lograil.llm._common import bounded_batches, components, materialize
-from lograil.llm.simhash import by_blocks, by_keys
+from lograil.llm._common import WORD, bounded_batches, components, materialize
+from lograil.llm.groups import links_in_groups
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 WIDTH = WORDS - SHINGLE + 1
-#: Hash functions, and how many must agree on a place: two texts alike by 0.8 agree there with probability 0.998.
-HASHES, ENOUGH = 6, 2
-_MIX = np.random.default_rng(11).integers(1, 1 << 63, (HASHES, 2), dtype=np.uint64) | np.uint64(1)
+#: Hash functions, the shingles in a row that near-duplicate passages have in common, and those in WIDTH (0.8 / 1.8 of both).
+HASHES, RUN, LEAST = 2, 20, 41
+#: Shingles on each side of a signature's minimum that are compared: a passage's width and some more.
+AROUND = 64
+#: A text of at least 50 words; reads no more of it than these.
+LONG = f"^(?:[\\x20\\x09-\\x0D]*+{WORD}+){{{WORDS}}}"
+#: Texts with a common signature that are aligned each with each.
+SMALL = 16
+_MIX = np.random.default_rng(11).integers(1, 1 << 63, (max(SHINGLE, HASHES), 3), dtype=np.uint64) | np.uint64(1)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIX[k, 1]
+    return h ^ (h >> np.uint64(32))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -39,167 +51,97 @@ def shingles(text: str | None) -> np.ndarray:
     n = len(words) - SHINGLE + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    step = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(step) - 1
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[s:e]) for s, e in zip((ends - step + 1)[:n].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    out = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        out += h[k : k + n] * _MIX[k, 0]
+    return _mixed(out, 0)
 
 
-def minima(s: np.ndarray, f: int) -> np.ndarray:
-    """Values of hash function f; its number is in the lowest three bits."""
-    h = (s ^ _MIX[f, 0]) * _MIX[f, 1]
-    h = (h ^ (h >> np.uint64(32))) * _MIX[f, 1]
-    return (h & ~np.uint64(7)) | np.uint64(f)
+def compact_windows(h: np.ndarray, width: int = RUN) -> np.ndarray:
+    """Rows c, lo, hi: the subsequences of `width` that start in lo..hi have their minimum at c; of equal ones the leftmost."""
+    n = len(h) - width + 1
+    if n < 1:
+        return np.empty((3, 0), np.int64)
+    at = np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(n)
+    lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return np.array([at[lo], lo, np.append(lo[1:], n) - 1], np.int64)
 
 
-def compact_windows(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Rows l, c, r of the Cartesian tree's nodes that span at least `width`; of equal minima the leftmost is the root."""
-    los, at, his, todo = [], [], [], [0, len(h)] if len(h) >= width else []
-    while todo:
-        hi, lo = todo.pop(), todo.pop()
-        c = lo + int(h[lo:hi].argmin())
-        los.append(lo)
-        at.append(c)
-        his.append(hi)
-        if c - lo >= width:
-            todo += (lo, c)
-        if hi - c > width:
-            todo += (c + 1, hi)
-    return np.array([los, at, his], np.int64) - [[0], [0], [1]]
-
-
-def _chained(key: np.ndarray, th: np.ndarray) -> list[np.ndarray]:
-    """Rows key, th, pth, linked: the first text of each key as a member, the others as links."""
-    order = np.lexsort((th, key))
-    key, th = key[order], th[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (th[1:] != th[:-1])
-    key, th = key[fresh], th[fresh]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    at = np.flatnonzero(~first)
-    head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))[at]
-    more = head != at - 1
-    take = np.concatenate((np.flatnonzero(first), at, at[more]))
-    back = np.concatenate((np.flatnonzero(first), at - 1, head[more]))
-    return [key[take], th[take], th[back], np.arange(len(take)) >= first.sum()]
+def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a shingle sequence, and the place of the first function's minimum for each."""
+    each = [(h, compact_windows(h)) for h in (_mixed(s * _MIX[f, 2], f) for f in range(HASHES))]
+    cuts = np.unique(np.concatenate([w[1] for _, w in each]))
+    found = [(h, w[0][np.searchsorted(w[1], cuts, "right") - 1]) for h, w in each]
+    out = np.zeros(len(cuts), np.uint64)
+    for f, (h, at) in enumerate(found):
+        out = _mixed(out + h[at], f)
+    return out, found[0][1]
 
 
 def windows(docs: DataFrame, text_col: str) -> DataFrame:
-    """key, th (hash of the text), pth, linked; see `_chained`."""
+    """sig, th (hash of the text): the signatures of each text of at least 50 words, each once in a batch."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ths = [], []
+            sigs, ths, sizes = [np.empty(0, np.uint64)], [], []
             for th, text in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)).items():
                 s = shingles(text)
-                if len(s) < WIDTH:
-                    continue
-                for f in range(HASHES):
-                    h = minima(s, f)
-                    w = compact_windows(h)
-                    keys.append(h[w[1]])
-                    ths.append((th, w.shape[1]))
-            if keys:
-                th = np.repeat(np.array([t for t, _ in ths], np.int64), [n for _, n in ths])
-                cells = _chained(np.concatenate(keys).view(np.int64), th)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["key", "th", "pth", "linked"])
+                if len(s) >= WIDTH:
+                    sigs.append(np.unique(signatures(s)[0]))
+                    ths.append(th)
+                    sizes.append(len(sigs[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(ths, np.int64), sizes))], names=["sig", "th"])
 
     rows = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, th long, pth long, linked boolean")
-
-
-def agreeing(key: str) -> Column:
-    """Number of hash functions of a group's keys."""
-    return F.bit_count(F.bit_or(F.expr(f"shiftleft(1, cast({key} & 7 as int))")))
-
-
-def chain(docs: DataFrame, text_col: str) -> DataFrame:
-    """Links key, th, pth of texts that share a minimum: those before and the first ones, which name all texts of the key."""
-    own = Window.partitionBy("key").orderBy("linked", "th")
-    near = F.when(F.col("linked"), F.array("pth")).otherwise(F.array("before", "head"))
-    seen = windows(docs, text_col).withColumns({"before": F.lag("th").over(own), "head": F.first("th").over(own.rowsBetween(Window.unboundedPreceding, 0))})
-    some = seen.where("linked or before is not null")
-    return materialize(some.select("key", "th", F.explode(F.array_distinct(near)).alias("pth")).where("th <> pth"), "chain")
-
-
-def candidates(links: DataFrame) -> DataFrame:
-    """a, b (a < b): linked texts that agree under enough functions."""
-    return links.groupBy(F.least("th", "pth").alias("a"), F.greatest("th", "pth").alias("b")).agg(agreeing("key").alias("n")).where(F.col("n") >= ENOUGH).select("a", "b")
-
-
-def opened(links: DataFrame, found: DataFrame) -> DataFrame:
-    """root, th, keys: texts, and their minima that texts of several components share, under enough functions."""
-    members = links.select("key", F.explode(F.array("th", "pth")).alias("th")).distinct()
-    named = materialize(members.join(components(found).withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")), "members")
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return named.join(mixed, "key", "left_semi").groupBy("th").agg(F.first("root").alias("root"), F.collect_list("key").alias("keys"), agreeing("key").alias("n")).where(F.col("n") >= ENOUGH).select("root", "th", "keys")
-
-
-def paired_keys(text: str | None, keys: np.ndarray) -> np.ndarray:
-    """Hashes of each two of the given minima, of different functions, whose windows overlap by a passage's width."""
-    s = shingles(text)
-    every = []
-    for f in range(HASHES):
-        h = minima(s, f)
-        lo, c, hi = compact_windows(h)
-        kept = np.isin(h[c], keys)
-        every.append((h[c][kept], lo[kept], hi[kept]))
-    out = [np.empty(0, np.uint64)]
-    for f, (k, lo, hi) in enumerate(every):
-        for k2, lo2, hi2 in every[f + 1 :]:
-            step = max(1, (1 << 20) // max(len(k2), 1))
-            for at in range(0, len(k), step):
-                part = slice(at, at + step)
-                i, j = np.nonzero(np.minimum(hi[part, None], hi2) - np.maximum(lo[part, None], lo2) + 1 >= WIDTH)
-                out.append(np.unique((k[part][i] * _MIX[0, 0]) ^ (k2[j] * _MIX[1, 1])))
-    return np.unique(np.concatenate(out))
-
-
-def with_paired_keys(rows: DataFrame) -> DataFrame:
-    """k, m: the paired keys of rows (root, th, keys, text), m as of `simhash.by_keys`."""
-    bounded_batches(rows.sparkSession)
+    return rows.mapInArrow(run, "sig long, th long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
-            found = [paired_keys(t, np.array(k, np.int64).view(np.uint64)).view(np.int64) for k, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["root", "th", "ks"])
-
-    each = rows.select("root", "th", "keys", "text").mapInArrow(run, "root long, th long, ks array<long>")
-    return each.select(F.explode("ks").alias("k"), F.struct("root", F.col("th").alias("sid"), F.lit(1).alias("n")).alias("m"))
 
+def surroundings(rows: DataFrame) -> DataFrame:
+    """k, id, at, n, root, w: the shingles around each place of the signatures of rows (th, root, sigs, text), 4 bytes each."""
+    bounded_batches(rows.sparkSession)
 
-def settled(docs: DataFrame, text_col: str) -> DataFrame:
-    """a, b and the passages of pairs of texts, whose components are those of all pairs that agree under enough functions at a place.
-
-    The chain settles most minima. Where it leaves several components, texts are regrouped by paired minima: small groups
-    meet each with each, large ones in blocks until they are one component or all members of different ones were compared.
-    """
-    links = chain(docs, text_col)
-    tried = [materialize(candidates(links), "pairs")]
-    found = [verified(docs, text_col, tried[0])]
-    rest = materialize(opened(links, found[0].select("a", "b")), "opened")
-    if rest.isEmpty():
-        return found[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):
+            cells: list[list] = [[], [], [], [], [], []]
+            for th, root, sigs, text in zip(*[batch.column(c).to_pylist() for c in ("th", "root", "sigs", "text")], strict=True):
+                s = shingles(text)
+                own, places = signatures(s)
+                short = (s >> np.uint64(32)).astype("<u4")
+                for i in np.flatnonzero(np.isin(own, np.array(sigs, np.int64).view(np.uint64))).tolist():
+                    at = int(places[i])
+                    w = short[max(0, at - AROUND) : at + AROUND]
+                    for cell, v in zip(cells, (int(own[i].view(np.int64)), th, at, len(w), root, w.tobytes()), strict=True):
+                        cell.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["k", "id", "at", "n", "root", "w"])
+
+    return rows.select("th", "root", "sigs", "text").mapInArrow(run, "k long, id long, at long, n int, root long, w binary").distinct()
+
+
+def settled(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of texts, whose components are those of all, and a, b and the passages of the linked pairs."""
+    every = windows(docs, text_col).repartition("sig")
+    shared = every.groupBy("sig").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low <> high").drop("high")
+    own = materialize(every.join(shared, "sig").distinct(), "signatures")
+    sizes = own.groupBy("sig").agg((F.count("*") <= SMALL).alias("small"))
+    own = materialize(own.join(sizes, "sig"), "grouped")
+    small, large = own.where("small").select("sig", "th"), own.where("not small")
+    each = small.withColumnRenamed("th", "a").join(small.withColumnRenamed("th", "b"), "sig").where("a < b").select("a", "b")
+    pairs = materialize(each.unionAll(large.where("low < th").select(F.col("low").alias("a"), F.col("th").alias("b"))).distinct(), "pairs")
     texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    texts = materialize(texts.join(rest.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "open_texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        new = pairs.where("x.root <> y.root").select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-        for old in tried:
-            new = new.join(old, ["a", "b"], "left_anti")
-        tried.append(materialize(new, "pairs"))
-        found.append(aligned(tried[-1], texts))
-        return found[-1].select("a", "b")
-
-    pairs, large = by_keys(with_paired_keys(rest.join(texts, "th")))
-    first = found[0].select("a", "b")
-    by_blocks(large, first.unionAll(verify(pairs)), verify)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
-    return every
+    found = verified(pairs, texts)
+    links = found.select("a", "b")
+    named = large.select("sig", "th").join(components(links).withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    named = materialize(named, "named")
+    mixed = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    open_ = materialize(named.join(mixed, "sig").groupBy("th").agg(F.first("root").alias("root"), F.collect_list("sig").alias("sigs")), "open")
+    if open_.isEmpty():
+        return links, found
+    members = materialize(surroundings(open_.join(_once(texts, open_), "th")), "surroundings")
+    more = links_in_groups(members, None, lambda common, x, y: common >= LEAST, lambda x, y: bool(align(x, y) or align(y, x)), links)
+    return links.unionAll(more), found.unionAll(verified(more.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), texts))
 
 
 def stretch(hit: np.ndarray) -> tuple[int, int, int]:
@@ -270,14 +212,14 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]
     return sorted((i, j + SHINGLE - 2, p, q + SHINGLE - 2, x) for i, j, p, q, x in found)
 
 
-def verified(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
-    """a, b and the passages of each of the pairs (a, b) of texts that has any."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return aligned(pairs, materialize(texts.join(nodes, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "texts"))
+def _once(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """th, text: the texts that named has, each once."""
+    return materialize(texts.join(named.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "texts")
 
 
-def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b and the passages of each of the pairs (a, b) of texts that has any."""
+    texts = _once(texts, pairs.select(F.explode(F.array("a", "b")).alias("th")))
     both = pairs.join(texts.withColumnsRenamed({"th": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"th": "b", "text": "tb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +257,10 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeat an id and a text are as many rows; null ids are never a class_id unless all of a class are null; other columns
     are not read; an empty table gives no rows.
     """
-    found = settled(docs, text_col)
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), (F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")) >= WORDS).alias("long")), "rows")
+    links, found = settled(docs, text_col)
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col).rlike(LONG), F.lit(False)).alias("long")), "rows")
     texts = materialize(rows.where("long").groupBy("th").agg(F.min("doc_id").alias("first")), "firsts")
-    linked = components(found.select("a", "b")).withColumnsRenamed({"node": "th"}).join(texts, "th")
+    linked = components(links).withColumnsRenamed({"node": "th"}).join(texts, "th")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("low")), "root").select("th", "low")
     flip = F.transform("passages", lambda p: F.struct(p["b_start"].alias("start"), p["b_end"].alias("end"), p["a_start"].alias("partner_start"), p["a_end"].alias("partner_end"), p["similarity"].alias("similarity")))
     keep = F.transform("passages", lambda p: F.struct(p["a_start"].alias("start"), p["a_end"].alias("end"), p["b_start"].alias("partner_start"), p["b_end"].alias("partner_end"), p["similarity"].alias("similarity")))

@@ -18,16 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lograil.llm._common import bounded_batches, components, materialize
+from lograil.llm.groups import jaccard, links_in_groups
 
 BITS = 64
-#: Levels of sampled fingerprints: (samples, shingles in each). Two texts alike by 0.8 share one of the first level with
-#: probability 0.9998, of each further level with 0.99998. Further ones are for texts that share one with many others.
-LEVELS = [(12, 3), (48, 6), (160, 12)]
-#: Texts with a common sampled fingerprint that are compared each with each at once.
-SMALL = 16
-#: Texts of a large group that are compared with the whole group in one round, where the last level leaves it open.
-BLOCK = 64
-_MIX = np.random.default_rng(7).integers(1, 1 << 63, (max(n for n, _ in LEVELS), 2), dtype=np.uint64) | np.uint64(1)
+#: Sampled fingerprints of a text, and shingles in each: texts alike by 0.8 share one with probability 0.9998.
+SAMPLES, SIZE = 12, 3
+_MIX = np.random.default_rng(7).integers(1, 1 << 63, (SAMPLES, 2), dtype=np.uint64) | np.uint64(1)
 
 
 def digests(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -59,17 +55,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return majority(digests(text, shingle, seed))
 
 
-def sample_prints(distinct: np.ndarray, samples: int, size: int) -> list[int]:
-    """SimHashes of consistent samples of a shingle set: its `size` smallest under each of `samples` hash functions.
+def sample_prints(distinct: np.ndarray) -> list[int]:
+    """SimHashes of consistent samples of a shingle set: its three smallest under each of SAMPLES hash functions.
 
-    Sets of Jaccard similarity s have a given sample, and thus its SimHash, in common with probability of about s ** size.
+    Sets of Jaccard similarity s have a given sample, and thus its SimHash, in common with probability of about s ** 3. Sets
+    of up to three shingles are alike by more than 0.75 only if they are equal, and have one print of the whole set.
     """
-    if len(distinct) <= size:
+    if len(distinct) <= SIZE:
         return [majority(distinct)] if len(distinct) else []
-    chosen = (distinct[np.argpartition((distinct ^ add) * mult, size - 1)[:size]] for add, mult in _MIX[:samples])
-    if size == 3:
-        return [(x & y) | (y & z) | (x & z) for x, y, z in (c.tolist() for c in chosen)]
-    return [majority(c) for c in chosen]
+    chosen = (distinct[np.argpartition((distinct ^ add) * mult, SIZE - 1)[:SIZE]] for add, mult in _MIX)
+    return [(x & y) | (y & z) | (x & z) for x, y, z in (c.tolist() for c in chosen)]
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -250,7 +245,7 @@ def with_prints(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> Da
                 fps.append(fp)
                 sids.append(xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes()) if len(distinct) else 0)
                 sizes.append(len(distinct))
-                keys.append(np.array(list({fp, *sample_prints(distinct, *LEVELS[0])}), np.uint64).view(np.int64))
+                keys.append(np.array(list({fp, *sample_prints(distinct)}), np.uint64).view(np.int64))
                 sets.append(np.unique((distinct >> np.uint64(32)).astype("<u4")).tobytes())
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sids)]
             cols = [batch.column(0), *signed, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
@@ -259,101 +254,20 @@ def with_prints(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> Da
     return kept.mapInArrow(run, f"_row {kept.dtypes[0][1]}, fp long, sid long, n int, keys array<long>, sh binary")
 
 
-def deeper(rest: DataFrame, rows: DataFrame, level: tuple[int, int]) -> DataFrame:
-    """m, k: the sampled fingerprints of a further level, for the sets that rest (k, m) names; rows has sid and sh."""
-    samples, size = level
-    members = rest.groupBy("m.sid").agg(F.first("m").alias("m"))
-    sets = rows.join(members.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("sh").alias("sh"))
-    both = members.join(sets, "sid").select("m", "sh")
-    bounded_batches(rows.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            keys = []
-            for sh in batch.column(1):
-                mixed = np.frombuffer(sh.as_buffer(), "<u4").astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                keys.append(np.unique(np.array(sample_prints(mixed, samples, size), np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["m", "keys"])
-
-    return both.mapInArrow(run, f"m {both.dtypes[0][1]}, keys array<long>").select("m", F.explode("keys").alias("k"))
-
-
-def fitting(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (c, p) of sids, one row each, from pairs (x, y) of members whose roots differ and whose sizes may be alike."""
-    near = F.least("x.n", "y.n") >= F.lit(float(similarity)) * F.greatest("x.n", "y.n")
-    return pairs.where(near & (F.col("x.root") != F.col("y.root"))).select(F.col("x.sid").alias("c"), F.col("y.sid").alias("p")).distinct()
-
-
-def by_keys(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, y) of members m with a common key k, and the rows (k, m, size) of the large groups.
-
-    Up to SMALL members meet each with each. In a large group they meet the first and the last one only, in order of
-    their roots, so that it gives two rows a member: what that leaves open is for `unsettled`.
-    """
-    groups = materialize(keyed.groupBy("k").agg(F.count("*").alias("size"), F.min("m").alias("low"), F.max("m").alias("high")).where("size > 1"), "groups")
-    own = materialize(keyed.join(groups, "k"), "keyed")
-    small, large = own.where(f"size <= {SMALL}"), own.where(f"size > {SMALL}")
-    each = small.select("k", F.col("m").alias("x")).join(small.select("k", F.col("m").alias("y")), "k").where("x.sid < y.sid").select("x", "y")
-    star = large.select(F.explode(F.array("low", "high")).alias("x"), F.col("m").alias("y"))
-    return each.unionAll(star), large.select("k", "m")
-
-
-def unsettled(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of large (k, m, any others) of the groups whose members are not all one component of the links (a, b) found; m has the new roots.
-
-    Where all are one component no further link changes anything.
-    """
-    roots = components(found)
-    named = large.join(roots, F.col("m.sid") == F.col("node"), "left").withColumn("m", F.struct(F.coalesce("root", "m.sid").alias("root"), "m.sid", "m.n")).drop("node", "root")
-    named = materialize(named, "named")
-    mixed = named.groupBy("k").agg(F.min("m.root").alias("lo"), F.max("m.root").alias("hi")).where("lo <> hi").select("k")
-    return materialize(named.join(mixed, "k", "left_semi"), "unsettled")
-
-
-def by_blocks(large: DataFrame, found: DataFrame, verify) -> DataFrame:
-    """All links (a, b): those found, and what comparing blocks of about BLOCK members with their whole group adds.
-
-    Two members of different components are not both of a group's largest one, so only those outside it take their turn
-    in a block. There is one block a round, until the group is one component or no block is left; so every two members of
-    different components are compared, and a round's rows are linear in the groups.
-    """
-    rest = unsettled(large, found)
-    shares = rest.groupBy("k", F.col("m.root").alias("root")).agg(F.count("*").alias("c"))
-    most = shares.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.ceil((F.sum("c") - F.max("c")) / BLOCK).alias("blocks"))
-    turn = F.when(F.col("m.root") != F.col("most"), F.pmod(F.xxhash64("m.sid"), F.col("blocks")))
-    rest, block = materialize(rest.join(most, "k").select("k", "m", "blocks", turn.alias("turn")), "blocks"), 0
-    while not (rest := rest.where(F.col("blocks") > block)).isEmpty():
-        centres = rest.where(F.col("turn") == block).select("k", F.col("m").alias("x"))
-        added = verify(centres.join(rest.select("k", F.col("m").alias("y")), "k").select("x", "y"))
-        found = found.unionAll(added)
-        block, rest = block + 1, unsettled(rest, found)
-    return found
-
-
 def all_links(rows: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between alike shingle sets, whose components are those of all links; rows as of `with_prints`.
 
-    Candidates have a sampled fingerprint in common, or whole fingerprints that `links` joins. Members of large groups
-    that the first comparisons leave in several components go on to a level of larger samples, which only texts alike in
-    most shingles share. That can miss pairs, such as short texts, so what is then open of the first level's groups is
-    compared in blocks.
+    Candidates have a sampled fingerprint in common, or whole fingerprints that `links` joins. Sets that share a sampled one
+    are a group, of any size, in which all are compared, in blocks (see `groups`).
     """
-    verify = lambda pairs: materialize(alike(fitting(pairs, similarity), rows.select("sid", "sh"), similarity), "alike")
     sets = materialize(rows.groupBy("sid").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "prints")
-    member = F.struct(F.col("sid").alias("root"), "sid", "n").alias("m")
-    pairs, large = by_keys(sets.select(member, F.explode("keys").alias("k")))
-    first = materialize(sets.groupBy("fp").agg(F.min(member).alias("m")), "first")
-    near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("m").alias("y")), "a").join(first.select(F.col("fp").alias("b"), F.col("m").alias("x")), "b")
-    found = verify(pairs.unionAll(near.select("x", "y")))
-    rest = unsettled(large, found)
-    groups = rest  # of the first level: only these name all candidates, further levels settle most of them
-    for level in LEVELS[1:]:
-        if rest.isEmpty():
-            break
-        pairs, large = by_keys(materialize(deeper(rest, rows, level), "deeper"))
-        found = found.unionAll(verify(pairs))
-        rest = unsettled(large, found)
-    return by_blocks(groups, found, verify)
+    keyed = sets.select(F.col("sid").alias("id"), F.col("sid").alias("root"), "n", F.explode("keys").alias("k"))
+    often = keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    members = materialize(keyed.join(often, "k"), "members")
+    named = materialize(rows.select("sid", "sh").join(members.select(F.col("id").alias("sid")).distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("sh").alias("w")).withColumnRenamed("sid", "id"), "sets")
+    first = materialize(sets.groupBy("fp").agg(F.min("sid").alias("sid")), "first")
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("sid").alias("c")), "a").join(first.select(F.col("fp").alias("b"), F.col("sid").alias("p")), "b")
+    return links_in_groups(members, named, jaccard(similarity)).unionAll(alike(near.select("c", "p"), rows.select("sid", "sh"), similarity))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float, salt: int = 1000) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lograil.llm import bpe, hnsw, langid, linededup, mixing, passages, quality, simhash, warc
+from lograil.llm import bpe, groups, hnsw, langid, linededup, mixing, passages, quality, simhash, warc
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " \n\t ", "the", "The THE the", "é ÉÉ ﬁ Σας", "x" * 5000, "a <|endoftext|> b", "1234 !?! it's"]
@@ -70,10 +70,9 @@ def test_stars_keep_all_links(spark):
     assert {r["root"] for r in found} == {min(fps)} and len(found) == len(fps)
 
 
-@pytest.mark.parametrize(("small", "levels"), [(16, 3), (2, 1)])  # as in production; large groups in blocks alone
-def test_keep_one_alike_equals_brute_force(spark, monkeypatch, small, levels):
-    monkeypatch.setattr(simhash, "SMALL", small)
-    monkeypatch.setattr(simhash, "LEVELS", simhash.LEVELS[:levels])
+@pytest.mark.parametrize("block", [groups.BLOCK, 8])  # as in production; groups of many blocks
+def test_keep_one_alike_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(groups, "BLOCK", block)
     rng = random.Random(8)
     base = [words(rng, 200).split() for _ in range(30)]
     passage = words(rng, 150)
@@ -84,7 +83,7 @@ def test_keep_one_alike_equals_brute_force(spark, monkeypatch, small, levels):
             for at in rng.sample(range(0, 200, 6), changed):
                 own[at] = "new" + str(rng.random())
             texts.append(" ".join(own))
-    texts += [passage + " " + words(rng, n) for n in (5, 10, 20, 60, 90, 120) for _ in range(12)]  # more than SMALL share the passage
+    texts += [passage + " " + words(rng, n) for n in (5, 10, 20, 60, 90, 120) for _ in range(12)]  # more than a block of 8 share the passage
 
     def sets(t):
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
@@ -106,7 +105,6 @@ def test_keep_one_alike_of_short_texts_with_a_frame(spark):
     for _ in range(150):  # 5 shingles, and the same with one more word: alike by 5/6
         own = frame + " " + words(rng, 1) + str(rng.random())
         texts += [own, own + " " + words(rng, 1) + str(rng.random())]
-    assert len(texts) > simhash.SMALL
     got = simhash.keep_one_alike(docs(spark, texts)).where("doc_id is not null").collect()
     assert sorted(r["doc_id"] for r in got) == list(range(0, 300, 2))
 
@@ -199,7 +197,9 @@ def test_passages_that_a_text_repeats(spark):
     assert spans(2) == {(100, 159)} and spans(3) == {(20, 79), (110, 169)}
 
 
-def test_passages_of_a_common_frame_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [groups.BLOCK, 8])
+def test_passages_of_a_common_frame_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(groups, "BLOCK", block)
     rng = random.Random(12)
     frame, texts = words(rng, 42), []
     for _ in range(60):  # families of two, alike by over 0.8; different families share only the frame
