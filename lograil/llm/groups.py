@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,27 +17,39 @@ BLOCK, BYTES = 1024, 1 << 24
 #: Values of the common vocabulary that are multiplied at once.
 _COLUMNS = 4096
 
-#: Whether sets may be alike, from arrays of the common values and of both sizes; whether two sets are, if that is not enough.
+#: Whether sets may be alike, from arrays of the common values and of both sizes.
 Fits = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-Check = Callable[[np.ndarray, np.ndarray], bool]
+
+
+@dataclass(frozen=True)
+class Check:
+    """Further tests of sequences whose sets fit. `dense`: for rows of flags, which values of one sequence another has, whether
+    they may be linked; `alike`: whether two sequences are."""
+
+    dense: Callable[[np.ndarray], np.ndarray]
+    alike: Callable[[np.ndarray, np.ndarray], bool]
 
 
 def jaccard(similarity: float) -> Fits:
     return lambda common, x, y: (common >= similarity * (x + y - common)) & (common > 0)
 
 
-def common_values(sets: list[np.ndarray]) -> np.ndarray:
-    """Number of common values of each two of some sorted sets, by matrix products over the values that several sets have."""
-    sizes = [len(s) for s in sets]
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+def _columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values that several of some sorted sets have; and owner and number of the value for each of their occurrences, by value."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    column = np.cumsum(np.concatenate(([False], flat[1:] != flat[:-1])))
-    shared = np.bincount(column, minlength=1) > 1
-    kept = shared[column] if len(column) else np.empty(0, bool)
-    owner, column = owner[kept], (np.cumsum(shared) - 1)[column[kept]]
+    first = np.concatenate(([True], flat[1:] != flat[:-1]))[: len(flat)]
+    shared = np.bincount(np.cumsum(first) - 1, minlength=1) > 1
+    kept = shared[np.cumsum(first) - 1] if len(flat) else first
+    return flat[first][shared[: first.sum()]], owner[kept], (np.cumsum(shared) - 1)[(np.cumsum(first) - 1)[kept]]
+
+
+def common_values(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common values of each two of some sorted sets, by matrix products over the values that several sets have."""
+    values, owner, column = _columns(sets)
     common = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+    for lo in range(0, len(values), _COLUMNS):
         a, b = np.searchsorted(column, (lo, lo + _COLUMNS))
         part = np.zeros((len(sets), int(column[b - 1]) - lo + 1), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
@@ -71,12 +84,19 @@ def linked(sets: list[np.ndarray], fits: Fits, check: Check | None = None, label
                 out += [(i, j) for j in near.tolist()]
                 todo += near.tolist()
         return out
+    values, owner, column = _columns(sets)
+    has = np.zeros((len(sets), len(values) + 1), bool)  # the last column: values of one set alone
+    has[owner, column] = True
     label = np.arange(len(sets)) if label is None else np.unique(label, return_inverse=True)[1]
     for i in range(1, len(sets)):
-        while len(near := np.flatnonzero(good[i, :i] & (label[:i] != label[i]))):
-            j = int(near[0])
-            good[i, j] = False
-            if check(given[i], given[j]):
+        near = np.flatnonzero(good[i, :i] & (label[:i] != label[i]))
+        if len(near):
+            spot = np.searchsorted(values, given[i]).clip(max=max(len(values) - 1, 0))
+            spot = np.where(values[spot] == given[i], spot, len(values)) if len(values) else np.full(len(given[i]), 0)
+            near = near[check.dense(has[near[:, None], spot])]
+        while len(near := near[label[near] != label[i]]):
+            j, near = int(near[0]), near[1:]
+            if check.alike(given[i], given[j]):
                 out.append((i, j))
                 label[label == label[j]] = label[i]
     return out

@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lograil.llm._common import WORD, bounded_batches, components, materialize
-from lograil.llm.groups import links_in_groups
+from lograil.llm.groups import Check, links_in_groups
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 WIDTH = WORDS - SHINGLE + 1
 #: Hash functions, the shingles in a row that near-duplicate passages have in common, and those in WIDTH (0.8 / 1.8 of both).
 HASHES, RUN, LEAST = 2, 20, 41
-#: Shingles on each side of a signature's minimum that are compared: a passage's width and some more.
-AROUND = 64
+#: Shingles on each side of a signature's minimum that are compared: a passage's width and some more. Longest gap looked over.
+AROUND, GAP = 64, 12
 #: A text of at least 50 words; reads no more of it than these.
 LONG = f"^(?:[\\x20\\x09-\\x0D]*+{WORD}+){{{WORDS}}}"
 #: Texts with a common signature that are aligned each with each.
@@ -140,10 +140,36 @@ def settled(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     if open_.isEmpty():
         return links, found
     members = materialize(surroundings(open_.join(_once(texts, open_), "th")), "surroundings")
-    more = links_in_groups(members, None, lambda common, x, y: common >= LEAST, lambda x, y: bool(align(x, y) or align(y, x)), links)
+    more = links_in_groups(members, None, lambda common, x, y: common >= LEAST, Check(dense, lambda x, y: bool(near(x, y))), links)
     return links.unionAll(more), found.unionAll(verified(more.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), texts))
 
 
+def dense(hits: np.ndarray) -> np.ndarray:
+    """For each row of hits (shingles of one text that others have): whether some WIDTH in a row begin in a hit, have LEAST - 1 of
+    them, and go on to a hit at their end or shortly behind it. Passages alike by 0.8 do; much cheaper than to align."""
+    if hits.shape[1] < WIDTH:
+        return np.zeros(len(hits), bool)
+    total = np.cumsum(hits, axis=1, dtype=np.int32)
+    total = np.concatenate((np.zeros((len(hits), 1), np.int32), total, np.repeat(total[:, -1:], GAP, axis=1)), axis=1)
+    n = hits.shape[1] - WIDTH + 1
+    ends = total[:, WIDTH + GAP - 1 : WIDTH + GAP - 1 + n] > total[:, WIDTH - 1 : WIDTH - 1 + n]
+    return (hits[:, :n] & ends & (total[:, WIDTH : WIDTH + n] - total[:, :n] >= LEAST - 1)).any(axis=1)
+
+
+def near(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """`align` of two shingle sequences in both directions; once where no shingle that they share is repeated in either."""
+    if not len(y):
+        return []
+    values = np.unique(y)
+    common = values[np.searchsorted(values, x).clip(max=len(values) - 1)] == x
+    if not dense(common[None, :])[0]:
+        return []
+    own = x[common]
+    if len(values) == len(y) and len(np.unique(own)) == len(own):
+        return sorted(align(x, y))
+    return sorted({*align(x, y), *((p, q, i, j, v) for i, j, p, q, v in align(y, x))})
+
+
 def stretch(hit: np.ndarray) -> tuple[int, int, int]:
     """Start, end and score of the stretch with the most hits over twice its misses."""
     total = np.concatenate(([0], np.cumsum(np.where(hit, 1, -2))))
@@ -236,8 +262,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             cells: list[list] = [[], [], []]
             for a, b, ta, tb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")], strict=True):
-                x, y = hashed(a, ta), hashed(b, tb)
-                got = sorted({*align(x, y), *((p, q, i, j, v) for i, j, p, q, v in align(y, x))})
+                got = near(hashed(a, ta), hashed(b, tb))
                 if got:
                     for cell, v in zip(cells, (a, b, [dict(zip(("a_start", "a_end", "b_start", "b_end", "similarity"), g, strict=True)) for g in got]), strict=True):
                         cell.append(v)
