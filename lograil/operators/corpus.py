@@ -8,24 +8,37 @@ from pyspark.sql import functions as F
 
 
 def markdown_chunks(pages: DataFrame, col: str = "text") -> DataFrame:
-    """One chunk for each H2 section: id doc::i, H1 (or the doc id) in front; pages without doc_id or H2 go."""
+    """One chunk for each H2 section: id doc::i, the H1 (or the doc id) in front, headings kept; pages without doc_id,
+    attack_type or H2 go."""
     front = F.regexp_extract(col, r"(?s)^---\s*\n(.*?)\n---", 1)
     meta = lambda k: F.trim(F.regexp_extract(front, rf"(?m)^{k}:\s*(.*)$", 1))
-    body = F.regexp_replace(col, r"(?s)^---\s*\n.*?\n---\s*\n?", "")
-    rows = pages.select(meta("doc_id").alias("doc_id"), meta("attack_type").alias("attack_type"), F.trim(F.regexp_extract(body, r"(?m)^#\s+(.*)$", 1)).alias("h1"), F.slice(F.split(body, r"(?m)^##\s+"), 2, 10_000).alias("parts"))
-    kept = rows.where((F.col("doc_id") != "") & (F.size("parts") > 0))
+    body = F.concat(F.lit("\n"), F.regexp_replace(col, r"(?s)^---\s*\n.*?\n---\s*\n?", ""))
+    rows = pages.select(meta("doc_id").alias("doc_id"), meta("attack_type").alias("attack_type"), F.trim(F.regexp_extract(body, r"(?m)^#\s+(.*)$", 1)).alias("h1"), F.split(body, r"(?m)^(?=##\s+\S)").alias("parts"))
+    kept = rows.where((F.col("doc_id") != "") & (F.col("attack_type") != "") & (F.size("parts") > 1))
     title = F.when(F.col("h1") == "", F.col("doc_id")).otherwise(F.col("h1"))
-    return kept.select("doc_id", "attack_type", title.alias("title"), F.posexplode("parts").alias("i", "part")).select(F.concat("doc_id", F.lit("::"), F.col("i")).alias("source_id"), "attack_type", F.concat("title", F.lit("\n"), F.trim("part", F.lit(" \n\r\t"))).alias("content"))
+    each = kept.select("doc_id", "attack_type", title.alias("title"), F.posexplode(F.slice("parts", F.lit(2), F.size("parts") - 1)).alias("i", "part"))
+    return each.select(F.concat("doc_id", F.lit("::"), F.col("i")).alias("source_id"), "attack_type", F.concat(F.lit("# "), "title", F.lit("\n\n"), F.trim("part", F.lit(" \n\r\t\f\x0b"))).alias("content"))
 
 
-def described(fields: list[str]) -> Column:
-    """key=value parts in fixed order, without empty ones."""
-    return F.concat_ws(" ", *[F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{f}="), F.col(f).cast("string"))) for f in fields])
+def _text(rows: DataFrame, name: str) -> Column:
+    """A column as text, null where it is missing, blank or 0."""
+    if name not in rows.columns:
+        return F.lit(None).cast("string")
+    kept = F.col(name).cast("string")
+    return F.when(~kept.isin("", "0"), kept)
 
 
-def event_evidence(events: DataFrame, fields: list[str]) -> DataFrame:
-    """One text for each event, cut titles apart; events without any part go."""
-    return events.select(F.col("event_id").alias("source_id"), described(fields).alias("content")).where("content <> ''")
+def described(rows: DataFrame) -> Column:
+    """Parts of an event in fixed order: type, rule, value, ip, request, status, agent, time; else 200 characters of its title or summary."""
+    part = lambda label, name: F.concat(F.lit(label), _text(rows, name))
+    request = F.when(_text(rows, "method").isNotNull(), F.rtrim(F.concat(F.lit("request="), F.concat_ws(" ", _text(rows, "method"), _text(rows, "path")))))
+    parts = F.concat_ws(" ", part("attack_type=", "attack_type"), part("rule_id=", "rule_id"), part("matched_value=", "matched_value"), part("ip=", "ip"), request, part("status=", "status"), part("ua=", "user_agent"), part("@", "ts_ms"))
+    return F.when(parts != "", parts).otherwise(F.coalesce(F.substring(F.coalesce(_text(rows, "title"), _text(rows, "summary")), 1, 200), F.lit("")))
+
+
+def event_evidence(events: DataFrame) -> DataFrame:
+    """One text for each event (see `described`; columns that are missing count as blank); events without any part go."""
+    return events.select(F.col("event_id").alias("source_id"), described(events).alias("content")).where("content <> ''")
 
 
 def idle_sessions(logs: DataFrame, gap_ms: int = 300_000) -> DataFrame:
@@ -47,8 +60,8 @@ def anchored_sessions(logs: DataFrame, span_ms: int = 300_000) -> DataFrame:
     spans = rows.groupBy("ip", "island").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"))
     whole = F.col("end_ms") - F.col("start_ms") <= span_ms
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("ip", "island").orderBy("ts_ms", "event_id"))).where("k <= 5").groupBy("ip", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "request"))), lambda r: r["request"]), "; ").alias("t"))
-    more = F.when(F.col("n") > 5, F.concat(F.lit(" (+"), (F.col("n") - 5).cast("string"), F.lit(" more)"))).otherwise("")
-    short = spans.where(whole).join(first, ["ip", "island"]).select(F.concat_ws("-", F.lit("session"), "ip", F.col("start_ms").cast("string"), F.col("end_ms").cast("string")).alias("source_id"), "ip", "start_ms", "end_ms", "n", F.concat(F.lit("IP "), "ip", F.lit(": "), "t", more).alias("content"))
+    more = F.when(F.col("n") > 5, F.concat(F.lit("; ...(+"), (F.col("n") - 5).cast("string"), F.lit(" more)"))).otherwise("")
+    short = spans.where(whole).join(first, ["ip", "island"]).select(F.concat_ws("::", F.lit("nginx_session"), "ip", F.col("start_ms").cast("string"), F.col("end_ms").cast("string")).alias("source_id"), "ip", "start_ms", "end_ms", "n", F.concat(F.lit("ip="), "ip", F.lit(" 在 ["), F.col("start_ms").cast("string"), F.lit("~"), F.col("end_ms").cast("string"), F.lit("] 发起 "), F.col("n").cast("string"), F.lit(" 次请求: "), "t", more).alias("content"))
     long = rows.join(spans.where(~whole).select("ip", "island"), ["ip", "island"], "left_semi")
 
     def chunks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -62,22 +75,25 @@ def anchored_sessions(logs: DataFrame, span_ms: int = 300_000) -> DataFrame:
             out[-1][3] += 1
             if len(out[-1][4]) < 5:
                 out[-1][4].append(r)
-        text = [f"IP {ip}: " + "; ".join(rs) + (f" (+{n - 5} more)" if n > 5 else "") for ip, _, _, n, rs in out]
-        return pd.DataFrame({"source_id": [f"session-{o[0]}-{o[1]}-{o[2]}" for o in out], "ip": [o[0] for o in out], "start_ms": [o[1] for o in out], "end_ms": [o[2] for o in out], "n": [o[3] for o in out], "content": text})
+        text = [f"ip={ip} 在 [{a}~{b}] 发起 {n} 次请求: " + "; ".join(rs) + (f"; ...(+{n - 5} more)" if n > 5 else "") for ip, a, b, n, rs in out]
+        return pd.DataFrame({"source_id": [f"nginx_session::{o[0]}::{o[1]}::{o[2]}" for o in out], "ip": [o[0] for o in out], "start_ms": [o[1] for o in out], "end_ms": [o[2] for o in out], "n": [o[3] for o in out], "content": text})
 
     return short.unionByName(long.groupBy("ip", "island").applyInPandas(chunks, "source_id string, ip string, start_ms long, end_ms long, n long, content string"))
 
 
 def fallback(rows: DataFrame) -> DataFrame:
-    """Text and id of a hit: content, else its parts; event_id before source_id before _id."""
-    parts = F.concat_ws(" ", "attack_type", "ip", "path")
-    return rows.select(F.coalesce("event_id", "source_id", "_id").alias("source_id"), F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(parts).alias("content"))
+    """Text and id of a hit: content, else its parts, else 200 characters of the record; event_id before source_id before _id, blank ones count as missing."""
+    part = lambda label, name: F.concat(F.lit(label), _text(rows, name))
+    request = F.when(_text(rows, "method").isNotNull(), F.concat_ws(" ", _text(rows, "method"), _text(rows, "path")))
+    parts = F.concat_ws(" ", F.concat(F.lit("["), _text(rows, "attack_type"), F.lit("]")), part("rule=", "rule_id"), part("ip=", "ip"), request, part("status=", "status"), part("matched=", "matched_value"))
+    record = F.substring(F.to_json(F.struct(*rows.columns)), 1, 200)
+    ids = [F.when(F.col(c) != "", F.col(c)) for c in ("event_id", "source_id", "_id")]
+    return rows.select(F.coalesce(*ids, F.lit("")).alias("source_id"), F.coalesce(_text(rows, "content"), F.when(parts != "", parts), record).alias("content"))
 
 
 def gate(rows: DataFrame) -> DataFrame:
-    """Adds `dropped`: the first reason for which a case is refused, null if it stays."""
-    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    why = F.when(empty("event_id"), "no id").when(empty("attack_type"), "no attack type").when(F.col("ts_ms").isNull(), "no time").when(empty("path") | (F.col("path") == "/"), "no path").when(F.coalesce("status", F.lit(0)) == 0, "no status")
+    """Adds `dropped`: the first reason for which a case is refused (no_attack_type, no_ip, no_timestamp, no_content), null if it stays."""
+    why = F.when(_text(rows, "attack_type").isNull(), "no_attack_type").when(_text(rows, "ip").isNull(), "no_ip").when(F.col("ts_ms").isNull(), "no_timestamp").when(described(rows) == "", "no_content")
     return rows.withColumn("dropped", why)
 
 

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lograil.operators.rules import LIBRARIES, PROFILES, Profile, validate
+from lograil.operators.rules import LIBRARIES, PROFILES, Profile, dialect, validate
 
 MATCH = "array<struct<field:string,pattern_id:string,matched_value:string>>"
 
 
 def union_of(patterns: list[tuple[str, str]]) -> str:
     """One alternation of a library's patterns, each with its own flags."""
-    flagged = [(rx[2 : rx.index(")")], rx[rx.index(")") + 1 :]) if rx.startswith("(?i") else ("", rx) for _, rx in patterns]
+    flagged = [(rx[2 : rx.index(")")], rx[rx.index(")") + 1 :]) if rx.startswith("(?i") else ("", rx) for rx in (dialect(rx) for _, rx in patterns)]
     return "|".join(f"(?{fl}:{rx})" if fl else f"(?:{rx})" for fl, rx in flagged)
 
 
 def matches(field: str, patterns: list[tuple[str, str]]) -> Column:
     """The patterns found in a field, in order; single patterns are only tried where the alternation finds one."""
-    each = F.array(*[F.when(F.col(field).rlike(rx), F.struct(F.lit(field).alias("field"), F.lit(pid).alias("pattern_id"), F.col(field).alias("matched_value"))) for pid, rx in patterns])
+    each = F.array(*[F.when(F.col(field).rlike(dialect(rx)), F.struct(F.lit(field).alias("field"), F.lit(pid).alias("pattern_id"), F.col(field).alias("matched_value"))) for pid, rx in patterns])
     found = F.col(field).isNotNull() & (F.col(field) != "") & F.col(field).rlike(union_of(patterns))
     return F.when(found, F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast(MATCH))
 

@@ -63,11 +63,26 @@ def variants(cases: DataFrame, names: list[str]) -> DataFrame:
     return long.groupBy("metric").pivot("variant", ["baseline", "upgraded"]).agg(F.coalesce(F.first("v"), F.lit(0.0))).na.fill(0.0)
 
 
-def gate(calls: DataFrame, budget: int, max_tokens: int, least: int) -> DataFrame:
-    """case_id and the reasons for which a trajectory is looked at again."""
+def gate(calls: DataFrame, budget: int, max_tokens: int = 8000, least: int = 2, hypotheses: int = 0) -> DataFrame:
+    """case_id and the reasons for which a trajectory is looked at again, in fixed order.
+
+    An evidence is an id, or without one the first 50 characters of its text, once for each case. risk_level, if calls has it,
+    is that of a call's evidence. The budget is nearly spent with a fifth of it left, or one call.
+    """
     w = Window.partitionBy("case_id").orderBy(F.desc("step"))
     back = F.max(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = calls.withColumns({"k": F.row_number().over(w), "trailing": (back == 0).cast("int")})
-    by = rows.groupBy("case_id").agg(F.max_by("ok", "step").alias("last_ok"), F.sum("trailing").alias("trail"), F.countDistinct(F.when(F.col("source_id") != "", F.col("source_id"))).alias("evidence"), F.max_by("source_id", "step").alias("last_id"), F.count("*").alias("steps"), F.sum("tokens").alias("tokens"), (F.count_if(F.col("k") <= 2) == 2).alias("two"), F.countDistinct(F.when(F.col("k") <= 2, F.concat_ws("|", "tool", "args"))).alias("different"))
-    why = [("last_failed", ~F.col("last_ok")), ("repeated_failures", F.col("trail") >= 2), ("little_evidence", F.col("evidence") < least), ("budget", (F.col("steps") >= budget - 1) | (F.col("tokens") > max_tokens)), ("same_arguments", F.col("two") & (F.col("different") == 1)), ("no_ids", F.col("last_id") == "")]
+    risk = F.col("risk_level") if "risk_level" in calls.columns else F.lit(None).cast("string")
+    evidence = F.when(F.coalesce("source_id", F.lit("")) != "", F.col("source_id")).otherwise(F.substring("text", 1, 50))
+    rows = calls.withColumns({"k": F.row_number().over(w), "trailing": (back == 0).cast("int"), "_risk": F.when(risk != "", risk), "_evidence": evidence})
+    last = F.col("k") <= 2
+    by = rows.groupBy("case_id").agg(
+        F.max_by("ok", "step").alias("last_ok"), F.sum("trailing").alias("trail"), F.countDistinct("_evidence").alias("evidence"), F.max_by(F.coalesce("source_id", F.lit("")), "step").alias("last_id"), F.count("*").alias("steps"), F.sum("tokens").alias("tokens"),
+        (F.count_if(last & (F.coalesce("args", F.lit("")) != "")) == 2).alias("two"), F.countDistinct(F.when(last, F.col("args"))).alias("different"), F.countDistinct("_risk").alias("risks"),
+    )
+    failed, conflict = ~F.col("last_ok") | (F.col("trail") >= 2), F.col("risks") > 1
+    near = (budget - F.col("steps") <= max(1, int(budget * 0.2))) if budget else F.lit(True)
+    why = [
+        ("last_failed", ~F.col("last_ok")), ("repeated_failures", F.col("trail") >= 2), ("little_evidence", F.col("evidence") < least), ("conflict", conflict), ("budget", near), ("tokens", F.col("tokens") >= max_tokens),
+        ("same_arguments", F.col("two") & (F.col("different") == 1)), ("no_ids", F.col("last_id") == ""), ("covered", F.lit(hypotheses > 0) & (F.col("evidence") >= hypotheses)), ("change_direction", conflict & failed),
+    ]
     return by.select("case_id", F.array_join(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in why]), lambda x: x.isNotNull()), ",").alias("reasons"))

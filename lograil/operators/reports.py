@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = ["Critical", "High", "Medium", "Low", "Info"]
+LEVELS = ["Critical", "High", "Medium", "Low", "Normal"]
+#: Fixed values of a review.
+VERDICTS = ["correct", "false_positive", "partially_correct", "uncertain"]
+CATEGORIES = ["real_attack", "scanner_probe", "normal_business", "rule_misfire", "ai_misjudgment", "other"]
+ACTIONS = ["ignored", "observed", "ip_blocked", "waf_rule_added", "incident_created", "notified", "other"]
+UNCERTAIN_ACTIONS = ["observed", "ignored", "other"]
 
 
-def threat_levels(reports: DataFrame) -> DataFrame:
-    """level, n: five levels, zero where there are none; unknown counts as Low, blank not at all."""
+def threat_levels(reports: DataFrame, since_ms: int | None = None) -> DataFrame:
+    """level, n: five levels, zero where there are none; unknown counts as Low, blank not at all. since_ms: of later reports only."""
+    reports = reports if since_ms is None else reports.where(F.col("ts_ms") >= since_ms)
     level = F.when(F.lower("risk_level") == "unknown", "Low").otherwise(F.initcap("risk_level"))
     n = reports.where(F.trim("risk_level") != "").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
     all_levels = reports.sparkSession.createDataFrame([(x,) for x in LEVELS], "level string")
@@ -21,12 +27,16 @@ def report_counts(reports: DataFrame, today_ms: int) -> DataFrame:
     return reports.agg(F.count("*").alias("total"), c("risk_level in ('high', 'critical')").alias("high"), c("risk_level = 'medium'").alias("medium"), c(f"ts_ms >= {today_ms}").alias("new_today"), c("review_status = 'pending'").alias("pending"), c("review_status = 'claimed'").alias("claimed"), c(f"review_status = 'processed' and claimed_ms >= {today_ms}").alias("processed_today"))
 
 
-def dashboard(logs: DataFrame, reports: DataFrame, today_ms: int) -> DataFrame:
-    from lograil.operators.logquery import short_number
+def volume(n: Column) -> Column:
+    """A count for a card: millions with one decimal, whole thousands, or as it is."""
+    thousands = F.concat(F.floor(n / 1000).cast("string"), F.lit("K"))
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1000, thousands).otherwise(n.cast("string"))
+
 
+def dashboard(logs: DataFrame, reports: DataFrame, today_ms: int) -> DataFrame:
     a = logs.agg(F.count_if(F.col("ts_ms") >= today_ms).alias("today"), F.count("*").alias("all_time"))
     b = reports.agg(F.count_if(F.col("ts_ms") >= today_ms).alias("reports_today"), F.count_if((F.col("ts_ms") >= today_ms) & F.col("risk_level").isin("critical", "high")).alias("severe_today"))
-    return a.join(F.broadcast(b)).withColumn("all_time_text", short_number(F.col("all_time")))
+    return a.join(F.broadcast(b)).withColumn("today_text", volume(F.col("today")))
 
 
 def next_reports(reports: DataFrame, now_ms: int, k: int, exclude: str | None = None) -> DataFrame:
@@ -61,11 +71,17 @@ def report_details(reports: DataFrame, logs: DataFrame, reviews: DataFrame) -> D
 
 
 def review_errors(rows: DataFrame, actions: Column) -> DataFrame:
-    """errors of a review: verdict, comment of at least 5 characters, and actions that `uncertain` does not allow."""
-    allowed = F.array(F.lit("watch"), F.lit("escalate"), F.lit("collect"))
-    acts = F.array_distinct(actions)
-    errs = F.array(F.when(~F.col("verdict").isin("confirmed", "false_positive", "uncertain"), "verdict"), F.when(F.length(F.trim("comment")) < 5, "comment"), F.when((F.col("verdict") == "uncertain") & (F.size(F.array_except(acts, allowed)) > 0), "actions"))
-    return rows.select("event_id", "seq", F.array_join(F.filter(errs, lambda x: x.isNotNull()), ",").alias("errors"), F.array_join(acts, ",").alias("actions"))
+    """errors of a review (verdict, category, comment, actions) and its actions, each once, in order.
+
+    verdict and category are of fixed values, the trimmed comment has 5 characters or more; up to seven actions, of fixed
+    values, and of three only where the verdict is `uncertain`.
+    """
+    among = lambda c, values: F.coalesce(F.col(c).isin(values), F.lit(False))
+    given = F.coalesce(actions, F.array().cast("array<string>"))
+    other = lambda values: F.size(F.array_except(given, F.array(*[F.lit(v) for v in values]))) > 0
+    bad = other(ACTIONS) | (F.size(given) > 7) | ((F.col("verdict") == "uncertain") & other(UNCERTAIN_ACTIONS))
+    errs = F.array(F.when(~among("verdict", VERDICTS), "verdict"), F.when(~among("category", CATEGORIES), "category"), F.when(F.length(F.trim(F.coalesce("comment", F.lit("")))) < 5, "comment"), F.when(bad, "actions"))
+    return rows.select("event_id", "seq", F.array_join(F.filter(errs, lambda x: x.isNotNull()), ",").alias("errors"), F.array_join(F.array_distinct(given), ",").alias("actions"))
 
 
 def usage(calls: DataFrame, by: str, value: str, total: str) -> DataFrame:

@@ -135,32 +135,46 @@ def case_query(logs: DataFrame) -> DataFrame:
     return logs.select("event_id", F.concat_ws(" ", "attack_type", F.concat(F.lit("IP "), "ip"), F.concat_ws(" ", "method", "path"), F.concat(F.lit("status "), F.col("status").cast("string")), F.when(F.col("user_agent") != "", F.substring("user_agent", 1, 100))).alias("query"))
 
 
-#: Search words by attack type.
-TERMS = {"sql_injection": "SQL injection", "xss": "cross-site scripting XSS", "path_traversal": "path traversal", "command_injection": "command injection", "sensitive_access": "sensitive path access"}
+#: Search words by attack type; what a missing item may name; fields of a tool's record with their labels; names of its lists and ids.
+TERMS = {"sql_injection": "SQL 注入", "xss": "XSS 跨站脚本", "command_injection": "命令注入 RCE", "path_traversal": "路径遍历", "sensitive_access": "敏感文件访问"}
+KEYWORDS = ["SQL注入", "SQLi", "XSS", "路径遍历", "命令注入", "扫描", "爆破", "WebShell", "敏感访问"]
+RECORD_FIELDS = [
+    ("ip", "IP="), ("client_ip", "IP="), ("method", ""), ("path", ""), ("url", ""), ("status", "status="), ("status_code", "status="), ("attack_type", "attack="), ("matched_type", "matched="), ("risk_level", "risk="),
+    ("severity", "severity="), ("timestamp", "ts="), ("time", "ts="),
+]
+LISTS, IDS = ["logs", "events", "reports", "items", "results"], ["event_id", "source_id", "_id", "id"]
 
 
 def knowledge_query(logs: DataFrame) -> DataFrame:
+    """The search words of the first attack type (or the type itself), and the path."""
     first = F.trim(F.get(F.split("attack_type", ","), F.lit(0)))
     words = F.create_map(*[F.lit(x) for kv in TERMS.items() for x in kv])
-    return logs.select("event_id", F.concat_ws(" ", F.coalesce(F.try_element_at(words, first), first), "path").alias("query"))
+    named = F.coalesce(F.try_element_at(words, first), first)
+    return logs.select("event_id", F.concat_ws(" ", F.when(named != "", named), F.when(F.col("path") != "", F.col("path"))).alias("query"))
 
 
-def follow_up(logs: DataFrame, rnd: int, keywords: list[str]) -> DataFrame:
-    """Round 0: ip, type and known keywords of what is missing, else the path; later rounds: ip, method, type."""
+def follow_up(logs: DataFrame, rnd: int, keywords: list[str] = KEYWORDS) -> DataFrame:
+    """Round 0: ip, type and known keywords of what is missing; later rounds: ip, method, type and sqlmap, if the agent is; the path if there is nothing else."""
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
     if rnd:
-        return logs.select("event_id", F.concat_ws(" ", "ip", "method", "attack_type").alias("query"))
-    hit = F.filter(F.array(*[F.lit(w) for w in keywords]), lambda w: F.contains(F.col("missing"), w))
-    return logs.select("event_id", F.concat_ws(" ", F.col("ip"), F.col("attack_type"), F.when(F.size(hit) > 0, F.array_join(hit, " ")).otherwise(F.col("path"))).alias("query"))
+        parts = F.concat_ws(" ", some("ip"), some("method"), some("attack_type"), F.when(F.contains(F.lower("user_agent"), F.lit("sqlmap")), F.lit("sqlmap")))
+    else:
+        parts = F.concat_ws(" ", some("ip"), some("attack_type"), F.filter(F.array(*[F.lit(w) for w in keywords]), lambda w: F.contains(F.col("missing"), w)))
+    return logs.select("event_id", F.when(parts != "", parts).otherwise(F.coalesce("path", F.lit(""))).alias("query"))
 
 
 def tool_evidence(results: DataFrame) -> DataFrame:
-    """The first 20 records of a tool result (array of structs `records`) as evidence."""
-    each = results.select("call_id", F.posexplode(F.slice("records", 1, 20)).alias("i", "r"))
-    text = F.concat_ws(" ", F.concat(F.lit("ip="), "r.ip"), F.concat(F.lit("path="), "r.path"))
-    return each.select("call_id", "i", F.col("r.event_id").alias("source_id"), F.when(text != "", text).otherwise(F.substring(F.to_json("r"), 1, 200)).alias("content"))
+    """The first 20 records of a tool's lists (arrays of structs of one type, in the order of LISTS) as evidence: call_id, i, source_id, content."""
+    lists = [F.coalesce(F.col(c), F.array()) for c in LISTS if c in results.columns]
+    each = results.select("call_id", F.posexplode(F.slice(F.concat(*lists), 1, 20)).alias("i", "r"))
+    has = set(each.schema["r"].dataType.names)
+    some = lambda k: F.when(~F.col(f"r.{k}").cast("string").isin("", "0"), F.col(f"r.{k}").cast("string"))
+    text = F.concat_ws(" ", *[F.concat(F.lit(label), some(k)) for k, label in RECORD_FIELDS if k in has])
+    return each.select("call_id", "i", F.coalesce(*[some(k) for k in IDS if k in has], F.lit("")).alias("source_id"), F.when(text != "", text).otherwise(F.substring(F.to_json("r"), 1, 200)).alias("content"))
 
 
 def call_summary(calls: DataFrame) -> DataFrame:
-    """Arguments (a map) as k=v text, and the outcome as ok(N records) or FAIL: error."""
-    args = F.array_join(F.transform(F.array_sort(F.map_entries("args")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
-    return calls.select("call_id", args.alias("args"), F.when(F.col("ok"), F.concat(F.lit("ok("), F.col("n").cast("string"), F.lit(" records)"))).otherwise(F.concat(F.lit("FAIL: "), "error")).alias("outcome"))
+    """Arguments (a map, in its order) as k=v text, and the outcome: ok(N records), ok for none, or FAIL: error."""
+    args = F.array_join(F.transform(F.map_entries("args"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    good = F.when(F.col("n") > 0, F.concat(F.lit("ok("), F.col("n").cast("string"), F.lit(" records)"))).otherwise("ok")
+    return calls.select("call_id", args.alias("args"), F.when(F.col("ok"), good).otherwise(F.concat(F.lit("FAIL: "), F.coalesce(F.when(F.col("error") != "", F.col("error")), F.lit("unknown error")))).alias("outcome"))

@@ -278,14 +278,14 @@ def a7_trend(logs):
     return logquery.trend(logs, FROM - 7_000_000, TO, "ts_ms")
 
 
-@query("access_log", "reports", sql=f"select (select count(*) from access_log where ts_ms >= {TODAY}) as today, (select count(*) from access_log) as all_time, (select count(*) from reports where ts_ms >= {TODAY}) as reports_today, (select count(*) from reports where ts_ms >= {TODAY} and risk_level in ('critical', 'high')) as severe_today")
+@query("access_log", "reports", sql=f"select (select count(*) from access_log where ts_ms >= {TODAY}) as today, (select count(*) from access_log) as all_time, (select count(*) from reports where ts_ms >= {TODAY}) as reports_today, (select count(*) from reports where ts_ms >= {TODAY} and risk_level in ('critical', 'high')) as severe_today, (select case when count(*) >= 1000000 then printf('%.1fM', count(*) / 1000000.0) when count(*) >= 1000 then concat(cast(count(*) // 1000 as varchar), 'K') else cast(count(*) as varchar) end from access_log where ts_ms >= {TODAY}) as today_text")
 def a8_dashboard(logs, rows):
-    return reports.dashboard(logs, rows, TODAY).drop("all_time_text")
+    return reports.dashboard(logs, rows, TODAY)
 
 
-@query("reports", sql="select l.level, coalesce(n, 0) as n from (values ('Critical'), ('High'), ('Medium'), ('Low'), ('Info')) l(level) left join (select case risk_level when 'unknown' then 'Low' else concat(upper(substr(risk_level, 1, 1)), substr(risk_level, 2)) end as level, count(*) as n from reports where risk_level <> '' group by 1) c on l.level = c.level")
+@query("reports", sql="select l.level, coalesce(n, 0) as n from (values ('Critical'), ('High'), ('Medium'), ('Low'), ('Normal')) l(level) left join (select case when n % 12 = 5 then 'Normal' when risk_level = 'unknown' then 'Low' else concat(upper(substr(risk_level, 1, 1)), substr(risk_level, 2)) end as level, count(*) as n from reports where risk_level <> '' or n % 12 = 5 group by 1) c on l.level = c.level")
 def a9_threat_levels(rows):
-    return reports.threat_levels(rows)
+    return reports.threat_levels(rows.withColumn("risk_level", F.when(F.col("n") % 12 == 5, F.lit("normal")).otherwise(F.col("risk_level"))))
 
 
 @query("reports", sql=f"select count(*) as total, count(*) filter (risk_level in ('high', 'critical')) as high, count(*) filter (risk_level = 'medium') as medium, count(*) filter (ts_ms >= {TODAY}) as new_today, count(*) filter (review_status = 'pending') as pending, count(*) filter (review_status = 'claimed') as claimed, count(*) filter (review_status = 'processed' and claimed_ms >= {TODAY}) as processed_today from reports")
@@ -313,9 +313,10 @@ def a14_review_states(rows):
     return reports.review_states(rows).select("event_id", "seq", "change", "current")
 
 
-@query("reviews", sql="select event_id, seq, concat_ws(',', case when length(trim(comment)) < 5 then 'comment' end, case when verdict = 'uncertain' then 'actions' end) as errors, 'block,watch' as actions from reviews")
+@query("reviews", sql="select event_id, seq, concat_ws(',', case when verdict = 'confirmed' then 'verdict' end, case when seq = 3 then 'category' end, case when length(trim(comment)) < 5 then 'comment' end, case when seq = 2 or (verdict = 'uncertain' and seq = 3) then 'actions' end) as errors, case seq when 1 then 'observed,ignored' when 2 then 'block,other' else 'ip_blocked' end as actions from reviews")
 def a15_review_errors(rows):
-    return reports.review_errors(rows, F.array(F.lit("block"), F.lit("watch"), F.lit("block")))
+    acts = F.when(F.col("seq") == 1, F.array(F.lit("observed"), F.lit("ignored"), F.lit("observed"))).when(F.col("seq") == 2, F.array(F.lit("block"), F.lit("other"))).otherwise(F.array(F.lit("ip_blocked")))
+    return reports.review_errors(rows.withColumn("category", F.when(F.col("seq") == 3, F.lit("attack")).otherwise(F.lit("real_attack"))), acts)
 
 
 @query("calls", sql="select coalesce(role, 'TOTAL') as role, count(*) as calls, count(*) filter (ok) as ok, count(*) filter (not ok) as failed, cast(sum(tokens) as bigint) as tokens from calls group by rollup(role)")
@@ -435,7 +436,7 @@ cast(contains(path, '?') as integer) as has_query, case when contains(path, '?')
 len(regexp_extract_all(path, '[<>!@#$%^&*()\\[\\]{{}}|;:,./?]')) as special_char_count, len(regexp_extract_all(path, '[0-9]')) / length(path) as digit_ratio, len(regexp_extract_all(path, '%[0-9A-Fa-f]{{2}}')) as url_encoded_count,
 cast(contains(path, '%25') as integer) as has_double_encoding, cast((length(path) - length(replace(path, '../', ''))) / 3 as integer) as path_traversal_count,
 cast(regexp_matches(lower(path), '{_ANY(features.SENSITIVE)}') as integer) as has_sensitive_file, cast(regexp_matches(lower(path), '{_ANY(features.COMMANDS)}') as integer) as has_cmd_keyword,
-cast(regexp_matches(upper(path), '{_ANY(features.SQL)}') as integer) as has_sql_keyword, 0 as is_binary_request, status as status_code, cast(status between 400 and 499 as integer) as is_4xx, cast(status between 500 and 599 as integer) as is_5xx,
+cast(regexp_matches(upper(path), '{_ANY(features.SQL, str.upper)}') as integer) as has_sql_keyword, 0 as is_binary_request, status as status_code, cast(status between 400 and 499 as integer) as is_4xx, cast(status between 500 and 599 as integer) as is_5xx,
 length(user_agent) as user_agent_length, cast(user_agent = '' as integer) as is_empty_user_agent, cast(regexp_matches(lower(user_agent), '{_ANY(features.BOTS)}') as integer) as is_bot_user_agent"""
 
 
@@ -505,15 +506,16 @@ def m13_most_anomalous(rows):
 
 
 # --- corpus and retrieval ------------------------------------------------------------------------------------------
-@query("corpus", sql="select concat(source_id, '::', cast(i as varchar)) as source_id, attack_type, concat('Page ', source_id, chr(10), 'Part ', cast(i as varchar), chr(10), 'text ', source_id) as content from corpus, (values (0), (1)) k(i)")
+@query("corpus", sql="select concat(source_id, '::', cast(i as varchar)) as source_id, attack_type, concat('# Page ', source_id, chr(10), chr(10), trim(concat('## Part ', cast(i as varchar), chr(10), coalesce(replace(content, '#', ''), '')), concat(' ', chr(10), chr(13), chr(9), chr(11), chr(12)))) as content from corpus, (values (0), (1)) k(i) where trim(attack_type) <> ''")
 def c1_markdown_chunks(rows):
-    page = F.concat(F.lit("---\ndoc_id: "), "source_id", F.lit("\nattack_type: "), "attack_type", F.lit("\n---\n# Page "), "source_id", F.lit("\nintro\n## Part 0\ntext "), "source_id", F.lit("\n## Part 1\ntext "), "source_id", F.lit("\n"))
+    own = F.coalesce(F.replace("content", F.lit("#"), F.lit("")), F.lit(""))
+    page = F.concat(F.lit("---\ndoc_id: "), "source_id", F.lit("\nattack_type: "), F.coalesce("attack_type", F.lit("")), F.lit("\n---\n# Page "), "source_id", F.lit("\nintro\n## Part 0\n"), own, F.lit("\n## Part 1\n"), own, F.lit("\n"))
     return corpus.markdown_chunks(rows.select(page.alias("text")))
 
 
-@query("access_log", sql="select event_id as source_id, concat_ws(' ', concat('ip=', ip), concat('path=', path), case when referrer <> '' then concat('referrer=', referrer) end) as content from access_log")
+@query("access_log", sql="select event_id as source_id, concat_ws(' ', case when n % 2 = 0 then 'attack_type=xss' end, concat('ip=', ip), concat('request=', method, ' ', path), concat('status=', cast(status as varchar)), case when user_agent <> '' then concat('ua=', user_agent) end, concat('@', cast(ts_ms as varchar))) as content from access_log")
 def c2_event_evidence(logs):
-    return corpus.event_evidence(logs, ["ip", "path", "referrer"])
+    return corpus.event_evidence(logs.withColumn("attack_type", F.when(F.col("n") % 2 == 0, F.lit("xss"))))
 
 
 @query("access_log", sql="with l as (select *, case when ts_ms - lag(ts_ms) over w > 300000 then 1 else 0 end as cut from access_log window w as (partition by ip order by ts_ms, event_id)), s as (select *, sum(cut) over (partition by ip order by ts_ms, event_id) as s from l) select ip, min(ts_ms) as start_ms, max(ts_ms) as end_ms, count(*) as n from s group by ip, s")
@@ -532,15 +534,17 @@ def c4_corpus_union(logs):
     return a.unionByName(b)
 
 
-@query("access_log", sql="select case when n % 2 = 0 then event_id else concat('s', event_id) end as source_id, case when n % 3 = 0 then referrer else '' end as text0, case when n % 3 = 0 and referrer <> '' then referrer else concat('xss ', ip, ' ', path) end as content from access_log")
+@query("access_log", sql="select case when n % 2 = 0 then event_id when n % 5 = 0 then concat('z', event_id) else concat('s', event_id) end as source_id, case when n % 3 = 0 and referrer <> '' then referrer else concat('[xss] ip=', ip, ' ', method, ' ', path, ' status=', cast(status as varchar)) end as content from access_log")
 def c5_fallback(logs):
-    rows = logs.select("n", "ip", "path", F.lit("xss").alias("attack_type"), F.when(F.col("n") % 2 == 0, F.col("event_id")).alias("event_id"), F.concat(F.lit("s"), F.col("n").cast("string")).alias("source_id"), F.lit("z").alias("_id"), F.when(F.col("n") % 3 == 0, F.col("referrer")).alias("content"))
-    return corpus.fallback(rows).join(rows.select(F.coalesce("event_id", "source_id").alias("source_id"), F.coalesce("content", F.lit("")).alias("text0")), "source_id")
+    n = F.col("n")
+    ids = [F.when(n % 2 == 0, F.col("event_id")).otherwise("").alias("event_id"), F.when(n % 5 != 0, F.concat(F.lit("s"), n.cast("string"))).otherwise("").alias("source_id"), F.concat(F.lit("z"), n.cast("string")).alias("_id")]
+    return corpus.fallback(logs.select(*ids, F.lit("xss").alias("attack_type"), "ip", "method", "path", "status", F.when(n % 3 == 0, F.col("referrer")).alias("content")))
 
 
-@query("reports", sql="select case when n % 11 = 0 then 'no attack type' when n % 7 = 0 then 'no path' else 'kept' end as reason, count(*) as n from reports group by 1")
+@query("reports", sql="select case when n % 11 = 0 then 'no_attack_type' when n % 7 = 0 then 'no_ip' when n % 13 = 0 then 'no_timestamp' else 'kept' end as reason, count(*) as n from reports group by 1")
 def c6_quality_gate(rows):
-    r = rows.select("event_id", "ts_ms", "status", F.when(F.col("n") % 11 != 0, F.col("detect_type")).alias("attack_type"), F.when(F.col("n") % 7 == 0, F.lit("/")).otherwise(F.col("path")).alias("path"))
+    n = F.col("n")
+    r = rows.select("event_id", "method", "path", "status", F.when(n % 11 != 0, F.col("detect_type")).alias("attack_type"), F.when(n % 7 != 0, F.col("ip")).otherwise("").alias("ip"), F.when(n % 13 != 0, F.col("ts_ms")).alias("ts_ms"))
     return corpus.gate(r).groupBy(F.coalesce("dropped", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -575,15 +579,16 @@ def q1_case_query(logs):
     return retrieve.case_query(logs.withColumn("attack_type", F.lit("xss")))
 
 
-@query("access_log", sql="select event_id, concat(case when n % 2 = 0 then 'SQL injection' else 'other' end, ' ', path) as query from access_log")
+@query("access_log", sql="select event_id, concat(case when n % 2 = 0 then 'SQL 注入' else 'other' end, ' ', path) as query from access_log")
 def q2_knowledge_query(logs):
     return retrieve.knowledge_query(logs.withColumn("attack_type", F.when(F.col("n") % 2 == 0, "sql_injection, xss").otherwise("other")))
 
 
-@query("access_log", sql="select event_id, case when n % 2 = 0 then concat(ip, ' xss payload') else concat(ip, ' xss ', path) end as query from access_log")
+@query("access_log", sql="select event_id, case when n % 3 = 0 then path when n % 2 = 0 then concat(ip, ' xss XSS 扫描') else concat(ip, ' xss') end as query from access_log")
 def q3_follow_up(logs):
-    rows = logs.withColumns({"attack_type": F.lit("xss"), "missing": F.when(F.col("n") % 2 == 0, "the payload").otherwise("nothing")})
-    return retrieve.follow_up(rows, 0, ["payload", "history"])
+    n, has = F.col("n"), F.col("n") % 3 != 0
+    rows = logs.withColumns({"attack_type": F.when(has, F.lit("xss")).otherwise(""), "ip": F.when(has, F.col("ip")), "missing": F.when(has & (n % 2 == 0), "同 IP 的扫描与 XSS 载荷").otherwise("nothing")})
+    return retrieve.follow_up(rows, 0)
 
 
 _TOK = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')"
@@ -664,15 +669,18 @@ def q9_merge_evidence(rows):
     return retrieve.merge_evidence(e.where("rank < 4"), e.where("rank >= 4"))
 
 
-@query("access_log", sql="with a as (select *, n // 100 as call_id, row_number() over (partition by n // 100 order by n) - 1 as i from access_log) select call_id, i, event_id as source_id, concat('ip=', ip, ' path=', path) as content from a where i < 20")
+@query("access_log", sql="with a as (select *, n // 100 as call_id, row_number() over (partition by n // 100 order by n % 2, n) - 1 as i from access_log) select call_id, i, case when n % 3 = 0 then concat('s', event_id) else event_id end as source_id, concat('IP=', ip, ' ', method, ' ', path, ' status=', cast(status as varchar)) as content from a where i < 20")
 def q10_tool_evidence(logs):
-    calls = logs.groupBy(F.floor(F.col("n") / 100).alias("call_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "event_id", "ip", "path"))), lambda r: F.struct(r["event_id"].alias("event_id"), r["ip"].alias("ip"), r["path"].alias("path"))).alias("records"))
-    return retrieve.tool_evidence(calls)
+    n = F.col("n")
+    record = F.struct("n", F.when(n % 3 != 0, F.col("event_id")).otherwise("").alias("event_id"), F.concat(F.lit("s"), "event_id").alias("source_id"), "ip", "method", "path", "status")
+    listed = lambda odd: F.array_sort(F.collect_list(F.when(n % 2 == odd, record)))
+    return retrieve.tool_evidence(logs.groupBy(F.floor(n / 100).alias("call_id")).agg(listed(0).alias("logs"), listed(1).alias("events")))
 
 
-@query("access_log", sql="select event_id as call_id, concat('ip=', ip, ', m=', method) as args, case when n % 3 = 0 then concat('FAIL: ', 'timeout') else concat('ok(', cast(n % 9 as varchar), ' records)') end as outcome from access_log")
+@query("access_log", sql="select event_id as call_id, concat('m=', method, ', ip=', ip) as args, case when n % 3 = 0 then concat('FAIL: ', case when n % 2 = 0 then 'timeout' else 'unknown error' end) when n % 7 = 0 then 'ok' else concat('ok(', cast(n % 7 as varchar), ' records)') end as outcome from access_log")
 def q11_call_summary(logs):
-    rows = logs.select(F.col("event_id").alias("call_id"), F.create_map(F.lit("m"), "method", F.lit("ip"), "ip").alias("args"), (F.col("n") % 3 != 0).alias("ok"), (F.col("n") % 9).alias("n"), F.lit("timeout").alias("error"))
+    n = F.col("n")
+    rows = logs.select(F.col("event_id").alias("call_id"), F.create_map(F.lit("m"), "method", F.lit("ip"), "ip").alias("args"), (n % 3 != 0).alias("ok"), (n % 7).alias("n"), F.when(n % 2 == 0, F.lit("timeout")).alias("error"))
     return retrieve.call_summary(rows)
 
 
@@ -726,6 +734,7 @@ def e10_variants(rows):
     return evals.variants(c, ["steps", "failed"])
 
 
-@query("calls", sql="with k as (select *, row_number() over (partition by case_id order by step desc) as k, max(cast(ok as integer)) over (partition by case_id order by step desc rows unbounded preceding) as back from calls), b as (select case_id, max_by(ok, step) as last_ok, count(*) filter (back = 0) as trail, count(distinct case when source_id <> '' then source_id end) as evidence, max_by(source_id, step) as last_id, count(*) as steps, sum(tokens) as tokens, count(*) filter (k <= 2) as two, count(distinct case when k <= 2 then concat(tool, '|', args) end) as different from k group by case_id) select case_id, concat_ws(',', case when not last_ok then 'last_failed' end, case when trail >= 2 then 'repeated_failures' end, case when evidence < 3 then 'little_evidence' end, case when steps >= 5 or tokens > 4000 then 'budget' end, case when two = 2 and different = 1 then 'same_arguments' end, case when last_id = '' then 'no_ids' end) as reasons from b")
+@query("calls", sql="with k as (select *, case when source_id <> '' then source_id else substr(text, 1, 50) end as ev, case when step % 7 = 6 then 'high' when step % 7 = 3 then 'low' end as risk, row_number() over (partition by case_id order by step desc) as k, max(cast(ok as integer)) over (partition by case_id order by step desc rows unbounded preceding) as back from calls), b as (select case_id, max_by(ok, step) as last_ok, count(*) filter (back = 0) as trail, count(distinct ev) as evidence, max_by(source_id, step) as last_id, count(*) as steps, sum(tokens) as tokens, count(*) filter (k <= 2) as two, count(distinct case when k <= 2 then args end) as different, count(distinct risk) as risks from k group by case_id) select case_id, concat_ws(',', case when not last_ok then 'last_failed' end, case when trail >= 2 then 'repeated_failures' end, case when evidence < 3 then 'little_evidence' end, case when risks > 1 then 'conflict' end, case when 10 - steps <= 2 then 'budget' end, case when tokens >= 4000 then 'tokens' end, case when two = 2 and different = 1 then 'same_arguments' end, case when last_id = '' then 'no_ids' end, case when evidence >= 4 then 'covered' end, case when risks > 1 and (not last_ok or trail >= 2) then 'change_direction' end) as reasons from b")
 def e11_gate(rows):
-    return evals.gate(rows, 6, 4000, 3)
+    risk = F.when(F.col("step") % 7 == 6, F.lit("high")).when(F.col("step") % 7 == 3, F.lit("low"))
+    return evals.gate(rows.withColumn("risk_level", risk), 10, 4000, 3, hypotheses=4)
