@@ -528,9 +528,9 @@ def c3_anchored_sessions(logs):
     return corpus.anchored_sessions(logs)
 
 
-@query("access_log", sql="select event_id as source_id, concat('ip=', ip) as content from access_log union all select concat('r', event_id), concat('path=', path) from access_log where n % 4 = 0")
+@query("access_log", sql="select event_id as source_id, concat('ip=', ip) as content from access_log union all select concat('r', event_id), concat('request=', method, ' ', path) from access_log where n % 4 = 0")
 def c4_corpus_union(logs):
-    a, b = corpus.event_evidence(logs, ["ip"]), corpus.event_evidence(logs.where("n % 4 = 0").withColumn("event_id", F.concat(F.lit("r"), "event_id")), ["path"])
+    a, b = corpus.event_evidence(logs.select("event_id", "ip")), corpus.event_evidence(logs.where("n % 4 = 0").select(F.concat(F.lit("r"), "event_id").alias("event_id"), "method", "path"))
     return a.unionByName(b)
 
 
