@@ -14,9 +14,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder that spark.checkpoint.dir names (a fresh local one only where it is unset)."""
+    """A new folder in the shared folder that spark.checkpoint.dir names; a fresh local one where it is unset and Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lograil-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
