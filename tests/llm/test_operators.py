@@ -41,6 +41,37 @@ def test_bpe_equals_library(spark):
     assert back[4] == "the</w> the</w> the</w>" and back[0] == ""
 
 
+def test_bpe_equals_library_on_every_code_point():
+    t, enc = Tokenizer.from_file(PATH), bpe.Encoder(bpe.Automaton(PATH), chunk_limit=1 << 10)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("a{0}b", "{0}{0}\u0301x", "a\u0301{0}\u0327 z{0}"):
+        texts = [form.format(c) for c in points]
+        for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert enc.encode(text)[0] == struct.pack(f"<{len(e.ids)}I", *e.ids), ascii(text)
+
+
+def test_bpe_tables_that_are_full():
+    rng = random.Random(17)
+    small, large = bpe.Encoder(bpe.Automaton(PATH, arc_limit=8, state_limit=8), chunk_limit=2), bpe.Encoder(bpe.Automaton(PATH))
+    for _ in range(200):
+        text = "".join(rng.choice("abcdeth é.,'19") for _ in range(200))
+        assert small.encode(text) == large.encode(text)
+
+
+def test_blocks_link_as_pairs_do():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sets = [np.unique(rng.integers(0, 30, rng.integers(0, 14))).astype("<u4") for _ in range(int(rng.integers(2, 14)))]
+        label = list(range(len(sets)))
+        for _ in sets:
+            label = [min([label[i], *(label[j] for j, b in enumerate(sets) if len(np.intersect1d(a, b)) and len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b)))]) for i, a in enumerate(sets)]
+        own = list(range(len(sets)))
+        for i, j in groups.linked(sets, groups.jaccard(0.5)):
+            low, high = sorted((own[i], own[j]))
+            own = [low if x == high else x for x in own]
+        assert own == label
+
+
 def test_simhash_components(spark):
     rng = random.Random(5)
     base = [words(rng, 400) for _ in range(40)]
