@@ -41,20 +41,20 @@ def test_bpe_equals_library(spark):
     assert back[4] == "the</w> the</w> the</w>" and back[0] == ""
 
 
-def test_bpe_equals_library_on_every_code_point():
+def test_bpe_equals_library_on_code_points():
     t, enc = Tokenizer.from_file(PATH), bpe.Encoder(bpe.Automaton(PATH), chunk_limit=1 << 10)
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = [chr(c) for c in [*range(0x1FFFF), *range(0x31300, 0x323C0), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
     for form in ("a{0}b", "{0}{0}\u0301x", "a\u0301{0}\u0327 z{0}"):
-        texts = [form.format(c) for c in points]
+        texts = [" ".join(form.format(c) for c in points[i : i + 500]) for i in range(0, len(points), 500)]
         for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
-            assert enc.encode(text)[0] == struct.pack(f"<{len(e.ids)}I", *e.ids), ascii(text)
+            assert enc.encode(text)[0] == struct.pack(f"<{len(e.ids)}I", *e.ids), ascii(text[:9])
 
 
 def test_bpe_tables_that_are_full():
     rng = random.Random(17)
     small, large = bpe.Encoder(bpe.Automaton(PATH, arc_limit=8, state_limit=8), chunk_limit=2), bpe.Encoder(bpe.Automaton(PATH))
-    for _ in range(200):
-        text = "".join(rng.choice("abcdeth é.,'19") for _ in range(200))
+    for _ in range(20):
+        text = "".join(rng.choice("abcdeth é.,'19") for _ in range(100))
         assert small.encode(text) == large.encode(text)
 
 
