@@ -107,9 +107,10 @@ def pull(rows: DataFrame, cursor: tuple[int, str], since: int) -> tuple[DataFram
     return gate(new).where("dropped is null").drop("dropped"), new.agg(F.max(F.struct("ts_ms", "event_id")).alias("c")).select("c.*")
 
 
-def follow(notices: DataFrame, events: DataFrame, snapshot: int, now_ms: int, oldest: int) -> DataFrame:
-    """What each notice up to the snapshot does: upsert, wait (dated in the future) or remove (gone or expired)."""
-    j = notices.where(F.col("notice_id") <= snapshot).join(events.select("record_id", "event_time"), "record_id", "left")
+def follow(notices: DataFrame, events: DataFrame, snapshot: int | None, now_ms: int, oldest: int) -> DataFrame:
+    """What each notice up to the snapshot (None: of all) does: upsert, wait (dated in the future) or remove (gone or expired)."""
+    due = notices if snapshot is None else notices.where(F.col("notice_id") <= snapshot)
+    j = due.join(events.select("record_id", "event_time"), "record_id", "left")
     return j.select("notice_id", "record_id", F.when(F.col("event_time").isNull() | (F.col("event_time") < oldest), "remove").when(F.col("event_time") > now_ms, "wait").otherwise("upsert").alias("action"))
 
 

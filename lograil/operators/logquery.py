@@ -50,6 +50,35 @@ def search(rows: DataFrame, spec: QuerySpec) -> DataFrame:
     return latest(rows).where(spec.condition())
 
 
+def newest(rows: DataFrame, size: int, most: int, time: str, key: str) -> DataFrame:
+    """The newest rows, at least one and at most `most`, each with the total of all. The total is one row, so it is broadcast."""
+    shown = rows.orderBy(F.desc(time), key).limit(max(1, min(size, most)))
+    return shown.join(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
+def investigate_events(events: DataFrame, start: int, end: int, attack_type: str = "all", ip: str | None = None, size: int = 50) -> DataFrame:
+    """Security events (event_id, attack_type, detections, log_context) of [start, end) by attack type and ip, newest first:
+    flattened, with their first detection and the total of all that match."""
+    c, d = F.col("log_context"), F.get("detections", F.lit(0))
+    kept = (c["timestamp"] >= start) & (c["timestamp"] < end)
+    if attack_type and attack_type.lower() != "all":
+        kept &= F.array_contains(F.split("attack_type", ","), attack_type)
+    if ip:
+        kept &= c["ip"] == ip
+    flat = events.where(kept).select("event_id", c["timestamp"].alias("ts_ms"), c["ip"].alias("ip"), c["method"].alias("method"), c["path"].alias("path"), c["status"].alias("status"), "attack_type", d["rule_id"].alias("rule_id"), F.get(d["matches"], F.lit(0))["matched_value"].alias("matched_value"))
+    return newest(flat, size, 200, "ts_ms", "event_id")
+
+
+def investigate_reports(reports: DataFrame, start: int, end: int, risk_level: str = "all", ip: str | None = None, size: int = 20) -> DataFrame:
+    """Reports of [start, end] (start 0: since ever) by risk and ip, newest first, with the total of all that match."""
+    kept = (F.col("ts_ms") >= start) & (F.col("ts_ms") <= end)
+    if risk_level and risk_level.lower() != "all":
+        kept &= F.col("risk_level") == risk_level.lower()
+    if ip:
+        kept &= F.col("ip") == ip
+    return newest(reports.where(kept), size, 100, "ts_ms", "event_id")
+
+
 def page(rows: DataFrame, limit: int, cursor: tuple[int, str] | None = None, time: str = "event_time", key: str = "record_id") -> DataFrame:
     """The next limit + 1 rows (the last says that there are more) in falling order of (time, key), after a cursor."""
     if cursor:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lograil.functions.decode import canonical_json
 from lograil.operators.logquery import latest
 
 
@@ -21,11 +22,16 @@ def merge_reports(old: DataFrame, new: DataFrame, business: list[str], kept: lis
     return j.select(key, *[F.when(F.col("_n"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in business], *[F.when(F.col("_o"), F.col(f"_o_{c}")).otherwise(F.col(f"_n_{c}")).alias(c) for c in kept])
 
 
-def conflicts(rows: DataFrame) -> DataFrame:
-    """Rows of a record that contradict the one before them (by version, offset): the first reason."""
+def conflicts(rows: DataFrame, raw: bool = False) -> DataFrame:
+    """Rows of a record that contradict the one before them (by version, offset): the first reason. Raw rows never change
+    their content; rows of a source_kind other than kafka, where there is that column, may come from elsewhere."""
     w = Window.partitionBy("record_id").orderBy("version", "off")
-    p = {c: F.lag(c).over(w) for c in ("event_time", "version", "payload_hash", "topic", "part")}
-    reason = F.when(p["event_time"] != F.col("event_time"), "event time changed").when((p["version"] == F.col("version")) & (p["payload_hash"] != F.col("payload_hash")), "same version, other content").when((p["topic"] != F.col("topic")) | (p["part"] != F.col("part")), "other source")
+    streamed = F.col("source_kind") == "kafka" if "source_kind" in rows.columns else F.lit(True)
+    rows = rows.withColumn("_streamed", F.coalesce(streamed, F.lit(False)))
+    p = {c: F.lag(c).over(w) for c in ("event_time", "version", "payload_hash", "topic", "part", "_streamed")}
+    other = p["payload_hash"] != F.col("payload_hash")
+    moved = p["_streamed"] & F.col("_streamed") & ((p["topic"] != F.col("topic")) | (p["part"] != F.col("part")))
+    reason = F.when(p["event_time"] != F.col("event_time"), "event time changed").when(F.lit(raw) & other, "raw content changed").when((p["version"] == F.col("version")) & other, "same version, other content").when(moved, "other source")
     return rows.select("record_id", "version", "off", reason.alias("reason")).where("reason is not null")
 
 
@@ -36,15 +42,44 @@ def existing(stored: DataFrame, keys: DataFrame) -> DataFrame:
     return latest(rows).join(times, "record_id")
 
 
-def verdicts(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Each expected row against the archive: missing, time differs, verified, newer or mismatch."""
-    a = actual.select("record_id", *[F.col(c).alias(f"a_{c}") for c in ("event_time", "version", "payload_hash", "topic", "part", "off")])
-    j = expected.join(a, "record_id", "left")
+def verdicts(expected: DataFrame, actual: DataFrame, events: bool = True, bounds: DataFrame | None = None) -> DataFrame:
+    """Each expected row against the archive: missing, time differs, wrong source, verified, newer or mismatch.
+
+    Rows without a source_kind are streamed ones. Other content proves a newer event only for events, from a streamed row:
+    behind the expected offset of the same partition, or, where the expected row was backfilled, at or behind the
+    partition's handoff in bounds (topic, part, handoff).
+    """
+    kind = lambda df: F.col("source_kind") if "source_kind" in df.columns else F.lit("kafka")
+    a = actual.select("record_id", kind(actual).alias("a_kind"), *[F.col(c).alias(f"a_{c}") for c in ("event_time", "version", "payload_hash", "topic", "part", "off")])
+    j = expected.withColumn("_kind", kind(expected)).join(a, "record_id", "left")
+    edge = F.lit(None).cast("long")
+    if bounds is not None:
+        j = j.join(bounds.select(F.col("topic").alias("a_topic"), F.col("part").alias("a_part"), F.col("handoff").alias("_edge")), ["a_topic", "a_part"], "left")
+        edge = F.col("_edge")
     same = (F.col("topic") == F.col("a_topic")) & (F.col("part") == F.col("a_part"))
-    v = F.when(F.col("a_version").isNull(), "missing").when(F.col("event_time") != F.col("a_event_time"), "time differs").when((F.col("payload_hash") == F.col("a_payload_hash")) & (F.col("a_version") >= F.col("version")), "verified").when(same & (F.col("a_off") > F.col("off")), "newer").otherwise("mismatch")
+    streamed, was = F.col("a_kind") == "kafka", F.col("_kind") == "kafka"
+    equal = (F.col("payload_hash") == F.col("a_payload_hash")) & (F.col("a_version") >= F.col("version"))
+    newer = F.lit(events) & streamed & F.when(was, same & (F.col("a_off") > F.col("off"))).otherwise(F.col("a_off") >= edge)
+    v = F.when(F.col("a_version").isNull(), "missing").when(F.col("event_time") != F.col("a_event_time"), "time differs").when(equal & streamed & was & ~same, "wrong source").when(equal, "verified").when(newer, "newer").otherwise("mismatch")
     return j.select("record_id", "version", "off", v.alias("verdict"))
 
 
+def rebuilt(stored: DataFrame) -> DataFrame:
+    """Rows rebuilt from stored documents, and the first reason why the stored identity differs (null: none does).
+
+    stored: record_id, version, payload_hash (all as stored), source_kind, off, payload (JSON). The content is hashed in its
+    canonical form, without what storage itself has put into it.
+    """
+    kept = F.expr("to_json(map_filter(from_json(payload, 'map<string,string>'), (k, v) -> k <> '_storage'))")
+    text = F.when(F.get_json_object("payload", "$._storage").isNull(), F.col("payload")).otherwise(kept)
+    own = F.get_json_object("payload", "$.event_id")
+    rows = stored.withColumn("_raw", canonical_json(text)).withColumn("_id", F.when(F.coalesce(own, F.lit("")) != "", own).when(F.col("source_kind") == "es_backfill", F.col("record_id")))
+    rows = rows.withColumn("_version", F.when(F.col("source_kind") == "kafka", F.col("off") + 2).otherwise(1).cast("long")).withColumn("_hash", F.sha2("_raw", 256))
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    reason = F.when(F.col("_raw").isNull(), "no document").when(F.col("_id").isNull(), "event id is missing").when(differs("_id", "record_id"), "record id differs").when(differs("_version", "version"), "version differs").when(differs("_hash", "payload_hash"), "content differs")
+    return rows.select(F.col("_id").alias("record_id"), F.col("_version").alias("version"), F.col("_hash").alias("payload_hash"), reason.alias("reason"))
+
+
 def manifest(rows: DataFrame, buckets: int = 64) -> DataFrame:
     """Count and order-free digest: hashes are combined by buckets, so no task sorts all rows."""
     h = F.sha2(F.concat_ws(":", "record_id", "payload_hash"), 256)
@@ -101,13 +136,24 @@ def outbox(notices: DataFrame, written: DataFrame) -> DataFrame:
     return written.select(*key, "record_id").dropDuplicates(key).join(notices.select(*key), key, "left_anti")
 
 
-def coverage(windows: DataFrame, start: int) -> DataFrame:
-    """For each kind, how far verified windows reach from start without a hole."""
+def coverage(windows: DataFrame, start: int, end: int | None = None, now_ms: int | None = None, source: str | None = None) -> DataFrame:
+    """For each kind, how far verified windows reach from start without a hole, and whether that is up to end.
+
+    A kind whose first window begins later is covered up to start. Windows of another source (column source) do not count;
+    live ones (column live) that are reached extend to now.
+    """
     ordered = Window.partitionBy("kind").orderBy("start_ms", "end_ms")
+    kinds = windows.select("kind").distinct()
     seen = windows.where("verified").where(F.col("end_ms") > start)
+    if source is not None:
+        seen = seen.where(F.col("source") == source)
+    if now_ms is not None and "live" in windows.columns:
+        seen = seen.withColumn("end_ms", F.when(F.col("live"), F.greatest("end_ms", F.lit(now_ms))).otherwise(F.col("end_ms")))
     upto = F.coalesce(F.max("end_ms").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(start))
     holes = seen.withColumn("hole", (F.col("start_ms") > F.greatest(upto, F.lit(start))).cast("int")).withColumn("island", F.sum("hole").over(ordered))
-    return holes.where("island = 0").groupBy("kind").agg(F.max("end_ms").alias("covered_to"))
+    reached = holes.where("island = 0").groupBy("kind").agg(F.max("end_ms").alias("covered_to"))
+    out = kinds.join(reached, "kind", "left").withColumn("covered_to", F.coalesce("covered_to", F.lit(start)))
+    return out if end is None else out.withColumn("complete", F.col("covered_to") >= end)
 
 
 def hot_ready(checkpoints: DataFrame, open_gaps: DataFrame) -> DataFrame:

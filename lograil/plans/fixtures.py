@@ -52,8 +52,6 @@ from labels l join documents d on l.doc_id = d.doc_id where l.toxic is not null"
     "corpus": """
 select concat('d', cast(doc_id as string)) as source_id, case when lang = 'en' then 'knowledge' else 'case' end as source_type, source as attack_type, text as content, doc_id as created from documents""",
     "queries": """
-select item_id as query_id, text from benchmark where item_id < 20""",
-    "all_queries": """
 select item_id as query_id, text from benchmark""",
     "checkpoints": """
 select k.topic, k.part, k.initial_offset, k.next_offset, k.next_offset + k.part % 2 as observed_offset, 4 as partition_count from

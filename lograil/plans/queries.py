@@ -107,14 +107,8 @@ def p17_p18_contract(logs):
     return normalize.storage_row(rows, TODAY).select("record_id", "version", "payload_hash", F.array_join("attack_types", ",").alias("attack_types"), "error")
 
 
-@query("access_log", sql="select event_id, 'bad' as reason, 'rules' as stage, path as error_message, substr(path, 1, 2048) as message, 'dlq,rules' as tags, 'pending' as status, 0 as retry_count from access_log where n % 3 = 0")
-def s13_dead_letter_envelope(logs):
-    out = normalize.dead_letter(logs.where("n % 3 = 0").withColumn("err", F.col("path")), "path", "bad", "rules", "err")
-    return out.select("event_id", "reason", "stage", "error_message", "message", F.array_join("tags", ",").alias("tags"), "status", "retry_count")
-
-
 @query("access_log", sql="select event_id, 'bad' as reason, 'rules' as stage, path as error_message, substr(path, 1, 2048) as message, 'dlq,rules' as tags, 'pending' as status, 0 as retry_count from access_log")
-def s13_all_dead_letter_envelopes(logs):
+def s13_dead_letter_envelope(logs):
     out = normalize.dead_letter(logs.withColumn("err", F.col("path")), "path", "bad", "rules", "err")
     return out.select("event_id", "reason", "stage", "error_message", "message", F.array_join("tags", ",").alias("tags"), "status", "retry_count")
 
@@ -232,9 +226,14 @@ def d15_report_list(rows):
     return reports.listing(rows, "XSS", risk_level="critical").select("event_id", "detect_type", "risk_score")
 
 
-@query("reports", sql="select event_id, ip, risk_level, ts_ms from reports where risk_level = 'high' order by ts_ms desc, event_id limit 25")
+@query("reports", sql=f"select event_id, ip, risk_level, ts_ms, count(*) over () as total from reports where risk_level = 'high' and ip = '10.0.0.1' and ts_ms between {FROM} and {NOW} order by ts_ms desc, event_id limit 25")
 def d14_analysis_results(rows):
-    return rows.where("risk_level = 'high'").orderBy(F.desc("ts_ms"), "event_id").limit(25).select("event_id", "ip", "risk_level", "ts_ms")
+    return logquery.investigate_reports(rows, FROM, NOW, "High", "10.0.0.1", 25).select("event_id", "ip", "risk_level", "ts_ms", "total")
+
+
+@query("access_log", sql=f"with {_TYPES}, f as (select * from ({_FLAT})), x as (select event_id, rule_id, matched_value from f qualify row_number() over (partition by event_id order by list_position([{', '.join(repr(p.id) for p in PROFILES)}], rule_id), case field when 'path' then 0 else 1 end) = 1) select d.event_id, a.ts_ms, a.ip, a.method, a.path, a.status, d.attack_type, x.rule_id, x.matched_value, count(*) over () as total from d join access_log a on d.event_id = a.event_id join x on d.event_id = x.event_id where a.ip = '10.0.0.1' and list_contains(string_split(d.attack_type, ','), 'xss') and a.ts_ms >= {FROM} and a.ts_ms < {NOW} order by a.ts_ms desc, d.event_id limit 200")
+def d13_security_events(logs):
+    return logquery.investigate_events(detect.security_events(logs), FROM, NOW, "xss", "10.0.0.1", 1000)
 
 
 # --- aggregations --------------------------------------------------------------------------------------------------
@@ -253,13 +252,8 @@ def a4_top_values(logs):
     return logquery.top_each(logquery.all_counts(logs, ["ip", "path"]), 10)
 
 
-@query("access_log", sql="select method as value, count(*) as n from access_log group by method order by n desc, value limit 3")
-def a2_count_by_method(logs):
-    return logquery.counts(logs, "method", 3)
-
-
 @query("access_log", sql="select method as value, count(*) as n from access_log group by method")
-def a2_count_all_methods(logs):
+def a2_count_by_method(logs):
     return logquery.counts(logs, "method")
 
 
@@ -355,6 +349,11 @@ def v1_conflicts(rows):
     return verify.conflicts(rows)
 
 
+@query("versioned_log", sql="with w as (select *, lag(event_time) over k as t, lag(payload_hash) over k as h, lag(topic) over k as pt, lag(part) over k as pp, lag(off % 3) over k as ps from versioned_log window k as (partition by record_id order by version, off)) select record_id, version, off, case when t <> event_time then 'event time changed' when h <> payload_hash then 'raw content changed' else 'other source' end as reason from w where t <> event_time or h <> payload_hash or (off % 3 > 0 and ps > 0 and (pt <> topic or pp <> part))")
+def v1_raw_conflicts(rows):
+    return verify.conflicts(rows.withColumn("source_kind", F.when(F.col("off") % 3 > 0, "kafka").otherwise("es_backfill")), raw=True)
+
+
 @query("versioned_log", sql=f"with {_LATEST}, k as (select record_id, min(event_time) <> max(event_time) as conflict from versioned_log where cast(record_id as bigint) % 20 = 0 group by record_id) select v.record_id, version, conflict from v join k on v.record_id = k.record_id")
 def v2_existing(rows):
     return verify.existing(rows, rows.where(F.col("record_id").cast("long") % 20 == 0)).select("record_id", "version", "conflict")
@@ -366,13 +365,31 @@ def v3_verdicts(rows):
     return verify.verdicts(rows.where(F.col("off") == n), logquery.latest(rows).where(n % 30 != 0))
 
 
-@query("versioned_log", sql="select count(*) as n from versioned_log")
-def v4_manifest(rows):
-    return verify.manifest(rows).select("n")
+@query("versioned_log", "checkpoints", sql=f"with {_LATEST}, e as ({_FIRST}), a as (select * replace (case when version % 5 = 0 then '9' else topic end as topic) from v), b as (select topic, part, next_offset - 2000 as handoff from checkpoints where part <> 1) select e.record_id, e.version, e.off, case when a.version is null then 'missing' when e.event_time <> a.event_time then 'time differs' when e.payload_hash = a.payload_hash and a.version >= e.version then case when e.off % 2 = 0 and e.topic <> a.topic then 'wrong source' else 'verified' end when case when e.off % 2 = 0 then e.topic = a.topic and e.part = a.part and a.off > e.off else coalesce(a.off >= b.handoff, false) end then 'newer' else 'mismatch' end as verdict from e left join a on e.record_id = a.record_id left join b on a.topic = b.topic and a.part = b.part")
+def v3_handoff_verdicts(rows, ck):
+    kind = F.when(F.col("off") % 2 == 0, "kafka").otherwise("es_backfill")
+    stored = logquery.latest(rows).withColumns({"source_kind": F.lit("kafka"), "topic": F.when(F.col("version") % 5 == 0, "9").otherwise(F.col("topic"))})
+    bounds = ck.where("part <> 1").select("topic", "part", (F.col("next_offset") - 2000).alias("handoff"))
+    return verify.verdicts(rows.where(F.col("off") == F.col("record_id").cast("long")).withColumn("source_kind", kind), stored, bounds=bounds)
+
+
+_STORED = """concat('{"event_id":"', event_id, '","ip":"', ip, '","path":"', path, '"}')"""
+
+
+@query("access_log", sql=f"select case when n % 11 = 0 and n % 2 = 0 then null else event_id end as record_id, case when n % 2 = 0 then n + 2 else 1 end as version, sha256(case when n % 11 = 0 then replace({_STORED}, concat('\"event_id\":\"', event_id, '\",'), '') else {_STORED} end) as payload_hash, case when n % 11 = 0 and n % 2 = 0 then 'event id is missing' when n % 13 = 0 and n % 11 <> 0 then 'record id differs' when n % 5 = 0 and n % 2 = 1 then 'version differs' when n % 7 = 0 or (n % 11 = 0) then 'content differs' end as reason from access_log")
+def v8_rebuilt_rows(logs):
+    n = F.col("n")
+    body = F.when(n % 11 == 0, F.to_json(F.struct("path", "ip"))).otherwise(F.to_json(F.struct("path", "ip", "event_id")))
+    good = F.sha2(F.expr(_STORED), 256)
+    stored = logs.select(
+        F.when((n % 13 == 0) & (n % 11 != 0), F.concat(F.lit("x"), "event_id")).otherwise(F.col("event_id")).alias("record_id"), F.when((n % 2 == 0) | (n % 5 == 0), n + 2).otherwise(1).alias("version"),
+        F.when(n % 7 == 0, F.lit("0")).otherwise(good).alias("payload_hash"), F.when(n % 2 == 0, "kafka").otherwise("es_backfill").alias("source_kind"), n.alias("off"), body.alias("payload"),
+    )
+    return verify.rebuilt(stored)
 
 
 @query("versioned_log", sql="with h as (select cast(concat('0x', substr(sha256(concat(record_id, ':', payload_hash)), 1, 15)) as bigint) as h from versioned_log) select count(*) as n, bit_xor(h) as digest, cast(sum(h % 1000003) as bigint) as checksum from h")
-def v4_manifest_digest(rows):
+def v4_manifest(rows):
     return verify.manifest(rows)
 
 
@@ -381,10 +398,10 @@ def v5_cleanup_plan(rows, ck):
     return verify.cleanup_plan(rows, ck.where("part <> 3"), NOW)
 
 
-@query("versioned_log", sql=f"with e as ({_FIRST}) select count(*) as source_rows, cast(0 as bigint) as bad, cast(0 as bigint) as early, count(*) as archive_rows, true as certified from e")
+@query("versioned_log", sql=f"with {_LATEST}, e as ({_FIRST}), j as (select count(*) as source_rows, count(*) filter (v.version is null or e.event_time <> v.event_time or not ((e.payload_hash = v.payload_hash and v.version >= e.version) or (e.topic = v.topic and e.part = v.part and v.off > e.off))) as bad, count(*) filter (e.event_time < {FROM + 86_400_000}) as early from e left join v on e.record_id = v.record_id) select *, (select count(*) from v) as archive_rows, bad = 0 and early = 0 and source_rows = (select count(*) from v) as certified from j")
 def v6_certify(rows):
     first = rows.where(F.col("off") == F.col("record_id").cast("long"))
-    return verify.certify(first, first, FROM)
+    return verify.certify(first, logquery.latest(rows), FROM + 86_400_000)
 
 
 @query("versioned_log", sql=f"with {_LATEST}, s as (select * from v where event_time >= {HOT}) select count(*) as source_rows, count(*) filter (cast(record_id as bigint) % 40 = 0) as bad, cast(0 as bigint) as early, count(*) filter (cast(record_id as bigint) % 40 <> 0) as archive_rows, count(*) filter (cast(record_id as bigint) % 40 = 0) = 0 as certified from s")
@@ -419,14 +436,15 @@ def v13_outbox(rows):
     return verify.outbox(rows.where("off % 4 = 0"), rows).drop("record_id")
 
 
-@query("windows", sql=f"with s as (select * from windows where verified and end_ms > {FROM + 3_600_000}), u as (select *, coalesce(max(end_ms) over (partition by kind order by start_ms, end_ms rows between unbounded preceding and 1 preceding), {FROM + 3_600_000}) as upto from s), h as (select *, sum(case when start_ms > greatest(upto, {FROM + 3_600_000}) then 1 else 0 end) over (partition by kind order by start_ms, end_ms) as island from u) select kind, max(end_ms) as covered_to from h where island = 0 group by kind")
+@query("windows", sql=f"with s as (select kind, start_ms, case when start_ms % 7 = 0 then greatest(end_ms, {NOW}) else end_ms end as end_ms from windows where verified and start_ms % 11 <> 0 and end_ms > {FROM + 3_600_000}), u as (select *, coalesce(max(end_ms) over (partition by kind order by start_ms, end_ms rows between unbounded preceding and 1 preceding), {FROM + 3_600_000}) as upto from s), h as (select *, sum(case when start_ms > greatest(upto, {FROM + 3_600_000}) then 1 else 0 end) over (partition by kind order by start_ms, end_ms) as island from u), m as (select kind, max(end_ms) as c from h where island = 0 group by kind) select k.kind, coalesce(c, {FROM + 3_600_000}) as covered_to, coalesce(c, {FROM + 3_600_000}) >= {TO} as complete from (select distinct kind from windows) k left join m on k.kind = m.kind")
 def v14_coverage(rows):
-    return verify.coverage(rows, FROM + 3_600_000)
+    tagged = rows.withColumns({"source": F.when(F.col("start_ms") % 11 == 0, "other").otherwise("own"), "live": F.col("start_ms") % 7 == 0})
+    return verify.coverage(tagged, FROM + 3_600_000, TO, NOW, "own")
 
 
 @query("checkpoints", "versioned_log", sql="select topic, count(*) = max(partition_count) as complete, bool_and(next_offset >= observed_offset) as caught_up, topic <> '1' as no_gap, count(*) = max(partition_count) and bool_and(next_offset >= observed_offset) and topic <> '1' as ready from checkpoints group by topic")
 def v15_hot_ready(ck, rows):
-    return verify.hot_ready(ck, rows.where("topic = '1'").limit(5).withColumn("state", F.lit("open")))
+    return verify.hot_ready(ck, rows.where("topic = '1'").withColumn("state", F.lit("open")))
 
 
 # --- features and detection of anomalies ---------------------------------------------------------------------------
@@ -558,15 +576,8 @@ def c8_incremental_pull(rows):
     return corpus.pull(rows.withColumn("attack_type", F.col("detect_type")), (FROM + 86_400_000, "5"), FROM)[0].select("event_id", "ts_ms")
 
 
-@query("versioned_log", sql=f"with {_LATEST} select cast(v.record_id as bigint) as notice_id, v.record_id, case when cast(v.record_id as bigint) % 9 = 0 or event_time < {FROM + 86_400_000} then 'remove' when event_time > {TODAY} then 'wait' else 'upsert' end as action from v where cast(v.record_id as bigint) <= 5000")
-def c9_follow_notices(rows):
-    r = logquery.latest(rows)
-    n = F.col("record_id").cast("long")
-    return corpus.follow(r.select(n.alias("notice_id"), "record_id"), r.where(n % 9 != 0), 5000, TODAY, FROM + 86_400_000)
-
-
 @query("versioned_log", sql=f"with {_LATEST} select cast(v.record_id as bigint) as notice_id, v.record_id, case when cast(v.record_id as bigint) % 9 = 0 or event_time < {FROM + 86_400_000} then 'remove' when event_time > {TODAY} then 'wait' else 'upsert' end as action from v")
-def c9_follow_all_notices(rows):
+def c9_follow_notices(rows):
     r = logquery.latest(rows)
     n = F.col("record_id").cast("long")
     notices = r.select(n.alias("notice_id"), "record_id")
@@ -645,24 +656,6 @@ def q8_dual_pack(docs, asked):
     return retrieve.dual_pack(retrieve.bm25(docs, asked, 3, "knowledge"), retrieve.bm25(docs, asked, 5, "case"))
 
 
-_BM25_ALL, _PACK_ALL = _BM25.replace("from queries", "from all_queries"), _PACK.replace("from queries", "from all_queries")
-
-
-@query("corpus", "all_queries", sql=f"with {_BM25_ALL} select query_id, source_id, score, row_number() over (partition by query_id order by score desc, source_id) as rank from hits qualify rank <= 10")
-def q4_bm25_all_queries(docs, asked):
-    return q4_bm25(docs, asked)
-
-
-@query("corpus", "all_queries", sql=f"with {_BM25_ALL}, t as (select *, row_number() over (partition by query_id order by score desc, source_id) as rank from hits qualify rank <= 20), r as (select query_id, source_id, rank, 0 as route from t union all select query_id, source_id, 21 - rank, 1 from t where query_id % 2 = 0), f as (select query_id, source_id, round(sum(1.0 / (60 + rank)), 9) as score from r group by all) select query_id, source_id, score, row_number() over (partition by query_id order by score desc, source_id) as rank, query_id % 2 = 0 as fused from f qualify rank <= 10")
-def q7_hybrid_all_queries(docs, asked):
-    return q7_hybrid(docs, asked)
-
-
-@query("corpus", "all_queries", sql=f"with {_PACK_ALL}, t as (select *, row_number() over (partition by query_id, source_type order by score desc, source_id) as rank from hits) select query_id, source_id, rank, case source_type when 'knowledge' then 0 else 1 end as route, row_number() over (partition by query_id order by case source_type when 'knowledge' then 0 else 1 end, rank) as place from t where rank <= case source_type when 'knowledge' then 3 else 5 end")
-def q8_dual_pack_all_queries(docs, asked):
-    return q8_dual_pack(docs, asked)
-
-
 @query("calls", sql="select case_id as query_id, source_id, text as content, step as rank from calls qualify row_number() over (partition by case_id, case when source_id <> '' then source_id else substr(text, 1, 50) end order by case when step < 4 then 0 else 1 end, step) = 1")
 def q9_merge_evidence(rows):
     e = rows.select(F.col("case_id").alias("query_id"), "source_id", F.col("text").alias("content"), F.col("step").alias("rank"))

@@ -26,14 +26,26 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(j.alias("j")).select("j.*").where("query is not null and size(expected_source_ids) > 0").withColumn("category", F.coalesce("category", F.lit("case")))
 
 
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled requests of CSV files with a header: method, path, user_agent, Class; columns that are missing are null."""
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    names = {"Method": "method", "URI": "path", "User-Agent": "user_agent", "Class": "Class"}
+    return rows.select(*[(F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string")).alias(n) for c, n in names.items()])
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """Features or results as CSV files with a header."""
+    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def archive(rows: DataFrame, path: str, time: str = "event_time") -> None:
-    """Append to the full history, partitioned by kind and month."""
+    """Rows of one batch for the full history, partitioned by kind and month; the batch run again replaces them."""
     month = F.date_format(F.timestamp_millis(time), "yyyy-MM")
-    rows.withColumn("month", month).write.mode("append").partitionBy("kind", "month").parquet(path)
+    rows.withColumn("month", month).write.mode("overwrite").partitionBy("kind", "month").parquet(path)
 
 
 def hot_rows(rows: DataFrame, now_ms: int, days: int = 7, time: str = "event_time") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lograil.operators.corpus import follow
 from lograil.operators.detect import security_events
 from lograil.operators.normalize import normalize
 from lograil.operators.parse import parse_strict, split_parsed
@@ -47,7 +48,7 @@ def two_tiers(rows: DataFrame, hot: str, cold: str, checkpoint: str, now_ms: int
     """All rows to the full history, those of the last days to the hot tier; late rows never reopen a hot day."""
 
     def each(batch: DataFrame, no: int) -> None:
-        archive(batch.withColumn("batch", F.lit(no)), cold)
+        archive(batch, f"{cold}/batch={no}")
         hot_rows(batch, now_ms).write.mode("overwrite").partitionBy("day").parquet(f"{hot}/batch={no}")
 
     return start(rows, each, checkpoint)
@@ -102,6 +103,23 @@ def anchored_sessions(rows: DataFrame, time: str = "ts", span_ms: int = 300_000,
     return timed.groupBy("ip").applyInPandasWithState(step, "ip string, start_ms long, end_ms long, n long", "first long, last long, n long", "append", "EventTimeTimeout")
 
 
-def follow_corpus(notices: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """The corpus follows archive notices: each batch is merged by the given function."""
-    return start(notices, merge, checkpoint)
+def follow_corpus(notices: DataFrame, events: Callable[[], DataFrame], out: str, checkpoint: str, now: Callable[[], int], days: int = 90) -> StreamingQuery:
+    """The corpus follows archive notices (notice_id, record_id): what each one does goes to actions/batch=no.
+
+    events() gives the archive's latest rows at that time. Notices of events that lie in the future wait in a folder of
+    their batch and are judged again with the next one; a batch that is run again reads the same waiting notices and
+    replaces its own folders.
+    """
+
+    def each(batch: DataFrame, no: int) -> None:
+        spark, at = batch.sparkSession, now()
+        if no:
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/waiting/batch={no - 1}"))
+        batch = batch.select("notice_id", "record_id").dropDuplicates(["notice_id"])
+        acts = follow(batch, events(), None, at, at - days * 86_400_000)
+        acts.write.mode("overwrite").parquet(f"{out}/judged/batch={no}")
+        acts = spark.read.parquet(f"{out}/judged/batch={no}")
+        acts.where("action = 'wait'").select("notice_id", "record_id").write.mode("overwrite").parquet(f"{out}/waiting/batch={no}")
+        acts.where("action <> 'wait'").write.mode("overwrite").parquet(f"{out}/actions/batch={no}")
+
+    return start(notices, each, checkpoint)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lograil.functions.decode import canonical, decode_text, source_ids
 from lograil.functions.times import relative_range
-from lograil.operators import corpus, detect, iforest, normalize, retrieve, verify
+from lograil.operators import corpus, detect, features, iforest, normalize, retrieve, verify
 from lograil.operators.logquery import QuerySpec
 from lograil.operators.rules import LIBRARIES, Profile, validate
+from lograil.sources import files
 from lograil.streaming import jobs
 
 
@@ -92,3 +93,39 @@ def test_knn_takes_any_number_of_queries(spark):
     for q in (0, 17, 59_999):
         want = sorted((i for i in range(30) if i != q), key=lambda i: (-round((1 + math.cos(i - q)) / 2, 6), i))[:3]
         assert [r["source_id"] for r in found.where(f"query_id = {q}").orderBy("rank").collect()] == want
+
+
+def test_csv_tables_in_and_out(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('Method,URI,User-Agent,Class\nGET,"/a?q=""x, y""",Mozilla,Valid\nPOST,/etc/passwd,curl,Anomalous\nGET,/b,,Other\n')
+    rows = files.read_requests(spark, str(tmp_path / "in.csv"))
+    assert [tuple(r) for r in rows.orderBy("path").collect()][0] == ("GET", '/a?q="x, y"', "Mozilla", "Valid")
+    made = features.labelled(rows)
+    files.write_table(made, str(tmp_path / "out"))
+    back = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out"))
+    assert back.columns == made.columns and {r["label_int"]: r["uri_length"] for r in back.collect()} == {0: 11, 1: 11}
+    assert files.read_requests(spark, str(tmp_path / "out")).where("method is not null").isEmpty()
+
+
+def test_a_replayed_batch_of_two_tiers_changes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1_000, "events"), ("b", 700_000_000, "raw")], "record_id string, event_time long, kind string")
+    rows.write.parquet(str(tmp_path / "in"))
+    for n in (1, 2):  # the second run has lost its checkpoint
+        jobs.two_tiers(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "hot"), str(tmp_path / "cold"), str(tmp_path / f"ck{n}"), 700_000_000).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "cold")).count() == 2
+        assert [r[0] for r in spark.read.parquet(str(tmp_path / "hot")).select("record_id").collect()] == ["b"]
+
+
+def test_future_notices_wait_for_their_time(spark, tmp_path):
+    day, clock = 86_400_000, [100 * 86_400_000]
+    events = spark.createDataFrame([("old", day), ("now", 99 * day), ("soon", 101 * day)], "record_id string, event_time long")
+    schema = "notice_id long, record_id string"
+
+    def turn(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.follow_corpus(stream, lambda: events, str(tmp_path / "out"), str(tmp_path / "ck"), lambda: clock[0]).awaitTermination()
+        return {(r["notice_id"], r["action"]) for r in spark.read.parquet(str(tmp_path / "out/actions")).collect()}
+
+    assert turn((1, "old"), (2, "now"), (3, "soon"), (4, "gone")) == {(1, "remove"), (2, "upsert"), (4, "remove")}
+    clock[0] = 102 * day
+    assert turn((5, "now")) == {(1, "remove"), (2, "upsert"), (4, "remove"), (3, "upsert"), (5, "upsert")}
