@@ -1,8 +1,9 @@
 """WARC archives with a two-level capture index.
 
 Captures are written as gzip members, one for each record, into archives of the shared folder. The index sorts capture
-keys (reversed host, then path) into compressed blocks; a sparse directory holds the first key of each block. A look-up
-searches the directory by bisection, opens one block, and reads the record's range of its archive.
+keys (reversed host, then path) into compressed blocks. Each index file ends with its sparse directory, the first and last
+key of each block; the table of index files, one row for each task that wrote one, says which keys a file has. A look-up
+finds the file and then the block by bisection, opens that block, and reads the record's range of its archive.
 """
 
 from __future__ import annotations
@@ -25,16 +26,22 @@ from lograil.llm._common import materialize, scratch_dir
 
 #: Captures of an index block, and the least payload that a revisit stands for.
 BLOCK, LEAST = 512, 100
+#: Captures that a task of a look-up may find, and bytes of archives that a task reads.
+CAPTURES, BYTES = 500_000, 1 << 25
 
 
 def url_key(url: str | None) -> str:
-    """The sort key of a URL: host labels reversed, then path and query, lower case; without scheme, port and fragment."""
+    """The sort key of a URL: host labels reversed, port if one is given that is not the scheme's, path and query as they are.
+
+    Scheme, a leading www., user and fragment do not count, so URLs that differ in these alone are one key.
+    """
     try:
         parts = urlsplit((url or "").strip())
         host = (parts.hostname or "").removeprefix("www.")
+        port = "" if parts.port in (None, {"http": 80, "https": 443}.get(parts.scheme)) else f":{parts.port}"
     except ValueError:
-        return (url or "").lower() + ")"
-    return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/").lower() + ("?" + parts.query.lower() if parts.query else "")
+        return (url or "") + ")"
+    return ",".join(reversed(host.split("."))) + port + ")" + (parts.path or "/") + ("?" + parts.query if parts.query else "")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
@@ -109,37 +116,46 @@ def write(captures: DataFrame, folder: str) -> DataFrame:
 
 
 def index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
-    """Write the compressed blocks and return the sparse directory: first_key, last_key, file, offset, length, captures.
+    """Write the compressed blocks with their directories; one row for each file: first_key, last_key, file, offset and
+    length of its directory, captures.
 
     Captures are range-partitioned by (key, page_id): the captures of one host or URL spread over as many tasks as they
-    need.
+    need. The rows are as many as the tasks, whatever the number of captures.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
-        name, offset, out, held = f"{uuid.uuid4().hex}.idx", 0, None, []
+        name, offset, out, held, blocks, count = f"{uuid.uuid4().hex}.idx", 0, None, [], [], 0
 
-        def flush(rows: list[dict]) -> pa.RecordBatch:
+        def put(data: bytes) -> tuple[int, int]:
             nonlocal offset, out
             out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
-            data = zlib.compress("\n".join(json.dumps([r["key"], r["page_id"], r["file"], r["offset"], r["length"]], ensure_ascii=False) for r in rows).encode())
             out.write(data)
             offset += len(data)
-            cells = [[rows[0]["key"]], [rows[-1]["key"]], [name], [offset - len(data)], [len(data)], [len(rows)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["first_key", "last_key", "file", "offset", "length", "captures"])
+            return offset - len(data), len(data)
+
+        def flush(rows: list[dict]) -> None:
+            lines = [json.dumps([r["key"], r["page_id"], r["file"], r["offset"], r["length"]], ensure_ascii=False) for r in rows]
+            blocks.append([rows[0]["key"], rows[-1]["key"], *put(zlib.compress("\n".join(lines).encode()))])
 
         try:
             for batch in batches:
                 held += batch.to_pylist()
+                count += batch.num_rows
                 while len(held) >= block:
-                    yield flush(held[:block])
+                    flush(held[:block])
                     held = held[block:]
             if held:
-                yield flush(held)
+                flush(held)
+            if blocks:
+                at, length = put(zlib.compress(json.dumps(blocks, ensure_ascii=False).encode()))
         finally:
             if out:
                 out.close()
+        if blocks:
+            cells = [[blocks[0][0]], [blocks[-1][1]], [name], [at], [length], [count]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["first_key", "last_key", "file", "offset", "length", "captures"])
 
     ordered = captures.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
     return materialize(ordered.mapInArrow(run, "first_key string, last_key string, file string, offset long, length long, captures long"), "directory")
@@ -154,17 +170,72 @@ def _range(fs: pafs.FileSystem, path: str, offset: int, length: int, held: dict)
     return held[path].read_at(length, offset)
 
 
-def entries(directory: DataFrame, folder: str) -> DataFrame:
-    """key, page_id, file, offset, length of all captures, from the index blocks alone."""
+def lookup(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """key, page_id, file, offset, length: the captures of each distinct key of a table (column key).
+
+    The rows of the directory, one for each index file, are broadcast, and bisection gives the files that may hold a key. Keys
+    are then range-partitioned by file and key, so each task reads the sparse directories of few files, bisects them, and
+    opens each block that it needs once. A key with captures in several files is one row for each.
+    """
+    tops = directory.select("first_key", "last_key", "file", "offset", "length", "captures").toArrow().sort_by([("first_key", "ascending"), ("last_key", "ascending")])
+    columns = [tops.column(i).to_pylist() for i in range(6)]
+    spark = keys.sparkSession
+    shared = spark.sparkContext.broadcast(columns[:5])
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(columns[5]) // CAPTURES))
+
+    def holders(firsts: list[str], lasts: list[str], key: str) -> Iterator[int]:
+        at = bisect.bisect_right(firsts, key) - 1
+        while at >= 0 and lasts[at] >= key:
+            yield at
+            at -= 1
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts, *rest = shared.value
+        for batch in batches:
+            found = [(key, at) for key in batch.column(0).to_pylist() for at in holders(firsts, lasts, key)]
+            cells = [pa.array([k for k, _ in found], pa.string()), *[pa.array([c[at] for _, at in found], t) for c, t in zip(rest, (pa.string(), pa.int64(), pa.int64()), strict=True)]]
+            yield pa.RecordBatch.from_arrays(cells, names=["key", "file", "offset", "length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (fs, root), held = _open(folder), {}
+        name, firsts, lasts, spans = None, [], [], []
+        opened, block, out = None, {}, []
+
+        def rows() -> pa.RecordBatch:
+            cells = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cells, names=["key", "page_id", "file", "offset", "length"])
+
+        for batch in batches:
+            for key, file, offset, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if file != name:
+                    name = file
+                    blocks = json.loads(zlib.decompress(_range(fs, f"{root}/{file}", offset, length, held)))
+                    firsts, lasts, spans = [b[0] for b in blocks], [b[1] for b in blocks], [b[2:] for b in blocks]
+                for at in holders(firsts, lasts, key):
+                    if opened != (file, at):
+                        opened, block = (file, at), {}
+                        for line in zlib.decompress(_range(fs, f"{root}/{file}", *spans[at], held)).decode().split("\n"):
+                            r = json.loads(line)
+                            block.setdefault(r[0], []).append(r)
+                    out += block.get(key, [])
+                    if len(out) >= 8192:
+                        yield rows()
+        yield rows()
+
+    routed = materialize(keys.select("key").distinct().mapInArrow(route, "key string, file string, offset long, length long"), "routed")
+    placed = routed.repartitionByRange(tasks, "file", "key").sortWithinPartitions("file", "key")
+    return placed.mapInArrow(run, "key string, page_id long, file string, offset long, length long")
+
+
+def keyed(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """url, key: the sort key of each URL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.to_pylist():
-                rows = [json.loads(x) for x in zlib.decompress(_range(fs, f"{root}/{b['file']}", b["offset"], b["length"], held)).decode().split("\n")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "page_id", "file", "offset", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["url", "key"])
 
-    return directory.select("file", "offset", "length").mapInArrow(run, "key string, page_id long, file string, offset long, length long")
+    return urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(run, "url string, key string")
 
 
 def read(captures: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
@@ -190,39 +261,20 @@ def read(captures: DataFrame, folder: str, with_payload: bool = False) -> DataFr
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)][: 5 + with_payload], names=names[: 5 + with_payload])
 
-    placed = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(captures.sparkSession.sparkContext.defaultParallelism, -(-total // BYTES))  # by what is read, not by the pointers
+    placed = captures.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload string" * with_payload)
 
 
-def find(urls: DataFrame, directory: DataFrame, folder: str, url_col: str = "url", most: int = 1_000_000) -> DataFrame:
-    """url, page_id, file, offset, length of the captures of each URL of a table.
-
-    Each task bisects the sparse directory, which is broadcast, and opens the blocks whose range holds the key. A directory
-    of more than `most` blocks is refused (512 million captures by default).
-    """
-    if directory.limit(most + 1).count() > most:
-        raise ValueError(f"the directory has more than {most} blocks; split the index")
-    rows = directory.select("first_key", "last_key", "file", "offset", "length").toArrow().sort_by([("first_key", "ascending"), ("last_key", "ascending")])
-    shared = urls.sparkSession.sparkContext.broadcast(tuple(rows.column(i).to_pylist() for i in range(5)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (fs, root), held = _open(folder), {}
-        firsts, lasts, files, offsets, lengths = shared.value
-        for batch in batches:
-            for url in batch.column(0).to_pylist():
-                key, hits = url_key(url), []
-                at = bisect.bisect_right(firsts, key) - 1
-                while at >= 0 and lasts[at] >= key:
-                    block = zlib.decompress(_range(fs, f"{root}/{files[at]}", offsets[at], lengths[at], held)).decode().split("\n")
-                    hits += [r for r in map(json.loads, block) if r[0] == key]
-                    at -= 1
-                yield pa.RecordBatch.from_arrays([pa.array([url] * len(hits), pa.string()), *[pa.array([r[i] for r in hits], t) for i, t in ((1, pa.int64()), (2, pa.string()), (3, pa.int64()), (4, pa.int64()))]], names=["url", "page_id", "file", "offset", "length"])
-
-    return urls.select(F.col(url_col).cast("string")).mapInArrow(run, "url string, page_id long, file string, offset long, length long")
+def find(urls: DataFrame, directory: DataFrame, folder: str, url_col: str = "url") -> DataFrame:
+    """url, page_id, file, offset, length of the captures of each distinct URL of a table; null URLs have none."""
+    asked = materialize(keyed(urls.where(F.col(url_col).isNotNull()), url_col).distinct(), "asked")
+    return asked.join(lookup(asked, directory, folder), "key").drop("key")
 
 
-def archive(pages: DataFrame, folder: str | None = None, **cols) -> DataFrame:
-    """Write pages as WARC records, index them, and read every capture back through the index.
+def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Write pages as WARC records, index them, look up the key of every page, and read the captures found back.
 
     One row for each row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to. Null html is an empty
     payload; null URLs and ids are written empty and read back null; rows that repeat the smallest id of a payload are all
@@ -230,5 +282,5 @@ def archive(pages: DataFrame, folder: str | None = None, **cols) -> DataFrame:
     rows. White space inside a URL is folded in its header.
     """
     folder = folder or scratch_dir(pages.sparkSession, "warc")
-    directory = index(write(typed(pages, **cols), folder), folder)
-    return read(entries(directory, folder), folder)
+    directory = index(write(typed(pages, id_col, url_col, html_col), folder), folder)
+    return read(materialize(lookup(keyed(pages, url_col), directory, folder), "found"), folder)

@@ -194,6 +194,27 @@ def test_hnsw_recall(spark):
     assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 0), key=lambda r: r["rank"])] == [2000, 2001, 2002, 2003, 2004]
 
 
+def test_hnsw_recall_over_several_shards(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 24))
+    rows = spark.createDataFrame([(i, x[i].tolist(), 1, "s") for i in range(3000)], "vec_id long, embedding array<double>, dim int, shard string")
+    index = hnsw.build(rows, 5, shard=400)
+    assert index.count() >= 7
+    asked = rows.where("vec_id % 50 = 0")
+    got = hnsw.search(index, asked, 5).collect()
+    blocks = hnsw.search(index, asked, 5, block=16).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, blocks))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 50):
+        want = {i for i in np.argsort(-(u @ u[q])).tolist()[:6] if i != q}
+        near = {r["vec_id"]: r["score"] for r in got if r["query_id"] == q}
+        assert all(abs(s - float(u[i] @ u[q])) < 1e-12 for i, s in near.items()) and len(near) == 5
+        hits += len(want & set(near))
+    assert hits / 300 >= 0.95
+    assert hnsw.nearest(rows.limit(0)).count() == 0
+
+
 def test_warc_round_trip_and_lookup(spark):
     big = "<p>" + "é" * 80 + "</p>"
     rows = [(1, "http://a.org/x", big), (2, "https://www.b.org/y?q=1#f", big), (3, None, None), (4, "http://a.org/x", "small"), (5, "http://c.org", "small"), (None, "http://d.org", "n")]
@@ -205,6 +226,25 @@ def test_warc_round_trip_and_lookup(spark):
     directory = warc.index(warc.write(warc.typed(pages), folder), folder, block=2)
     found = warc.find(spark.createDataFrame([("http://a.org/x",), ("http://no.org",)], "url string"), directory, folder).collect()
     assert {r["page_id"] for r in found} == {1, 4}
+    assert [warc.url_key(u) for u in ("http://a.org:80/X?Q", "https://www.a.org/X?Q#f", "http://a.org:8080/X?Q", "http://a.org/x?q", None, "http://[")] == ["org,a)/X?Q", "org,a)/X?Q", "org,a:8080)/X?Q", "org,a)/x?q", ")/", "http://[)"]
+
+
+def test_warc_lookup_in_many_blocks_and_files(spark):
+    urls = ["http://hot.org/", *[f"http://h{i % 40}.org/p{i % 300}" for i in range(900)]]
+    pages = spark.createDataFrame([(i, urls[0] if i % 3 == 0 else urls[i % 901], f"page {i % 7}" * 20, "x") for i in range(1800)], "page_id long, url string, html string, key string")
+    folder = warc.scratch_dir(spark, "warc")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # several index files
+    directory = warc.index(warc.write(warc.typed(pages), folder), folder, block=16)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert directory.count() > 1 and directory.agg({"captures": "sum"}).first()[0] == 1800
+    own = pages.select("url", "page_id").collect()
+    asked = spark.createDataFrame([(u,) for u in [*urls, "http://none.org/", None]], "url string")
+    found = warc.find(asked, directory, folder).select("url", "page_id").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, own))
+    again = pages.unionAll(pages)  # each row twice: as many rows back
+    rows = warc.archive(again).collect()
+    assert len(rows) == 3600 and {r["page_id"] for r in rows} == set(range(1800))
+    assert warc.archive(pages.limit(0)).count() == 0
 
 
 def test_passages(spark):
