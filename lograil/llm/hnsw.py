@@ -2,7 +2,8 @@
 
 Equal vectors meet first, with the smallest ids that a result could need, so a vector that a third of all rows share is
 one node. A shard is a bounded number of nodes; its graph is stored as flat arrays (vectors, neighbours by layer) in one
-row of the index table. Queries go to the shards in blocks.
+row of the index table. Queries go to the shards in blocks about as large as a shard, so a shard is sent once for each
+4,096 queries.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from lograil.llm._common import materialize
 
 #: Nodes of a shard; links of a node (twice as many on the ground layer); breadth of search while building and querying.
-SHARD, LINKS, BUILD_BREADTH, BREADTH, BLOCK = 8192, 12, 64, 128, 256
+SHARD, LINKS, BUILD_BREADTH, BREADTH, BLOCK = 8192, 12, 64, 128, 4096
 
 
 class Graph:
