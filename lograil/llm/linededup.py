@@ -1,6 +1,6 @@
 """Line dedup: repeated runs of lines by a suffix array over line ids, all in DataFrame operations.
 
-Every line that is not blank has an id, the 64-bit hash of its text; a document is its sequence of ids. Lines that occur
+Every line that is not blank is named by 128 bits of hashes of its text, and has a rank among the lines that occur again; a document is its sequence of ranks. Lines that occur
 once end a run, so only stretches of repeated lines enter the suffix array. Prefix doubling ranks their suffixes: with
 ranks by the first k lines, the pair (rank at i, rank at i + k) ranks by the first 2k, until no two suffixes that agree go
 on. The suffixes that agree in their first k lines are an interval of the array whose longest common prefix is at least
@@ -26,9 +26,11 @@ def _lines(text):
 def stretches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, th, seg, pos, rank, words of each line that occurs more than once; seg numbers unbroken stretches."""
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
-    lines = base.select("doc", "th", "pos", F.xxhash64("line").alias("rank"), F.least(word_count(F.col("line")), F.lit(1 << 30)).cast("int").alias("words"))
-    often = lines.groupBy("rank").agg(F.count("*").alias("c")).where("c > 1").select("rank")
-    kept = lines.join(often, "rank").dropDuplicates([*DOC, "pos"])
+    names = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
+    lines = base.select("doc", "th", "pos", *names, F.least(word_count(F.col("line")), F.lit(1 << 30)).cast("int").alias("words"))
+    often = lines.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = exclusive_prefix(often, ["h", "g"], "c", "rank").select("h", "g", "rank")
+    kept = lines.join(ranked, ["h", "g"]).dropDuplicates([*DOC, "pos"])
     by_doc = Window.partitionBy(*DOC).orderBy("pos")
     return kept.withColumn("seg", F.col("pos") - F.row_number().over(by_doc)).select(*DOC, "seg", "pos", "rank", "words")
 
