@@ -46,4 +46,33 @@ select page_id, cast(n as bigint) as payload_bytes, d as payload_digest, case wh
 case when page_id <> first then first end as refers_to from g
 """
 
-ORACLES = {"op6_warc": WARC, "op3_quality": QUALITY, "op7_line_dedup": LINE_DEDUP, "op8_license": license.oracle()}
+#: One row after another, a recursive step keeps the cheapest and least edits for each phase of the grammar (0 nothing, 1 s, 2 u, 3 a).
+CONVERSATIONS = """
+with recursive crc(t) as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))),
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+h as (select k.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(key, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as f from k, crc),
+d as (select conv_id, turn, case when f = 4 then 'user' else role end as role, case f when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when f = 3 then 2 else 1 end)) as copy from h where f <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from d),
+r as (select conv_id, i, turn, role, text, role[1] as c, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2
+  when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 3 else 0 end as fault, lag(role[1]) over (partition by conv_id order by i) as prev, count(*) over (partition by conv_id) as n from o),
+moves(q, ins, p, pc, pi, pr) as (values (0, 0, 0, 0, '', []::varchar[]), (1, 0, 1, 0, '', []), (2, 0, 2, 0, '', []), (3, 0, 3, 0, '', []), (0, 1, 2, 3, 'I', ['user:']), (1, 1, 2, 3, 'I', ['user:']), (3, 1, 2, 3, 'I', ['user:']), (2, 1, 3, 3, 'I', ['assistant:']),
+  (0, 2, 3, 6, 'II', ['user:', 'assistant:']), (1, 2, 3, 6, 'II', ['user:', 'assistant:']), (2, 2, 2, 6, 'II', ['assistant:', 'user:']), (3, 2, 3, 6, 'II', ['user:', 'assistant:'])),
+dp as (select conv_id, 0::bigint as i, 0 as q, {'cost': 0::bigint, 'audit': '', 'texts': []::varchar[]} as best from (select distinct conv_id from r)
+  union all
+  select conv_id, i, q, min(best) as best from (
+    select r.conv_id, r.i, case when a = 'D' then p when a = 'K' and p = 0 and c = 's' then 1 when p = 2 then 3 else 2 end as q,
+      {'cost': dp.best.cost + pc + case a when 'D' then 4 when 'R' then 3 else 0 end + case when a <> 'D' and fault = 3 then 3 else 0 end, 'audit': dp.best.audit || pi || a,
+       'texts': list_concat(list_concat(dp.best.texts, pr), case a when 'D' then []::varchar[] when 'K' then [role || ':' || text] else [case when p = 2 then 'assistant' else 'user' end || ':' || text] end)} as best
+    from dp join r on dp.conv_id is not distinct from r.conv_id and r.i = dp.i + 1 join moves on moves.q = dp.q, (values ('D'), ('K'), ('R')) as e(a)
+    where a = 'D' or (fault in (0, 3) and (a = 'R' or c = case when p = 2 then 'a' else 'u' end or (p = 0 and c = 's')))) group by conv_id, i, q),
+ended as (select dp.conv_id, min({'cost': best.cost + t.c, 'audit': best.audit || t.a, 'texts': list_concat(best.texts, t.x)}) as best
+  from dp join (select conv_id, max(n) as n from r group by conv_id) m on dp.conv_id is not distinct from m.conv_id and dp.i = m.n
+  join (values (0, 0, '', []::varchar[]), (3, 0, '', []), (2, 3, 'I', ['assistant:']), (1, 6, 'II', ['user:', 'assistant:'])) as t(q, c, a, x) on t.q = dp.q group by dp.conv_id),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+  count(*) filter (prev is not null and prev || c not in ('su', 'ua', 'au')) as illegal from r group by conv_id)
+select g.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank, cast(coalesce(duplicate, 0) as bigint) as duplicate, cast(coalesce(truncated, 0) as bigint) as truncated,
+cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(best.cost, 0) as bigint) as cost, coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.texts, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) g left join counts on g.conv_id is not distinct from counts.conv_id left join ended on g.conv_id is not distinct from ended.conv_id
+"""
+
+ORACLES = {"op6_warc": WARC, "op13_conversations": CONVERSATIONS, "op3_quality": QUALITY, "op7_line_dedup": LINE_DEDUP, "op8_license": license.oracle()}
