@@ -75,4 +75,18 @@ cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(best.cost, 0) as
 from (select distinct conv_id from conversations) g left join counts on g.conv_id is not distinct from counts.conv_id left join ended on g.conv_id is not distinct from ended.conv_id
 """
 
-ORACLES = {"op6_warc": WARC, "op13_conversations": CONVERSATIONS, "op3_quality": QUALITY, "op7_line_dedup": LINE_DEDUP, "op8_license": license.oracle()}
+_TERMS = "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term"
+
+BAG_SEARCH = f"""
+with t as (select doc_id, {_TERMS} from documents),
+n as (select doc_id, count(*) as n from t group by doc_id),
+s as (select count(*) as docs, sum(n)::bigint as total from n),
+f as (select doc_id, term, count(*) as tf from t group by doc_id, term),
+q as (select distinct item_id, term from (select item_id, {_TERMS} from benchmark)),
+w as (select term, floor(1000 * ln((2.0 * docs + 2)::double / (2.0 * count(*) + 1)::double))::bigint as w from f, s where term in (select term from q) group by term, docs),
+d as (select doc_id, 100 - 50 + ((50 * n * docs) // total) as m from n, s),
+r as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from q join w using (term) join f using (term) join d using (doc_id) group by item_id, doc_id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from r where score > 0 qualify rank <= 50
+"""
+
+ORACLES = {"op12_bag_search": BAG_SEARCH, "op6_warc": WARC, "op13_conversations": CONVERSATIONS, "op3_quality": QUALITY, "op7_line_dedup": LINE_DEDUP, "op8_license": license.oracle()}
