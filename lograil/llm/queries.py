@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lograil.llm import bagsearch, bpe, conversations, hnsw, langid, license, linededup, mixing, passages, quality, simhash, warc
+from lograil.llm import bagsearch, bpe, conversations, hnsw, langid, license, linededup, mixing, passages, quality, simhash, toxicity, warc
 from lograil.llm.oracles import ORACLES
 
 
@@ -65,6 +65,11 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, *toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op12_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license": op8_license,
     "op9_hnsw": op9_hnsw,
     "op10_passages": op10_passages,
+    "op11_toxicity": op11_toxicity,
     "op12_bag_search": op12_bag_search,
     "op13_conversations": op13_conversations,
 }
