@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lograil.operators.ranges import scan
+from lograil.sources.scratch import discard, table
+
 
 def markdown_chunks(pages: DataFrame, col: str = "text") -> DataFrame:
     """One chunk for each H2 section: id doc::i, the H1 (or the doc id) in front, headings kept; pages without doc_id,
@@ -41,44 +43,78 @@ def event_evidence(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("source_id"), described(events).alias("content")).where("content <> ''")
 
 
+def _times(logs: DataFrame, span_ms: int) -> DataFrame:
+    """The distinct times of each ip (probe 0) and a span behind them (probe 1): ip, ts_ms, at, probe, and the times around at."""
+    marks = F.explode(F.array(F.struct(F.col("ts_ms").alias("at"), F.lit(0).alias("probe")), F.struct((F.col("ts_ms") + span_ms).alias("at"), F.lit(1).alias("probe")))).alias("m")
+    rows = logs.where("ts_ms is not null").select("ip", "ts_ms").distinct().select("ip", "ts_ms", marks).select("ip", "ts_ms", "m.*")
+    time = F.when(F.col("probe") == 0, F.col("at"))
+    return table(scan(rows, ["ip"], ["at", "probe"], {"earlier": ("max", time, "before"), "later": ("min", time, "after")}), "times")
+
+
+def _islands(times: DataFrame, span_ms: int) -> DataFrame:
+    """Times behind an idle gap longer than span, and the first of each ip."""
+    return times.where(f"probe = 0 and (earlier is null or at - earlier > {span_ms})").select("ip", F.col("at").alias("start_ms"))
+
+
+def chunk_starts(logs: DataFrame, span_ms: int) -> DataFrame:
+    """(ip, start_ms): where a chunk begins, if a request more than span behind the start of its chunk begins the next.
+
+    Each time points to the first one more than span behind it. The starts are what is reached from the starts of islands
+    along these pointers: in round k those that are 2^k pointers further are added, and pointers are doubled. Every round is
+    two joins on (ip, time), of which no value is frequent, so a busy ip is spread over tasks; the rounds are the logarithm
+    of the chunks of the longest island.
+    """
+    times = _times(logs, span_ms)
+    islands = table(_islands(times, span_ms), "starts")
+    pairs = times.where("probe = 1 and later is not null").select("ip", F.col("ts_ms").alias("a"), F.col("later").alias("b"))
+    other = islands.select(F.col("ip").alias("_ip"), "start_ms")
+    jump = table(pairs.join(other, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("b") == F.col("start_ms")), "left_anti"), "pointers")
+    reached = [islands]
+    while True:
+        starts = reached[0]
+        for r in reached[1:]:
+            starts = starts.unionAll(r)
+        again = starts.select(F.col("ip").alias("_ip"), "start_ms")
+        new = table(again.join(jump, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("a") == F.col("start_ms"))).select("ip", F.col("b").alias("start_ms")), "starts")
+        if new.isEmpty():
+            return starts
+        reached.append(new)
+        right = jump.select(F.col("ip").alias("_ip"), F.col("a").alias("_a"), F.col("b").alias("c"))
+        doubled = table(jump.join(right, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("b") == F.col("_a"))).select("ip", "a", F.col("c").alias("b")), "pointers")
+        discard(jump)
+        jump = doubled
+
+
+def _assigned(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows with ip, ts_ms and event_id with the last start of their ip that is not behind them, as `start_ms`."""
+    both = rows.withColumn("_row", F.lit(1)).unionByName(starts.select("ip", F.col("start_ms").alias("ts_ms"), F.lit(0).alias("_row")), allowMissingColumns=True)
+    found = scan(both, ["ip"], ["ts_ms", "_row", "event_id"], {"start_ms": ("max", F.when(F.col("_row") == 0, F.col("ts_ms")), "before")})
+    return found.where("_row = 1").drop("_row")
+
+
 def idle_sessions(logs: DataFrame, gap_ms: int = 300_000) -> DataFrame:
-    """Sessions of each ip cut at idle gaps: ip, start_ms, end_ms, n."""
-    w = Window.partitionBy("ip").orderBy("ts_ms", "event_id")
-    cut = (F.col("ts_ms") - F.lag("ts_ms").over(w) > gap_ms).cast("int")
-    return logs.withColumn("s", F.sum(F.coalesce(cut, F.lit(0))).over(w)).groupBy("ip", "s").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("n")).drop("s")
+    """Sessions of each ip cut at idle gaps: ip, start_ms, end_ms, n. Rows without a time belong to none."""
+    rows = logs.where("ts_ms is not null").select("ip", "ts_ms", "event_id")
+    return _assigned(rows, _islands(_times(logs, gap_ms), gap_ms)).groupBy("ip", "start_ms").agg(F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"))
+
+
+#: The text of a session, its requests and how many of them are shown.
+SESSION_ID, SESSION_TEXT, SESSION_MORE, SESSION_SHOWN = "nginx_session::%s::%d::%d", "ip=%s 在 [%d~%d] 发起 %d 次请求: %s", "; ...(+%d more)", 5
 
 
 def anchored_sessions(logs: DataFrame, span_ms: int = 300_000) -> DataFrame:
-    """Chunks of each ip: a new one when a request is more than span after the chunk's *start*.
+    """Chunks of each ip with their text: a new one when a request is more than span after the chunk's *start*.
 
-    Any idle gap longer than span starts a chunk, so an ip is first cut there (in Spark) and only such islands go to a
-    task whole, in time order. Islands no longer than span are a chunk as they are, without Python.
+    No window or group is by ip alone (see `chunk_starts`); of a chunk only its first requests leave a task.
     """
-    w = Window.partitionBy("ip").orderBy("ts_ms", "event_id")
-    cut = F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w) > span_ms).cast("int"), F.lit(0))
-    rows = logs.select("ip", "ts_ms", "event_id", F.concat_ws(" ", "method", "path", F.col("status").cast("string")).alias("request")).withColumn("island", F.sum(cut).over(w))
-    spans = rows.groupBy("ip", "island").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"))
-    whole = F.col("end_ms") - F.col("start_ms") <= span_ms
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("ip", "island").orderBy("ts_ms", "event_id"))).where("k <= 5").groupBy("ip", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "request"))), lambda r: r["request"]), "; ").alias("t"))
-    more = F.when(F.col("n") > 5, F.concat(F.lit("; ...(+"), (F.col("n") - 5).cast("string"), F.lit(" more)"))).otherwise("")
-    short = spans.where(whole).join(first, ["ip", "island"]).select(F.concat_ws("::", F.lit("nginx_session"), "ip", F.col("start_ms").cast("string"), F.col("end_ms").cast("string")).alias("source_id"), "ip", "start_ms", "end_ms", "n", F.concat(F.lit("ip="), "ip", F.lit(" 在 ["), F.col("start_ms").cast("string"), F.lit("~"), F.col("end_ms").cast("string"), F.lit("] 发起 "), F.col("n").cast("string"), F.lit(" 次请求: "), "t", more).alias("content"))
-    long = rows.join(spans.where(~whole).select("ip", "island"), ["ip", "island"], "left_semi")
-
-    def chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "event_id"])
-        out, start = [], None
-        for t, r in zip(pdf["ts_ms"], pdf["request"], strict=True):
-            if start is None or t - start > span_ms:
-                start = t
-                out.append([pdf["ip"].iloc[0], t, t, 0, []])
-            out[-1][2] = t
-            out[-1][3] += 1
-            if len(out[-1][4]) < 5:
-                out[-1][4].append(r)
-        text = [f"ip={ip} 在 [{a}~{b}] 发起 {n} 次请求: " + "; ".join(rs) + (f"; ...(+{n - 5} more)" if n > 5 else "") for ip, a, b, n, rs in out]
-        return pd.DataFrame({"source_id": [f"nginx_session::{o[0]}::{o[1]}::{o[2]}" for o in out], "ip": [o[0] for o in out], "start_ms": [o[1] for o in out], "end_ms": [o[2] for o in out], "n": [o[3] for o in out], "content": text})
-
-    return short.unionByName(long.groupBy("ip", "island").applyInPandas(chunks, "source_id string, ip string, start_ms long, end_ms long, n long, content string"))
+    rows = logs.where("ts_ms is not null").select("ip", "ts_ms", "event_id", F.concat_ws(" ", "method", "path", F.col("status").cast("string")).alias("request"))
+    placed = table(_assigned(rows, chunk_starts(logs, span_ms)), "chunks")
+    spans = placed.groupBy("ip", "start_ms").agg(F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"))
+    first = placed.withColumn("k", F.row_number().over(Window.partitionBy("ip", "start_ms").orderBy("ts_ms", "event_id"))).where(f"k <= {SESSION_SHOWN}")
+    shown = first.groupBy("ip", "start_ms").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "request"))), lambda r: r["request"]), "; ").alias("t")).select(F.col("ip").alias("_ip"), F.col("start_ms").alias("_s"), "t")
+    both = spans.join(shown, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("start_ms") == F.col("_s")))
+    more = F.when(F.col("n") > SESSION_SHOWN, F.format_string(SESSION_MORE, F.col("n") - SESSION_SHOWN)).otherwise("")
+    return both.select(F.format_string(SESSION_ID, "ip", "start_ms", "end_ms").alias("source_id"), "ip", "start_ms", "end_ms", "n", F.concat(F.format_string(SESSION_TEXT, "ip", "start_ms", "end_ms", "n", "t"), more).alias("content"))
 
 
 def fallback(rows: DataFrame) -> DataFrame:

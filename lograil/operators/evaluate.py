@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lograil.operators.ranges import scan
+
 
 def outcome(rows: DataFrame) -> DataFrame:
     o = F.when((F.col("label") == 1) & (F.col("predicted") == 1), "tp").when(F.col("label") == 1, "fn").when(F.col("predicted") == 1, "fp").otherwise("tn")
@@ -20,11 +22,13 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 
 def curve(rows: DataFrame) -> DataFrame:
-    """threshold, tp, fp, tpr, fpr, precision for each distinct score, most anomalous (lowest) first."""
-    by = rows.groupBy(F.round("score", 6).alias("threshold")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    w = Window.partitionBy(F.lit(0)).orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
-    c = by.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("q").over(w)}).join(F.broadcast(total))
+    """threshold, tp, fp, tpr, fpr, precision for each distinct score, most anomalous (lowest) first.
+
+    Counts up to a threshold are prefix sums over ranges of scores, so no task holds all scores.
+    """
+    by = rows.groupBy(F.col("score").alias("threshold")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    total = rows.agg(F.sum("label").alias("all_p"), F.sum(1 - F.col("label")).alias("all_q"))
+    c = scan(by, [], ["threshold"], {"_p": ("sum", F.col("p"), "before"), "_q": ("sum", F.col("q"), "before")}).withColumns({"tp": F.col("_p") + F.col("p"), "fp": F.col("_q") + F.col("q")}).join(F.broadcast(total))
     return c.select("threshold", "p", "q", "tp", "fp", (F.col("tp") / F.col("all_p")).alias("tpr"), (F.col("fp") / F.col("all_q")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), "all_p", "all_q")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lograil.operators.ranges import scan
+
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.1, 42
 EULER = 0.5772156649
 
@@ -100,7 +102,13 @@ def predict(scored: DataFrame, contamination: float = CONTAMINATION) -> DataFram
     return scored.join(F.broadcast(cut)).select(*scored.columns, (F.col("score") < F.col("cut")).cast("int").alias("predicted"))
 
 
-def split(rows: DataFrame, key: str, test: float = 0.3, seed: int = 42) -> DataFrame:
-    """Adds is_test by hash of the key: the same rows whatever the partitions, about `test` of each label, no shuffle."""
-    part = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 6), 16, 10).cast("long")
-    return rows.withColumn("is_test", part < int(test * 0x1000000))
+def split(rows: DataFrame, key: str, label: str | None = None, test: float = 0.3, seed: int = 42) -> DataFrame:
+    """Adds is_test: of each label (null is one) exactly the rounded share `test` of its rows, those of the smallest hashes.
+
+    The place of a row among its label's is a prefix sum over ranges of (label, hash), so no label is sorted in one task and
+    the same rows are chosen whatever the partitions. Without a label all rows are one stratum.
+    """
+    named = rows.withColumns({"_label": F.col(label).cast("string") if label else F.lit(""), "_hash": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))})
+    placed = scan(named, ["_label"], ["_hash", key], {"_place": ("sum", F.lit(1), "before")})
+    sizes = named.groupBy("_label").agg(F.floor(F.count("*") * test + 0.5).alias("_test")).select(F.col("_label").alias("_l"), "_test")
+    return placed.join(F.broadcast(sizes), F.col("_label").eqNullSafe(F.col("_l"))).withColumn("is_test", F.col("_place") < F.col("_test")).drop("_label", "_hash", "_place", "_l", "_test")

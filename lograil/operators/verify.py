@@ -80,12 +80,27 @@ def rebuilt(stored: DataFrame) -> DataFrame:
     return rows.select(F.col("_id").alias("record_id"), F.col("_version").alias("version"), F.col("_hash").alias("payload_hash"), reason.alias("reason"))
 
 
-def manifest(rows: DataFrame, buckets: int = 64) -> DataFrame:
-    """Count and order-free digest: hashes are combined by buckets, so no task sorts all rows."""
-    h = F.sha2(F.concat_ws(":", "record_id", "payload_hash"), 256)
-    part = F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
-    each = rows.select(part.alias("h")).groupBy((F.col("h") % buckets).alias("b")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h") % 1_000_003).alias("s"))
-    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.bit_xor("x").alias("digest"), F.sum("s").alias("checksum"))
+def manifest_buckets(rows: DataFrame, digits: int = 3) -> DataFrame:
+    """The lower level of the hash tree: bucket, n, digest for each beginning of `digits` hex digits of the row hashes.
+
+    A row's hash is that of "record_id:payload_hash". Equal rows become one with a count before anything is gathered, so
+    a bucket holds different hashes, evenly spread: about rows / 16^digits, in order, with their counts.
+    """
+    each = rows.select(F.sha2(F.concat_ws(":", F.coalesce("record_id", F.lit("")), F.coalesce("payload_hash", F.lit(""))), 256).alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "c"))), lambda x: F.concat_ws(":", x["h"], x["c"].cast("string"))), "\n")
+    return each.groupBy(F.substring("h", 1, digits).alias("bucket")).agg(F.sum("c").alias("n"), F.sha2(listed, 256).alias("digest"))
+
+
+def manifest(rows: DataFrame, digits: int = 3) -> DataFrame:
+    """n and the root digest: the hash of "bucket:n:digest" of all buckets in order, at most 16^digits short lines."""
+    line = F.concat_ws(":", "bucket", F.col("n").cast("string"), "digest")
+    return manifest_buckets(rows, digits).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+
+
+def manifest_differences(a: DataFrame, b: DataFrame, digits: int = 3) -> DataFrame:
+    """Buckets in which two sets of rows differ, with their counts: only these need a comparison of rows."""
+    x, y = manifest_buckets(a, digits), manifest_buckets(b, digits).select("bucket", F.col("n").alias("m"), F.col("digest").alias("other"))
+    return x.join(y, "bucket", "full").where(~F.col("digest").eqNullSafe(F.col("other"))).select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
 
 
 def cleanup_plan(rows: DataFrame, checkpoints: DataFrame, now_ms: int, days: int = 7) -> DataFrame:

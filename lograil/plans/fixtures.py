@@ -91,4 +91,6 @@ def with_views(sql: str, *names: str) -> str:
     order = list(dict.fromkeys(v for n in names for v in [*_NEEDS.get(n, []), n]))
     ctes = ", ".join(f"{v} as ({text(v, 'duckdb')})" for v in order)
     sql = sql.strip()
+    if sql.lower().startswith("with recursive "):
+        return f"with recursive {ctes}, {sql[15:]}"
     return f"with {ctes}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {ctes} {sql}"

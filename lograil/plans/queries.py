@@ -388,11 +388,19 @@ def v8_rebuilt_rows(logs):
     return verify.rebuilt(stored)
 
 
-@query("versioned_log", sql="with h as (select cast(concat('0x', substr(sha256(concat(record_id, ':', payload_hash)), 1, 15)) as bigint) as h from versioned_log) select count(*) as n, bit_xor(h) as digest, cast(sum(h % 1000003) as bigint) as checksum from h")
+_TREE = "h as (select sha256(concat(record_id, ':', payload_hash)) as h, count(*) as c from versioned_log{} group by 1), b as (select substr(h, 1, 3) as bucket, cast(sum(c) as bigint) as n, sha256(string_agg(concat(h, ':', c), chr(10) order by h)) as digest from h group by 1)"
+
+
+@query("versioned_log", sql=f"with {_TREE.format('')} select cast(sum(n) as bigint) as n, sha256(string_agg(concat(bucket, ':', n, ':', digest), chr(10) order by bucket)) as digest from b")
 def v4_manifest(rows):
     return verify.manifest(rows)
 
 
+@query("versioned_log", sql=f"with {_TREE.format('')}, c as (with {_TREE.format(' where off % 500 <> 7')} select * from b) select coalesce(b.bucket, c.bucket) as bucket, coalesce(b.n, 0) as n, coalesce(c.n, 0) as m from b full join c on b.bucket = c.bucket where b.digest is distinct from c.digest")
+def v4_manifest_differences(rows):
+    return verify.manifest_differences(rows, rows.where("off % 500 <> 7"))
+
+
 @query("versioned_log", "checkpoints", sql=f"with t as (select event_time - event_time % 86400000 as day_ms, topic, part, max(off) as off, count(*) as n from versioned_log group by all), j as (select t.*, k.next_offset from t left join checkpoints k on t.topic = k.topic and t.part = k.part and k.part <> 3) select day_ms, cast(sum(n) as bigint) as n, case when bool_and(coalesce(off < next_offset, false)) then 'ELIGIBLE' else 'BLOCKED' end as state from j where day_ms + 86400000 <= {HOT} group by day_ms")
 def v5_cleanup_plan(rows, ck):
     return verify.cleanup_plan(rows, ck.where("part <> 3"), NOW)
@@ -469,9 +477,9 @@ def f12_labelled(logs):
     return features.labelled(rows).groupBy("label_int").agg(F.count("*").alias("n"), F.sum("uri_length").alias("uri_length"), F.sum("status_code").alias("status_code"))
 
 
-@query("access_log", sql="select event_id, cast(concat('0x', substr(md5(concat('42:', event_id)), 1, 6)) as bigint) < cast(floor(0.3 * 16777216) as bigint) as is_test from access_log")
+@query("access_log", sql="with h as (select event_id, n % 7 as label, row_number() over (partition by n % 7 order by md5(concat('42:', event_id)), event_id) as place, floor(count(*) over (partition by n % 7) * 0.3 + 0.5) as test from access_log) select event_id, label, place <= test as is_test from h")
 def m2_split(logs):
-    return iforest.split(logs, "event_id").select("event_id", "is_test")
+    return iforest.split(logs.withColumn("label", F.col("n") % 7), "event_id", "label").select("event_id", "label", "is_test")
 
 
 @query("access_log", sql="select count(*) as total, cast(sum(length(path)) as double) as uri_length, cast(0.0 as double) as digit_ratio from access_log")
@@ -495,17 +503,17 @@ def m7_confusion(rows):
     return evaluate.confusion(rows)
 
 
-_CURVE = "b as (select round(score, 6) as threshold, sum(label) as p, sum(1 - label) as q from scored group by 1), c as (select *, sum(p) over w as tp, sum(q) over w as fp, sum(p) over () as pp, sum(q) over () as qq from b window w as (order by threshold rows unbounded preceding))"
+_CURVE = "b as (select cast(score as double) as threshold, sum(label) as p, sum(1 - label) as q from scored group by 1), c as (select *, sum(p) over w as tp, sum(q) over w as fp, sum(p) over () as pp, sum(q) over () as qq from b window w as (order by threshold rows unbounded preceding))"
 
 
 @query("scored", sql=f"with {_CURVE} select round(sum(q * (tp - p / 2)) / (max(pp) * max(qq)), 9) as auc, round(sum(p / pp * tp / (tp + fp)), 9) as average_precision, round(1 - round(sum(q * (tp - p / 2)) / (max(pp) * max(qq)), 9), 9) as auc_as_reported from c")
 def m8_m9_auc(rows):
-    return evaluate.auc(rows)
+    return evaluate.auc(rows.withColumn("score", F.col("score").cast("double")))
 
 
 @query("scored", sql=f"with {_CURVE} select threshold, cast(tp as bigint) as tp, cast(fp as bigint) as fp, tp / pp as tpr, fp / qq as fpr, tp / (tp + fp) as precision from c")
 def m10_curves(rows):
-    return evaluate.curve(rows).drop("p", "q", "all_p", "all_q")
+    return evaluate.curve(rows.withColumn("score", F.col("score").cast("double"))).drop("p", "q", "all_p", "all_q")
 
 
 @query("scored", sql="with r as (select label, min(score) as lo, max(score) as hi, count(*) as total from scored group by label), j as (select s.label, cast(least(floor((score - lo) / ((hi - lo) / 50)), 49) as integer) as bin, total, (hi - lo) / 50 as width from (select label, cast(score as double) as score from scored) s join (select label, cast(lo as double) as lo, cast(hi as double) as hi, total from r) r on s.label = r.label) select label, bin, count(*) as n, round(count(*) / (total * width), 6) as density from j group by label, bin, total, width")
@@ -541,7 +549,15 @@ def c3_idle_sessions(logs):
     return corpus.idle_sessions(logs)
 
 
-@query("access_log")
+#: Each time points to the first one more than five minutes behind it; the recursion follows these pointers from an ip's first time.
+_CHUNKS = """with recursive t as (select distinct ip, ts_ms from access_log), p as materialized (select ip, ts_ms as a, (select min(b.ts_ms) from t b where b.ip = t.ip and b.ts_ms > t.ts_ms + 300000) as b from t),
+s as (select ip, min(ts_ms) as start_ms from t group by ip union all select p.ip, p.b from s join p on p.ip = s.ip and p.a = s.start_ms),
+l as (select x.*, s.start_ms from access_log x asof join s on x.ip = s.ip and x.ts_ms >= s.start_ms),
+k as (select *, row_number() over (partition by ip, start_ms order by ts_ms, event_id) as k, concat_ws(' ', method, path, cast(status as varchar)) as request from l)
+select concat_ws('::', 'nginx_session', ip, start_ms, max(ts_ms)) as source_id, ip, start_ms, max(ts_ms) as end_ms, count(*) as n, concat('ip=', ip, ' 在 [', start_ms, '~', max(ts_ms), '] 发起 ', count(*), ' 次请求: ', string_agg(request, '; ' order by k) filter (k <= 5), case when count(*) > 5 then concat('; ...(+', count(*) - 5, ' more)') else '' end) as content from k group by ip, start_ms"""
+
+
+@query("access_log", sql=_CHUNKS)
 def c3_anchored_sessions(logs):
     return corpus.anchored_sessions(logs)
 
