@@ -26,6 +26,8 @@ from lograil.llm._common import bounded_batches, materialize
 
 #: Features of the model, and the labelled rows that its weights are fitted on at most (chosen by a hash).
 FEATURES, SAMPLE = 2048, 16_384
+#: Labels (12 bytes each) that are sent to all executors at most, so that texts need no shuffle; more of them are joined with one.
+SENT = 1 << 22
 #: Documents that must hold a feature.
 LEAST = 3
 BEGINNINGS = (3, 4, 5, 6)
@@ -67,8 +69,9 @@ def swaps(words: set[str]) -> Iterator[tuple[set[str], set[str]]]:
 def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, y) of the training rows: documents with a label whose crc32(doc_id) mod 5 is not 0."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("y"))
+    own = materialize(own, "labels")
     rows = documents.select("doc_id", "text").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return rows.join(own, "doc_id")
+    return rows.join(F.broadcast(own) if own.count() <= SENT else own, "doc_id")
 
 
 def counted(rows: DataFrame) -> DataFrame:
