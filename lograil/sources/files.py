@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograil.operators.verify import merge
+from lograil.sources.ledger import Batch, key_bucket, put
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,10 +42,10 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
-def archive(rows: DataFrame, path: str, time: str = "event_time") -> None:
-    """Rows of one batch for the full history, partitioned by kind and month; the batch run again replaces them."""
-    month = F.date_format(F.timestamp_millis(time), "yyyy-MM")
-    rows.withColumn("month", month).write.mode("overwrite").partitionBy("kind", "month").parquet(path)
+def archive(rows: DataFrame, base: str, batch: Batch, key: list[str] | None = None, time: str = "event_time") -> bool:
+    """Rows of one batch for the full history, by kind and month; with a key, rows that the history has are not added again."""
+    month = F.concat_ws(".", "kind", F.date_format(F.timestamp_millis(time), "yyyy-MM"))
+    return put(rows, base, batch, month, key)
 
 
 def hot_rows(rows: DataFrame, now_ms: int, days: int = 7, time: str = "event_time") -> DataFrame:
@@ -53,18 +53,14 @@ def hot_rows(rows: DataFrame, now_ms: int, days: int = 7, time: str = "event_tim
     return rows.where(F.col(time) >= now_ms - days * 86_400_000).withColumn("day", F.date_format(F.timestamp_millis(time), "yyyy-MM-dd"))
 
 
-def upsert(rows: DataFrame, base: str, version: int, key: str = "record_id") -> str:
-    """Merge rows into a table of versioned folders; what is read is never overwritten. Returns the new folder."""
-    spark, new = rows.sparkSession, f"{base}/v{version}"
-    old = f"{base}/v{version - 1}"
-    try:
-        have = spark.read.parquet(old)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = rows.limit(0)
-    merge(have, rows, key).write.mode("overwrite").parquet(new)
-    return new
+def upsert(rows: DataFrame, base: str, batch: Batch, key: str = "record_id", version: str = "version") -> bool:
+    """Events: a higher or equal version of a record replaces it."""
+    return put(rows, base, batch, key_bucket([key]), [key], [version])
+
+
+def insert_only(rows: DataFrame, base: str, batch: Batch, key: str = "record_id") -> bool:
+    """Raw rows and dead letters: a record that is there is never changed."""
+    return put(rows, base, batch, key_bucket([key]), [key])
 
 
 def quarantine(rows: DataFrame, error: str = "error") -> DataFrame:

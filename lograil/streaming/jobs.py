@@ -7,51 +7,77 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from lograil.operators.corpus import follow
 from lograil.operators.detect import security_events
 from lograil.operators.normalize import normalize
 from lograil.operators.parse import parse_strict, split_parsed
 from lograil.sources.files import archive, hot_rows, quarantine
+from lograil.sources.ledger import Batch, key_bucket, put, read, run_of
+from lograil.sources.scratch import discard, table
 
 
-def start(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+def limited(reader: DataStreamReader, source: str, files: int | None = None, size: str | None = None, rows: int | None = None) -> DataStreamReader:
+    """A reader that admits so much to a micro-batch: files or their bytes (source files), or rows (source kafka)."""
+    if source == "kafka":
+        if files or size:
+            raise ValueError("a Kafka source is limited by rows")
+        return reader.option("maxOffsetsPerTrigger", rows) if rows else reader
+    if rows or (files and size):
+        raise ValueError("a file source is limited by files or by bytes")
+    return reader.option("maxFilesPerTrigger", files) if files else reader.option("maxBytesPerTrigger", size) if size else reader
+
+
+def start(rows: DataFrame, each: Callable[[DataFrame, Batch], None], checkpoint: str, stream: str, every: str | None = None) -> StreamingQuery:
     """Run a function on every micro-batch; offsets move on only after it has ended."""
-    w = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+    def named(batch: DataFrame, no: int) -> None:
+        each(batch, Batch(stream, run_of(batch.sparkSession, checkpoint), no))
+
+    w = rows.writeStream.foreachBatch(named).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
 def parse_lines(lines: DataFrame, good: str, bad: str, checkpoint: str) -> StreamingQuery:
-    """Lines to structured rows and dead letters."""
+    """Lines to structured rows and dead letters (tables of `ledger`)."""
+
+    def each(batch: DataFrame, no: Batch) -> None:
+        once = table(parse_strict(batch), "parsed")
+        ok, failed = split_parsed(once)
+        put(ok, good, no, F.lit("all"))
+        put(failed, bad, no, F.lit("all"))
+        discard(once)
 
-    def each(batch: DataFrame, no: int) -> None:
-        ok, failed = split_parsed(parse_strict(batch))
-        ok.write.mode("overwrite").parquet(f"{good}/batch={no}")
-        failed.write.mode("overwrite").parquet(f"{bad}/batch={no}")
+    return start(lines, each, checkpoint, "parse")
 
-    return start(lines, each, checkpoint)
 
+def detect_events(logs: DataFrame, events: str, dead: str, checkpoint: str, now: Callable[[], int]) -> StreamingQuery:
+    """Decoding, validation and detection: an event is inserted once by its id, what is refused goes to dead letters."""
 
-def detect_events(logs: DataFrame, events: str, dead: str, checkpoint: str, now_ms: int = 0) -> StreamingQuery:
-    """Decoding, validation and detection; a batch that is run again replaces its own folder."""
+    def each(batch: DataFrame, no: Batch) -> None:
+        once = table(normalize(batch, now()), "normalized")
+        found = security_events(once.where("error is null"), "original_path")
+        put(found, events, no, F.date_format(F.timestamp_millis(F.col("log_context.timestamp")), "yyyy-MM-dd"), ["event_id"])
+        put(once.where("error is not null"), dead, no, F.lit("all"))
+        discard(once)
 
-    def each(batch: DataFrame, no: int) -> None:
-        rows = normalize(batch, now_ms)
-        security_events(rows.where("error is null"), "original_path").write.mode("overwrite").parquet(f"{events}/batch={no}")
-        rows.where("error is not null").write.mode("overwrite").parquet(f"{dead}/batch={no}")
+    return start(logs, each, checkpoint, "detect")
 
-    return start(logs, each, checkpoint)
 
+def two_tiers(rows: DataFrame, hot: str, cold: str, checkpoint: str, now: Callable[[], int], key: list[str] | None = None, version: list[str] | None = None) -> StreamingQuery:
+    """All rows to the full history, those of the last days to the hot tier; late rows never reopen a hot day.
 
-def two_tiers(rows: DataFrame, hot: str, cold: str, checkpoint: str, now_ms: int) -> StreamingQuery:
-    """All rows to the full history, those of the last days to the hot tier; late rows never reopen a hot day."""
+    key identifies a row of the history (record_id and version by default). The hot tier keeps the highest version of a
+    record in its day, so running it again, from an old or a new checkpoint, changes nothing.
+    """
 
-    def each(batch: DataFrame, no: int) -> None:
-        archive(batch, f"{cold}/batch={no}")
-        hot_rows(batch, now_ms).write.mode("overwrite").partitionBy("day").parquet(f"{hot}/batch={no}")
+    def each(batch: DataFrame, no: Batch) -> None:
+        archive(batch, cold, no, key or ["record_id", "version"])
+        recent = hot_rows(batch, now())
+        put(recent, hot, no, F.col("day"), ["record_id"], version or ["version"])
 
-    return start(rows, each, checkpoint)
+    return start(rows, each, checkpoint, "tiers")
 
 
 def deduplicated(rows: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -59,16 +85,41 @@ def deduplicated(rows: DataFrame, time: str = "ts", delay: str = "1 hour") -> Da
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(["record_id", "version"])
 
 
-def validated(rows: DataFrame, good: str, bad: str, checkpoint: str, strict: bool = False) -> StreamingQuery:
-    """Rows with an error go to quarantine; strict refuses the batch after writing it."""
+_POSITION, _GAP = ["topic", "part"], ["topic", "part", "off"]
 
-    def each(batch: DataFrame, no: int) -> None:
-        quarantine(batch.where("error is not null")).write.mode("overwrite").parquet(f"{bad}/batch={no}")
-        if strict and not batch.where("error is not null").isEmpty():
-            raise ValueError("a record was refused")
-        batch.where("error is null").write.mode("overwrite").parquet(f"{good}/batch={no}")
 
-    return start(rows, each, checkpoint)
+def consumed(messages: DataFrame, checked: Callable[[DataFrame], DataFrame], base: str, checkpoint: str, strict: bool = True, largest: int = 5 << 20) -> StreamingQuery:
+    """Messages (topic, part, off, value) to the table base/rows, with a register of positions, gaps and refused records.
+
+    `checked` adds `error` (null: valid); a value of more than `largest` bytes is refused before it. A refused record goes
+    to base/quarantine and its position to base/gaps as open. strict: nothing of its batch is written, the positions in
+    base/positions stay and the stream stops, so the same batch comes again. Otherwise the valid rows are written, the
+    position moves on, and the gap stays open. When a position of an open gap has been written, it is resolved.
+    """
+    where = lambda name: f"{base}/{name}"
+    bucket = lambda key: key_bucket(key, 16)
+
+    def each(batch: DataFrame, no: Batch) -> None:
+        large = F.coalesce(F.octet_length("value") > largest, F.lit(False))
+        refused = batch.where(large).withColumn("error", F.lit(f"the record is larger than {largest} bytes"))
+        once = table(checked(batch.where(~large)).unionByName(refused, allowMissingColumns=True), "checked")
+        bad, good = once.where("error is not null"), once.where("error is null")
+        again = Batch(no.stream, no.run)  # registers are keyed by position: writing them again changes nothing
+        if not bad.isEmpty():
+            put(quarantine(bad).withColumns({c: F.get_json_object("source", f"$.{c}") for c in _GAP}), where("quarantine"), again, bucket(_GAP), _GAP)
+            put(bad.select(*_GAP, F.lit(0).alias("resolved")), where("gaps"), again, bucket(_GAP), _GAP, ["resolved"])
+            if strict:
+                raise ValueError("a record was refused; the position stays")
+        put(good.drop("error"), where("rows"), no, F.lit("all"))
+        gaps = read(batch.sparkSession, where("gaps"), bad.select(*_GAP, F.lit(0).alias("resolved")).schema)
+        filled = gaps.where("resolved = 0").select(*_GAP).join(good.select(*_GAP), _GAP, "left_semi")
+        if not filled.isEmpty():
+            put(filled.withColumn("resolved", F.lit(1)), where("gaps"), again, bucket(_GAP), _GAP, ["resolved"])
+        moved = once.groupBy(*_POSITION).agg((F.max("off") + 1).alias("next_offset"))
+        put(moved, where("positions"), again, bucket(_POSITION), _POSITION, ["next_offset"])
+        discard(once)
+
+    return start(messages, each, checkpoint, "consume")
 
 
 def hourly(rows: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -80,46 +131,60 @@ def idle_sessions(rows: DataFrame, time: str = "ts", gap: str = "5 minutes", del
 
 
 def anchored_sessions(rows: DataFrame, time: str = "ts", span_ms: int = 300_000, delay: str = "10 minutes") -> DataFrame:
-    """Chunks of each ip that end span after their start; state is one open chunk for each ip."""
+    """Chunks of each ip that end span after their start: ip, start_ms, end_ms, n, once no earlier row can come any more.
+
+    Rows may come in any order within the watermark: they wait in the state, counted by time, until the watermark has
+    passed them, and are only then given to a chunk. The state of an ip is one open chunk and the times of one delay.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first, last, n = state.get if state.exists else (None, None, 0)
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"ip": [key[0]], "start_ms": [first], "end_ms": [last], "n": [n]})
-            return
-        for t in sorted(t for f in frames for t in f["ts_ms"]):
+        first, last, n, times, counts = state.get if state.exists else (None, None, 0, [], [])
+        waiting = dict(zip(times, counts, strict=True))
+        for f in frames:
+            for t, c in f["ts_ms"].value_counts().items():
+                waiting[int(t)] = waiting.get(int(t), 0) + int(c)
+        passed, out = state.getCurrentWatermarkMs(), []
+        for t in sorted(waiting):
+            if t >= passed:
+                break
             if first is not None and t - first > span_ms:
                 out.append((key[0], first, last, n))
                 first, n = None, 0
-            first, last, n = (t if first is None else first), t, n + 1
-        state.update((first, last, n))
-        state.setTimeoutTimestamp(max(first + span_ms + 1, state.getCurrentWatermarkMs() + 1))
+            first, last, n = (t if first is None else first), t, n + waiting.pop(t)
+        if first is not None and first + span_ms < passed:  # later rows begin another chunk
+            out.append((key[0], first, last, n))
+            first, last, n = None, None, 0
+        if waiting or first is not None:
+            state.update((first, last, n, sorted(waiting), [waiting[t] for t in sorted(waiting)]))
+            next_ = min([t + 1 for t in waiting] + ([first + span_ms + 1] if first is not None else []))
+            state.setTimeoutTimestamp(max(next_, passed + 1))
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=["ip", "start_ms", "end_ms", "n"])
 
     timed = rows.withWatermark(time, delay).select("ip", time, F.unix_millis(time).alias("ts_ms"))
-    return timed.groupBy("ip").applyInPandasWithState(step, "ip string, start_ms long, end_ms long, n long", "first long, last long, n long", "append", "EventTimeTimeout")
+    return timed.groupBy("ip").applyInPandasWithState(step, "ip string, start_ms long, end_ms long, n long", "first long, last long, n long, times array<long>, counts array<long>", "append", "EventTimeTimeout")
 
 
-def follow_corpus(notices: DataFrame, events: Callable[[], DataFrame], out: str, checkpoint: str, now: Callable[[], int], days: int = 90) -> StreamingQuery:
-    """The corpus follows archive notices (notice_id, record_id): what each one does goes to actions/batch=no.
+def follow_corpus(notices: DataFrame, events: Callable[[], DataFrame], base: str, checkpoint: str, now: Callable[[], int], days: int = 90) -> StreamingQuery:
+    """The corpus follows archive notices (notice_id, record_id): what each one does goes to the table base/actions.
 
-    events() gives the archive's latest rows at that time. Notices of events that lie in the future wait in a folder of
-    their batch and are judged again with the next one; a batch that is run again reads the same waiting notices and
-    replaces its own folders.
+    events() gives the archive's latest rows at that time. Notices of events that lie in the future wait in base/waiting
+    and are judged again with the next batch. Both are keyed by the notice, so a batch that is run again, or a new
+    checkpoint over the same notices, repeats nothing; a notice that was acted upon waits no more.
     """
+    whose = ["notice_id"]
 
-    def each(batch: DataFrame, no: int) -> None:
+    def each(batch: DataFrame, no: Batch) -> None:
         spark, at = batch.sparkSession, now()
-        if no:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/waiting/batch={no - 1}"))
-        batch = batch.select("notice_id", "record_id").dropDuplicates(["notice_id"])
-        acts = follow(batch, events(), None, at, at - days * 86_400_000)
-        acts.write.mode("overwrite").parquet(f"{out}/judged/batch={no}")
-        acts = spark.read.parquet(f"{out}/judged/batch={no}")
-        acts.where("action = 'wait'").select("notice_id", "record_id").write.mode("overwrite").parquet(f"{out}/waiting/batch={no}")
-        acts.where("action <> 'wait'").write.mode("overwrite").parquet(f"{out}/actions/batch={no}")
-
-    return start(notices, each, checkpoint)
+        schema = batch.select("notice_id", "record_id").withColumn("acted", F.lit(0)).schema
+        old = read(spark, f"{base}/waiting", schema).where("acted = 0").select("notice_id", "record_id")
+        due = batch.select("notice_id", "record_id").unionByName(old).dropDuplicates(whose)
+        acts = table(follow(due, events(), None, at, at - days * 86_400_000), "judged")
+        again = Batch(no.stream, no.run)
+        put(acts.where("action <> 'wait'"), f"{base}/actions", again, key_bucket(whose, 16), whose)
+        put(acts.select("notice_id", "record_id", (F.col("action") != "wait").cast("int").alias("acted")), f"{base}/waiting", again, key_bucket(whose, 16), whose, ["acted"])
+        discard(acts)
+
+    return start(notices, each, checkpoint, "follow")
