@@ -1,9 +1,8 @@
-"""Decoding of log fields, canonical JSON and IP forms. Rows that have nothing to decode never reach Python."""
+"""Decoding of log fields, canonical JSON and ids in nested JSON. Rows that have nothing to decode never reach Python."""
 
 from __future__ import annotations
 
 import html
-import ipaddress
 import json
 import re
 from urllib.parse import unquote
@@ -13,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+#: Keys under which an id stands in the output of a tool.
+ID_KEYS = ("event_id", "source_id", "_id", "_source.id", "id")
 _ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{2})")
 
 
@@ -57,34 +58,33 @@ def canonical_json(values: pd.Series) -> pd.Series:
     return values.map(canonical, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def _ip6(values: pd.Series) -> pd.Series:
-    def one(x: str) -> str | None:
-        try:
-            return str(ipaddress.ip_address(x))
-        except ValueError:
-            return None
-
-    return values.map(one, na_action="ignore")
+def _payload(text: str | None) -> str | None:
+    try:
+        found = json.loads(text)
+    except (TypeError, ValueError):
+        return None
+    return canonical(json.dumps({k: v for k, v in found.items() if k != "_storage"})) if isinstance(found, dict) else None
 
 
-def canonical_ip(col: Column) -> Column:
-    """The canonical IPv4 or IPv6 form, '' for '', null for anything else; only texts with a colon take the Python way."""
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    six = col.contains(":")
-    return F.when((col == "") | col.rlike(rf"^({octet}\.){{3}}{octet}$"), col).when(six, _ip6(F.when(six, col)))
+@F.pandas_udf(StringType())
+def canonical_payload(values: pd.Series) -> pd.Series:
+    """Canonical JSON of an object without what storage itself has put into it; null for anything else."""
+    return values.map(_payload, na_action="ignore")
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def source_ids(values: pd.Series) -> pd.Series:
-    """Ids under known keys of nested JSON, to a depth of 8, the first 50."""
+    """Ids (texts and whole numbers) under known keys of nested JSON, to a depth of 8, the first 50 in the order of the text.
+
+    That order is why this is no explosion of variants, whose fields are sorted by name.
+    """
 
     def walk(x, depth: int, out: list[str]) -> None:
         if depth > 8 or len(out) >= 50:
             return
         if isinstance(x, dict):
             for k, v in x.items():
-                if k in ("source_id", "event_id", "_id", "id", "record_id") and isinstance(v, str | int):
+                if k in ID_KEYS and isinstance(v, str | int):
                     if len(out) < 50:
                         out.append(str(v))
                 else:

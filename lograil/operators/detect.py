@@ -30,16 +30,16 @@ def detections(profiles: list[Profile] = PROFILES, libraries: dict[str, list[tup
     return F.filter(F.array(*own), lambda d: F.size(d["matches"]) > 0)
 
 
-def detect(logs: DataFrame, profiles: list[Profile] = PROFILES) -> DataFrame:
+def detect(logs: DataFrame, profiles: list[Profile] = PROFILES, libraries: dict[str, list[tuple[str, str]]] = LIBRARIES) -> DataFrame:
     """Rows with a detection: the log's columns, detections and attack_type (types joined by commas, in order)."""
-    found = logs.withColumn("detections", detections(profiles)).where(F.size("detections") > 0)
+    found = logs.withColumn("detections", detections(profiles, libraries)).where(F.size("detections") > 0)
     return found.withColumn("attack_type", F.array_join(F.transform("detections", lambda d: d["attack_type"]), ","))
 
 
-def security_events(logs: DataFrame, original: str = "path", profiles: list[Profile] = PROFILES) -> DataFrame:
+def security_events(logs: DataFrame, original: str = "path", profiles: list[Profile] = PROFILES, libraries: dict[str, list[tuple[str, str]]] = LIBRARIES) -> DataFrame:
     """event_id, attack_type, detections and log_context with the raw and the decoded path."""
     context = F.struct("ip", "method", F.col(original).alias("path"), F.col("path").alias("normalized_path"), "status", "bytes", "referrer", "user_agent", F.col("ts_ms").alias("timestamp"))
-    return detect(logs, profiles).select("event_id", "attack_type", "detections", context.alias("log_context"))
+    return detect(logs, profiles, libraries).select("event_id", "attack_type", "detections", context.alias("log_context"))
 
 
 def flat_matches(events: DataFrame, key: str = "event_id") -> DataFrame:

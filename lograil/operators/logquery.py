@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,8 @@ class QuerySpec:
             raise ValueError(f"unknown filters: {sorted(unknown)}")
         if any(len(str(v)) > 1024 for v in self.filters.values()) or not 0 <= int(self.filters.get("status", 0)) <= 65535:
             raise ValueError("a filter value is out of range")
+        if self.filters.get("ip"):
+            ipaddress.ip_address(self.filters["ip"])
 
     def condition(self, time: str = "event_time", key: str = "record_id") -> Column:
         c = (F.col(time) >= self.start) & (F.col(time) < self.end)
@@ -35,6 +38,8 @@ class QuerySpec:
                 c &= (F.col("ip") == v) | F.col("path").contains(v) | (F.col(key) == v)
             elif name == "attack_type":
                 c &= F.array_contains("attack_types", v)
+            elif name == "ip":
+                c &= F.col("ip") == str(ipaddress.ip_address(v))  # rows are stored in canonical form
             else:
                 c &= F.col(key if name == "event_id" else name) == v
         return c

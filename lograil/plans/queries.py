@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lograil.functions import addresses, answers
+from lograil.functions.decode import source_ids
 from lograil.functions.times import epoch_millis, log_time, nullable_time, strict_time
 from lograil.operators import corpus, detect, evals, evaluate, features, iforest, logquery, normalize, parse, reports, retrieve, verify
 from lograil.operators.logquery import QuerySpec
@@ -747,3 +749,48 @@ def e10_variants(rows):
 def e11_gate(rows):
     risk = F.when(F.col("step") % 7 == 6, F.lit("high")).when(F.col("step") % 7 == 3, F.lit("low"))
     return evals.gate(rows.withColumn("risk_level", risk), 10, 4000, 3, hypotheses=4)
+
+
+# --- storage records, answers and ids from free JSON ---------------------------------------------------------------
+#: Payloads with keys out of order and faults: no id, long id, bad and IPv6 addresses, the future, numbers that are none.
+_ID = "case when n % 13 = 0 then '' when n % 29 = 0 then repeat('x', 256) else event_id end"
+_IP = "case when n % 17 = 0 then '1.2.3.400' when n % 5 = 0 then '2001:DB8:0:0:0:0:0:1' else ip end"
+_STATUS = "case when n % 23 = 0 then '70000' when n % 7 = 0 then concat('\"', cast(status as string), '\"') else cast(status as string) end"
+_TIME = "case when n % 31 = 0 then '\"2024-01-01\"' when n % 37 = 0 then '1706745900001' else cast(ts_ms as string) end"
+_BODY = f"""concat('{{"status": ', {_STATUS}, ', "path": "', path, '", "ip": "', {_IP}, '", "_storage": {{"x": 1}}, "event_id": "', {_ID}, '", "method": "', method, '", "attack_type": "xss, sql ,xss", "detections": [{{"rule_id": "b"}}, {{"rule_id": "a"}}, 5], "bytes": ', cast(bytes as string), '.0, "@timestamp": ', {_TIME}, '}}')"""
+_CANON = f"""concat('{{"@timestamp":', {_TIME}, ',"attack_type":"xss, sql ,xss","bytes":', bytes, '.0,"detections":[{{"rule_id":"b"}},{{"rule_id":"a"}},5],"event_id":"', {_ID}, '","ip":"', {_IP}, '","method":"', method, '","path":"', path, '","status":', {_STATUS}, '}}')"""
+_KIND = "case when n % 2 = 0 then 'kafka' else 'es_backfill' end"
+
+
+@query("access_log", sql=f"""with b as (select *, {_CANON} as raw, {_ID} as own, {_KIND} as k, try_cast(case when n % 31 = 0 then null when n % 37 = 0 then '1706745900001' else cast(ts_ms as varchar) end as bigint) as t from access_log),
+r as (select *, case when own <> '' then own when k = 'es_backfill' then concat('legacy:', n) end as rid from b)
+select rid as record_id, own as event_id, t as event_time, ts_ms + 1 as ingested_at, cast({NOW} as bigint) as archived_at, case when n % 17 = 0 then null when n % 5 = 0 then '2001:db8::1' else ip end as ip, method, path, '' as normalized_path, cast(case when n % 23 = 0 then 70000 else status end as integer) as status, cast(bytes as decimal(20, 0)) as bytes,
+'' as http_version, '' as referrer, '' as user_agent, '' as log_source, 'sql,xss' as attack_types, 'a,b' as rule_ids, raw as raw_payload, sha256(raw) as payload_hash, 1 as schema_version, k as source_kind, 't' as source_topic, n % 4 as source_partition, n as source_offset, case when k = 'kafka' then n + 2 else 1 end as version,
+case when rid is null then 'event id is missing' when length(rid) > 255 then 'record id is too long' when t is null then 'event time is invalid' when t > {NOW} + 300000 then 'event time is in the future' when n % 17 = 0 then 'ip is invalid' when n % 23 = 0 then 'status is invalid' end as error from r""")
+def p15_p17_storage_record(logs):
+    rows = logs.select(F.expr(_BODY).alias("payload"), F.expr(_KIND).alias("source_kind"), F.lit("t").alias("source_topic"), (F.col("n") % 4).alias("source_partition"), F.col("n").alias("source_offset"), (F.col("ts_ms") + 1).alias("source_ms"), F.concat(F.lit("legacy:"), F.col("n").cast("string")).alias("legacy_id"))
+    return normalize.storage_record(rows, "raw", NOW).withColumns({c: F.array_join(c, ",") for c in ("attack_types", "rule_ids")})
+
+
+_IPS = "case n % 6 when 0 then concat('2001:0DB8:0:0:', substr(md5(event_id), 1, 4), '::', n % 10) when 1 then concat('::ffff:10.0.', n % 250, '.1') when 2 then concat('0:0:', n % 3, ':0:0:0:0:1') when 3 then concat('01.2.3.', n % 300) when 4 then ip else '' end"
+
+
+@query("access_log", sql=f"select event_id, case n % 6 when 0 then concat('2001:db8:0:0:', coalesce(nullif(ltrim(substr(md5(event_id), 1, 4), '0'), ''), '0'), '::', n % 10) when 1 then concat('::ffff:10.0.', n % 250, '.1') when 2 then case when n % 3 = 0 then '::1' else concat('0:0:', n % 3, '::1') end when 3 then null when 4 then ip else '' end as ip from access_log where n % 6 <> 0 union all select event_id, concat('2001:db8::', ltrim(substr(md5(event_id), 1, 4), '0'), ':0:0:', n % 10) from access_log where n % 6 = 0 and substr(md5(event_id), 1, 4) <> '0000' and n % 10 <> 0 union all select event_id, concat('2001:db8:0:0:', ltrim(substr(md5(event_id), 1, 4), '0'), '::') from access_log where n % 6 = 0 and substr(md5(event_id), 1, 4) <> '0000' and n % 10 = 0 union all select event_id, case when n % 10 = 0 then '2001:db8::' else concat('2001:db8::', n % 10) end from access_log where n % 6 = 0 and substr(md5(event_id), 1, 4) = '0000'")
+def p16_addresses(logs):
+    return logs.select("event_id", addresses.canonical_ip(F.expr(_IPS)).alias("ip"))
+
+
+_SAID = """concat('{"risk_level": "', method, '", "score": ', n, ', "summary": null, "reasoning": ["', ip, '"]}')"""
+_RESPONSE = f"""case n % 8 when 0 then concat('{{"data": {{"outputs": {{"structured_output": ', {_SAID}, '}}}}, "answer": {{"risk_level": "no"}}}}') when 1 then concat('{{"data": {{"outputs": ', {_SAID}, '}}}}') when 2 then '{{"data": {{}}, "result": {{"risk_level": "no"}}}}'
+when 3 then concat('{{"data": 5, "outputs": {{"structured_output": null}}, "result": ', {_SAID}, '}}') when 4 then concat('{{"answer": ', {_SAID}, '}}') when 5 then concat('{{"outputs": "text", "answer": "', replace({_SAID}, '"', '\\\\"'), '"}}') when 6 then concat('{{"result": null, "answer": "', ip, '"}}') else 'no JSON' end"""
+
+
+@query("access_log", sql="select event_id, case when n % 8 in (2, 6, 7) then 'unknown' else method end as risk_level, case when n % 8 in (2, 6, 7) then '0' else cast(n as varchar) end as risk_score, '' as attack_type_ai, case when n % 8 in (2, 6, 7) then '' end as summary, case when n % 8 in (2, 6, 7) then '[]' else concat('[\"', ip, '\"]') end as reasoning, '[]' as recommendations from access_log")
+def p22_answers(logs):
+    return logs.select("event_id", answers.answer_fields(F.expr(_RESPONSE)).alias("a")).select("event_id", "a.*")
+
+
+@query("access_log", sql="select event_id, concat_ws(',', event_id, case when n % 2 = 0 then n end, case when n % 3 = 0 then concat('s', n) end, 'z') as ids from access_log")
+def p26_source_ids(logs):
+    nested = F.expr("""concat('{"record_id": "no", "event_id": "', event_id, '", "a": [{"id": ', case when n % 2 = 0 then cast(n as string) else '1.5' end, '}, [{"_source.id": ', case when n % 3 = 0 then concat('"s', n, '"') else 'null' end, '}]], "x": {"source_id": "z"}}')""")
+    return logs.select("event_id", F.array_join(source_ids(nested), ",").alias("ids"))
