@@ -69,13 +69,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **rule) -> DataFrame:
     """docs, each row as many times as the mix takes it, with all its columns.
 
-    Copies are decided on ids, hashes and sizes alone and joined back to the rows. Rows that agree in id, text and source
-    are one there, with the sum of their copies.
+    Copies are decided on ids, sizes and a hash of all columns, and joined back to the rows. So rows that differ in any
+    column are documents of their own; only rows that are equal in all of them are one there, with the sum of their copies.
+    Null texts have size 0, null sources are one source; an empty table gives no rows; extra columns stay as they are
+    (none may be a map, which has no hash).
     """
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(source_col).cast("string").alias("_src"))
-    sized = docs.select(F.col(id_col).cast("long").alias("k1"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("k2"))
+    own = {"k1": F.col(id_col).cast("long"), "k2": F.xxhash64(*docs.columns), "source": F.col(source_col).cast("string")}
+    rows = docs.select(F.struct("*").alias("_row"), *[c.alias(f"_{n}") for n, c in own.items()])
+    sized = docs.select(*[c.alias(n) for n, c in own.items()], word_count(F.col(text_col)).alias("size"))
     chosen = mix_sizes(materialize(sized, "sizes"), seed, **rule).groupBy("source", "k1", "k2").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    got = rows.join(materialize(chosen, "chosen"), F.col("_id").eqNullSafe(F.col("k1")) & (F.col("_h") == F.col("k2")) & F.col("_src").eqNullSafe(F.col("source")))
-    once = got.where("rows > 1").groupBy("_id", "_h", "_src").agg(F.first("_row").alias("_row"), F.first("copies").alias("copies"))
+    got = rows.join(materialize(chosen, "chosen"), F.col("_k1").eqNullSafe(F.col("k1")) & (F.col("_k2") == F.col("k2")) & F.col("_source").eqNullSafe(F.col("source")))
+    once = got.where("rows > 1").groupBy("_k1", "_k2", "_source").agg(F.first("_row").alias("_row"), F.first("copies").alias("copies"))
     out = got.where("rows = 1").select("_row", "copies").unionByName(once.select("_row", "copies"))
     return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

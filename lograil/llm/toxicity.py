@@ -190,8 +190,9 @@ def score(documents: DataFrame, names: list[str], weights: np.ndarray, intercept
                         own = known[w] = tuple(f for f in features({w}) if f in model)
                     held.update(own)
                 z = intercept + sum(model[f] for f in sorted(held))
-                out.append(1 / (1 + np.exp(-np.clip(z, -700, 700))))
-            s = np.array(out, float)
+                out.append(z)
+            with np.errstate(over="ignore"):
+                s = 1 / (1 + np.exp(-np.array(out, float)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     bounded_batches(documents.sparkSession)
