@@ -2,100 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K1, B = 1.2, 0.75
-
-
-def terms(col: str) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
-
-
-def ranked(rows: DataFrame, k: int, by: str = "score") -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc(by), "source_id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}")
-
-
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, source_type: str | None = None, exclude: str | None = None) -> DataFrame:
-    """query_id, source_id, score, rank: the k best documents of each query.
-
-    Statistics are over the whole corpus; filters apply to the results alone. Only postings of query terms are shuffled,
-    after counting within documents on the map side.
-    """
-    asked = queries.select("query_id", F.explode(terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    docs = corpus.select("source_id", "source_type", terms("content").alias("ts")).withColumn("len", F.size("ts"))
-    stats = docs.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    posts = docs.select("source_id", "source_type", "len", F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("source_id", "source_type", "len", "term").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    if source_type:
-        posts = posts.where(F.col("source_type") == source_type)
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    hits = posts.join(df, "term").join(asked, "term").join(F.broadcast(stats)).groupBy("query_id", "source_id").agg(F.round(F.sum(part), 6).alias("score"))
-    if exclude:
-        hits = hits.join(queries.select("query_id", F.col(exclude).alias("source_id")), ["query_id", "source_id"], "left_anti")
-    return ranked(hits, k)
-
-
-def knn(corpus: DataFrame, queries: DataFrame, k: int, block: int = 512, chunk: int = 2048) -> DataFrame:
-    """query_id, source_id, score = (1 + cosine) / 2, rank: exact, over all rows but the query's own id.
-
-    Blocks of queries and chunks of the corpus are rows that meet each with each; a task keeps k rows for each query of its
-    block over all of its chunks. Vectors that are null, empty or zero take no part.
-    """
-    fine = lambda c: c.isNotNull() & F.exists(c, lambda x: x != 0)
-
-    def packed(rows: DataFrame, key: str, size: int, names: list[str]) -> DataFrame:
-        own = rows.where(fine(F.col("embedding"))).select(key, "embedding")
-        each = own.groupBy(F.pmod(F.xxhash64(key), F.lit(-(-max(own.count(), 1) // size))).alias("part")).agg(F.collect_list(F.struct(key, "embedding")).alias("r"))
-        return each.select("part", F.col(f"r.{key}"), F.col("r.embedding")).toDF(*names)
-
-    both = packed(queries, "query_id", block, ["block", "asked", "q"]).crossJoin(packed(corpus, "source_id", chunk, ["chunk", "ids", "x"]).hint("shuffle_replicate_nl"))
-
-    def out(asked: list, best: list) -> pd.DataFrame:
-        ids, scores = np.concatenate([i for i, _ in best]), np.concatenate([s for _, s in best])
-        return pd.DataFrame({"query_id": np.repeat(np.array(asked), [len(i) for i, _ in best]), "source_id": ids, "score": scores})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, asked, best = None, [], []
-        for pdf in frames:
-            for number, names, vectors, sources, others in zip(pdf["block"], pdf["asked"], pdf["q"], pdf["ids"], pdf["x"], strict=True):
-                if number != now:
-                    if now is not None:
-                        yield out(asked, best)
-                    now, asked = number, list(names)
-                    q = np.array([*vectors], float)
-                    q /= np.linalg.norm(q, axis=1, keepdims=True)
-                    best = [(np.array(sources)[:0], np.empty(0))] * len(asked)
-                x, ids = np.array([*others], float), np.array(sources)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                scores = ((1 + q @ x.T) / 2).round(6)
-                for i, query in enumerate(asked):
-                    other = ids != query
-                    found, score = np.concatenate((best[i][0], ids[other])), np.concatenate((best[i][1], scores[i, other]))
-                    top = np.lexsort((found, -score))[:k]
-                    top = top[np.isfinite(score[top])]
-                    best[i] = found[top], score[top]
-        if now is not None:
-            yield out(asked, best)
-
-    kinds = dict(corpus.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
-    return ranked(both.select("block", "asked", "q", "ids", "x").mapInPandas(run, f"query_id {kinds['query_id']}, source_id {kinds['source_id']}, score double"), k)
-
-
-def knn_sql(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The same with built-in functions; for query sets of a few rows."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    j = corpus.join(F.broadcast(q), F.col("source_id") != F.col("query_id"))
-    cos = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
-    return ranked(j.select("query_id", "source_id", F.round((1 + cos) / 2, 6).alias("score")), k)
+from lograil.operators.lexical import bm25, ranked
+from lograil.operators.vectors import knn
 
 
 def fuse(routes: list[DataFrame], k: int = 60, top: int = 10) -> DataFrame:
@@ -178,3 +89,6 @@ def call_summary(calls: DataFrame) -> DataFrame:
     args = F.array_join(F.transform(F.map_entries("args"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
     good = F.when(F.col("n") > 0, F.concat(F.lit("ok("), F.col("n").cast("string"), F.lit(" records)"))).otherwise("ok")
     return calls.select("call_id", args.alias("args"), F.when(F.col("ok"), good).otherwise(F.concat(F.lit("FAIL: "), F.coalesce(F.when(F.col("error") != "", F.col("error")), F.lit("unknown error")))).alias("outcome"))
+
+
+__all__ = ["bm25", "call_summary", "case_query", "dual_pack", "follow_up", "fuse", "hybrid", "knn", "merge_evidence", "ranked", "tool_evidence"]
