@@ -102,7 +102,7 @@ def document_counts(found: DataFrame, size: int) -> np.ndarray:
     return df
 
 
-def best_classes(classes: DataFrame, items: list[object], asks: list[tuple[int, int]], weights: np.ndarray, kind: str, k: int) -> DataFrame:
+def best_classes(classes: DataFrame, items: list[object], asks: list[tuple[int, int]], weights: np.ndarray, k: int) -> DataFrame:
     """(item_id, score, h, first): the k best classes of each item among those of a task. asks: (term, item), by number."""
     asks = sorted(asks)
     asked = np.array([i for _, i in asks], np.int64)
@@ -174,7 +174,7 @@ def search(documents: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         hashed = found.withColumn("m", m).withColumn("h", F.xxhash64("m", "terms", "counts"))
         classes = hashed.where("doc_id is not null and length(terms) > 0").groupBy("h", "m", "terms", "counts").agg(F.min("doc_id").alias("first"))
         weights = np.floor(1000 * np.log((2.0 * docs + 2) / (2.0 * document_counts(found, len(words)) + 1))).astype(np.int64)
-        top = materialize(best_classes(classes, ids, [(place[r[1].encode()], named[r[0]]) for r in asked], weights, kind, k), "best")
+        top = materialize(best_classes(classes, ids, [(place[r[1].encode()], named[r[0]]) for r in asked], weights, k), "best")
         # the hashes of the chosen classes are k an item of the block at most; classes that share a hash are told apart by their counts
         chosen = top.select("h").distinct()
         members = hashed.where("doc_id is not null").join(F.broadcast(chosen), "h")

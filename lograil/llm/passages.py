@@ -8,10 +8,17 @@ overlap (an interval join of the two lists), the pair of minima is a signature:
 Passages of at least 50 words that are alike by 0.8 or more differ in so few places that some RUN shingles in a row, 24
 words, are the same in both (an unbroken run of 21 at least, as each place that differs takes four shingles or more).
 Under every function these have the same minimum, so both texts have the signature: none is missed by chance. Texts that
-share a signature are a group. In small groups the whole texts are aligned each with each, in large ones with the first;
-passages are verified by the Jaccard similarity of their shingles. Where that leaves a large group in several components,
-the surroundings of the signature are compared, all in blocks of bounded size, and aligned where they have LEAST shingles
-in common, as passages alike by 0.8 do around such a run. So no link between components is left out in groups of any size.
+share a signature are a group, and each is aligned with the group's text of smallest hash. What matters then is places: a
+place (text, signature) that lies in a passage found is done. Other places are compared with all members of their group:
+
+* in groups of few texts each with each;
+* in larger ones by the LEAST shingles that passages alike by 0.8 have in common around such a run. Of two surroundings
+  with LEAST in common, either both hold LEAST or more shingles that are frequent in the group, or they share one that is
+  not: those pairs meet at rare shingles, each held by RARE members at most. So texts that share a frame of fewer words,
+  and nothing else, are never paired, however many they are. Members with LEAST frequent shingles meet in blocks.
+
+So every place with a near-duplicate passage around it is listed with one partner at least. The one exception are places
+in groups of more than 1,024 members with LEAST frequent shingles each: members of one component count as done there.
 """
 
 from __future__ import annotations
@@ -35,8 +42,8 @@ HASHES, RUN, LEAST = 2, 20, 41
 AROUND, GAP = 64, 12
 #: A text of at least 50 words; reads no more of it than these.
 LONG = f"^(?:[\\x20\\x09-\\x0D]*+{WORD}+){{{WORDS}}}"
-#: Texts with a common signature that are aligned each with each.
-SMALL = 16
+#: Texts with a common signature that are aligned each with each, and members that hold a shingle which is not frequent.
+SMALL, RARE = 16, 64
 _MIX = np.random.default_rng(11).integers(1, 1 << 63, (max(SHINGLE, HASHES), 3), dtype=np.uint64) | np.uint64(1)
 
 
@@ -59,11 +66,20 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def compact_windows(h: np.ndarray, width: int = RUN) -> np.ndarray:
-    """Rows c, lo, hi: the subsequences of `width` that start in lo..hi have their minimum at c; of equal ones the leftmost."""
+    """Rows c, lo, hi: the subsequences of `width` that start in lo..hi have their minimum at c; of equal ones the leftmost.
+
+    Hashes are compared by their upper 40 bits; the place below them makes the leftmost of equal ones the least, and minima
+    of longer stretches are those of two shorter ones.
+    """
     n = len(h) - width + 1
     if n < 1:
         return np.empty((3, 0), np.int64)
-    at = np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(n)
+    low, mask = np.uint64(24), np.uint64((1 << 24) - 1)
+    least, span = (h >> low << low) | (np.arange(len(h), dtype=np.uint64) & mask), 1
+    while 2 * span <= width:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    start = np.arange(n, dtype=np.uint64)
+    at = (start + ((np.minimum(least[:n], least[width - span : width - span + n]) - start) & mask)).astype(np.int64)
     lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     return np.array([at[lo], lo, np.append(lo[1:], n) - 1], np.int64)
 
@@ -80,44 +96,66 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(docs: DataFrame, text_col: str) -> DataFrame:
-    """sig, th (hash of the text): the signatures of each text of at least 50 words, each once in a batch."""
+    """sig, th (hash of the text), at: the signatures of each text of at least 50 words and their places, each text once in a batch."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, ths, sizes = [np.empty(0, np.uint64)], [], []
+            sigs, places, ths, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], []
             for th, text in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)).items():
                 s = shingles(text)
                 if len(s) >= WIDTH:
-                    sigs.append(np.unique(signatures(s)[0]))
+                    own, at = signatures(s)
+                    sigs.append(own)
+                    places.append(at)
                     ths.append(th)
-                    sizes.append(len(sigs[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(ths, np.int64), sizes))], names=["sig", "th"])
+                    sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(ths, np.int64), sizes)), pa.array(np.concatenate(places).astype(np.int32))], names=["sig", "th", "at"])
 
     rows = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "sig long, th long")
+    return rows.mapInArrow(run, "sig long, th long, at int")
 
 
 def surroundings(rows: DataFrame) -> DataFrame:
-    """k, id, at, n, root, w: the shingles around each place of the signatures of rows (th, root, sigs, text), 4 bytes each."""
+    """k, id, at, n, root, w, s: the shingles around each of the places of rows (th, text, places: sig, at, root), 4 bytes each:
+    w in order, s the different ones. root is the place's own, or the group's if it is done."""
     bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):
-            cells: list[list] = [[], [], [], [], [], []]
-            for th, root, sigs, text in zip(*[batch.column(c).to_pylist() for c in ("th", "root", "sigs", "text")], strict=True):
-                s = shingles(text)
-                own, places = signatures(s)
-                short = (s >> np.uint64(32)).astype("<u4")
-                for i in np.flatnonzero(np.isin(own, np.array(sigs, np.int64).view(np.uint64))).tolist():
-                    at = int(places[i])
-                    w = short[max(0, at - AROUND) : at + AROUND]
-                    for cell, v in zip(cells, (int(own[i].view(np.int64)), th, at, len(w), root, w.tobytes()), strict=True):
+            cells: list[list] = [[], [], [], [], [], [], []]
+            for th, places, text in zip(*[batch.column(c).to_pylist() for c in ("th", "places", "text")], strict=True):
+                short = (shingles(text) >> np.uint64(32)).astype("<u4")
+                for place in places:
+                    w = short[max(0, place["at"] - AROUND) : place["at"] + AROUND]
+                    for cell, v in zip(cells, (place["sig"], th, place["at"], len(w), place["root"], w.tobytes(), np.unique(w).astype(np.int64)), strict=True):
                         cell.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["k", "id", "at", "n", "root", "w"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["k", "id", "at", "n", "root", "w", "s"])
+
+    return rows.select("th", "places", "text").mapInArrow(run, "k long, id long, at long, n int, root long, w binary, s array<long>")
+
+
+def _open(own: DataFrame, found: DataFrame) -> DataFrame:
+    """sig, th, at, done, others of the groups in which a place is not done: all their members but the one that was aligned with
+    all (others: their number)."""
+    sides = [found.select(F.col(t).alias("th"), F.explode(F.transform("passages", lambda p: F.struct(p[f"{t}_start"].alias("start"), p[f"{t}_end"].alias("end")))).alias("p")) for t in "ab"]  # noqa: B023
+    spans = sides[0].unionAll(sides[1]).distinct().groupBy("th").agg(F.collect_list("p").alias("spans"))
+    inside = F.exists("spans", lambda p: (p["start"] <= F.col("at")) & (F.col("at") + SHINGLE - 1 <= p["end"]))
+    rest = materialize(own.where("th <> low").join(spans, "th", "left").select("sig", "th", "at", F.coalesce(inside, F.lit(False)).alias("done")), "places")
+    left = rest.groupBy("sig").agg(F.approx_count_distinct("th").alias("others"), F.min("th").alias("x"), F.max("th").alias("y"), F.bool_and("done").alias("all")).where("x <> y and not all").select("sig", "others")
+    return materialize(rest.join(left, "sig"), "open")
+
 
-    return rows.select("th", "root", "sigs", "text").mapInArrow(run, "k long, id long, at long, n int, root long, w binary").distinct()
+def _rare(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of texts with a rare shingle in common of which one is not done; and the members with LEAST frequent ones."""
+    each = members.select("k", "id", "at", (F.col("root") != F.col("k")).alias("open"), F.explode("s").alias("x"))
+    counts = each.groupBy("k", "x").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialize(each.join(counts, ["k", "x"]), "shared-shingles")
+    few = shared.where(f"c <= {RARE}").select("k", "x", "id", "open")
+    pairs = few.withColumnsRenamed({"id": "a", "open": "oa"}).join(few.withColumnsRenamed({"id": "b", "open": "ob"}), ["k", "x"]).where("a < b and (oa or ob)").select("a", "b").distinct()
+    many = shared.where(f"c > {RARE}").groupBy("k", "id", "at").agg(F.count("*").alias("c")).where(f"c >= {LEAST}").drop("c")
+    return pairs, members.join(many, ["k", "id", "at"], "left_semi").drop("s")
 
 
 def settled(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -125,23 +163,27 @@ def settled(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     every = windows(docs, text_col).repartition("sig")
     shared = every.groupBy("sig").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low <> high").drop("high")
     own = materialize(every.join(shared, "sig").distinct(), "signatures")
-    sizes = own.groupBy("sig").agg((F.count("*") <= SMALL).alias("small"))
-    own = materialize(own.join(sizes, "sig"), "grouped")
-    small, large = own.where("small").select("sig", "th"), own.where("not small")
-    each = small.withColumnRenamed("th", "a").join(small.withColumnRenamed("th", "b"), "sig").where("a < b").select("a", "b")
-    pairs = materialize(each.unionAll(large.where("low < th").select(F.col("low").alias("a"), F.col("th").alias("b"))).distinct(), "pairs")
     texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    pairs = materialize(own.where("low < th").select(F.col("low").alias("a"), F.col("th").alias("b")).distinct(), "pairs")
     found = verified(pairs, texts)
-    links = found.select("a", "b")
-    named = large.select("sig", "th").join(components(links).withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-    named = materialize(named, "named")
-    mixed = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    open_ = materialize(named.join(mixed, "sig").groupBy("th").agg(F.first("root").alias("root"), F.collect_list("sig").alias("sigs")), "open")
+    open_ = _open(own, found)
     if open_.isEmpty():
-        return links, found
-    members = materialize(surroundings(open_.join(_once(texts, open_), "th")), "surroundings")
-    more = links_in_groups(members, None, lambda common, x, y: common >= LEAST, Check(dense, lambda x, y: bool(near(x, y))), links)
-    return links.unionAll(more), found.unionAll(verified(more.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), texts))
+        return found.select("a", "b"), found
+    small = open_.where(f"others <= {SMALL}").select("sig", "th", "done").distinct()
+    each = small.withColumnsRenamed({"th": "a", "done": "da"}).join(small.withColumnsRenamed({"th": "b", "done": "db"}), "sig").where("a < b and not (da and db)").select("a", "b").distinct()
+    large = open_.where(f"others > {SMALL}")
+    if not large.isEmpty():
+        place = F.struct("sig", "at", F.when(F.col("done"), F.col("sig")).otherwise(F.xxhash64("sig", "th", "at")).alias("root"))
+        named = materialize(large.groupBy("th").agg(F.collect_list(place).alias("places")), "named")
+        members = materialize(surroundings(named.join(_once(texts, named), "th")), "surroundings")
+        rare, many = _rare(members)
+        each = each.unionAll(rare).distinct()
+    each = materialize(each.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = found.unionAll(verified(each, texts))
+    if not large.isEmpty():
+        more = links_in_groups(materialize(many, "frequent"), None, lambda common, x, y: common >= LEAST, Check(dense, lambda x, y: bool(near(x, y))), found.select("a", "b"))
+        found = found.unionAll(verified(more.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), texts))
+    return found.select("a", "b"), found
 
 
 def dense(hits: np.ndarray) -> np.ndarray:
