@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lograil.operators.ranges import scan
@@ -150,8 +150,44 @@ def follow(notices: DataFrame, events: DataFrame, snapshot: int | None, now_ms:
     return j.select("notice_id", "record_id", F.when(F.col("event_time").isNull() | (F.col("event_time") < oldest), "remove").when(F.col("event_time") > now_ms, "wait").otherwise("upsert").alias("action"))
 
 
-def rebuild(corpus: DataFrame, base: str, version: int) -> int:
-    """Write a version of the corpus; returns the version to point to: the new one only if it has rows."""
-    path = f"{base}/v={version}"
-    corpus.write.mode("overwrite").parquet(path)
-    return version - corpus.sparkSession.read.parquet(path).isEmpty()
+def report_evidence(reports: DataFrame) -> DataFrame:
+    """One text for each report: risk, type, summary; reports without any of them go."""
+    part = lambda label, name: F.concat(F.lit(label), _text(reports, name))
+    text = F.concat_ws(" ", part("risk=", "risk_level"), part("type=", "detect_type"), part("ip=", "ip"), _text(reports, "summary"))
+    return reports.select(F.concat(F.lit("report::"), "event_id").alias("source_id"), text.alias("content")).where("content <> ''")
+
+
+def union(events: DataFrame, logs: DataFrame, reports: DataFrame) -> DataFrame:
+    """The corpus of all three kinds: source_id, source_type (event, session, report), content."""
+    kinds = [(event_evidence(events), "event"), (anchored_sessions(logs).select("source_id", "content"), "session"), (report_evidence(reports), "report")]
+    parts = [rows.select("source_id", F.lit(kind).alias("source_type"), "content") for rows, kind in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def expired(corpus: DataFrame, oldest: int, source_type: str = "case") -> DataFrame:
+    """The corpus without its cases that are older than `oldest`; documents of other types and without a time stay."""
+    return corpus.where(~F.coalesce((F.col("source_type") == source_type) & (F.col("created_at") < oldest), F.lit(False)))
+
+
+def publish(corpus: DataFrame, base: str) -> int:
+    """Write the next version of the corpus (from 2 on) and point to it if it has rows; returns the version pointed to (0: none).
+
+    The pointer is one row in a table of its own, so readers see the old version until the new one is whole.
+    """
+    spark = corpus.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    have = [int(f.getPath().getName()[2:]) for f in (fs.listStatus(p) if fs.exists(p) else []) if f.getPath().getName().startswith("v=")]
+    version = max([1, *have]) + 1
+    corpus.write.parquet(f"{base}/v={version}")
+    if not spark.read.schema(corpus.schema).parquet(f"{base}/v={version}").isEmpty():
+        spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{base}/pointer")
+    return pointed(spark, base)
+
+
+def pointed(spark: SparkSession, base: str) -> int:
+    """The version that readers take: the last one pointed to, 0 if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/pointer")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return 0
+    return spark.read.schema("version int").parquet(f"{base}/pointer").agg(F.max("version")).first()[0] or 0

@@ -56,6 +56,44 @@ def decisions(rows: DataFrame, col: str = "actions") -> DataFrame:
     return rows.select("case_id", n("replan"), n("compact"), n("continue"), F.exists(col, lambda x: F.lower(x) == "finish").alias("finished"))
 
 
+#: Means of a variant, and the share of finished cases.
+MEANS = ("correctness", "evidence_coverage", "tool_recall", "wasted_calls", "steps_to_finish", "finish_rate", "replan", "compact")
+
+
+def per_case(states: DataFrame, calls: DataFrame, golden: DataFrame) -> DataFrame:
+    """One row for each case of golden (case_id, scenario, expected_keys, expected_source_ids, expected_tools).
+
+    states: case_id, report, finish_reason, actions (of its decisions in order). calls: case_id, step, role, text, tool, ok,
+    source_id. Without a report the answer is the last text of the assistant that is not empty. steps_to_finish is the number
+    of calls. Cases without state or calls have found nothing; what is not expected counts as found, but no keyword at all
+    is a correctness of 0.
+    """
+    said = F.when((F.col("role") == "assistant") & (F.col("text") != ""), F.col("step"))
+    by = calls.groupBy("case_id").agg(
+        F.count("tool").alias("steps"), F.count_if(F.col("tool").isNotNull() & (~F.col("ok") | (F.coalesce("source_id", F.lit("")) == ""))).alias("wasted"), F.collect_set("tool").alias("tools"),
+        F.collect_set(F.when(F.col("source_id") != "", F.col("source_id"))).alias("found"), F.max_by("text", said).alias("last"),
+    )
+    j = golden.join(states, "case_id", "left").join(by, "case_id", "left")
+    none = F.array().cast("array<string>")
+    of = lambda name: F.coalesce(F.col(name), none)
+    count = lambda k: F.size(F.filter(of("actions"), lambda x: F.lower(x) == k))
+    answer = F.coalesce(F.when(F.col("report") != "", F.col("report")), F.col("last"), F.lit(""))
+    return j.select(
+        "case_id", "scenario", answer.alias("answer"), F.when(answer == "", 0.0).otherwise(correctness(answer, of("expected_keys"))).alias("correctness"), overlap(of("found"), of("expected_source_ids")).alias("evidence_coverage"), overlap(of("tools"), of("expected_tools")).alias("tool_recall"),
+        F.coalesce("wasted", F.lit(0)).alias("wasted_calls"), F.coalesce("steps", F.lit(0)).alias("steps_to_finish"), count("replan").alias("replan"), count("compact").alias("compact"), count("continue").alias("continue"),
+        F.exists(of("actions"), lambda x: F.lower(x) == "finish").alias("finished"), (F.coalesce("finish_reason", F.lit("")) != "").alias("has_finish_reason"),
+    )
+
+
+def averages_of_variants(cases: DataFrame, names: list[str]) -> DataFrame:
+    """metric, and the mean of each named variant side by side, for MEANS and `count`; a variant without cases has zeros."""
+    rows = cases.withColumn("finish_rate", F.col("finished").cast("double"))
+    by = rows.groupBy("variant").agg(F.count("*").cast("double").alias("count"), *[F.round(F.avg(F.col(m).cast("double")), 6).alias(m) for m in MEANS])
+    long = by.select("variant", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("count", *MEANS)])).alias("e")).select("variant", "e.*")
+    every = long.sparkSession.createDataFrame([(m,) for m in ("count", *MEANS)], "metric string")
+    return every.join(long.groupBy("metric").pivot("variant", names).agg(F.first("v")), "metric", "left").na.fill(0.0)
+
+
 def variants(cases: DataFrame, names: list[str]) -> DataFrame:
     """metric, and a column of means for each variant, side by side."""
     means = cases.groupBy("variant").agg(*[F.round(F.avg(F.col(n).cast("double")), 6).alias(n) for n in names])

@@ -109,9 +109,19 @@ def lookup(asked: DataFrame, hot: DataFrame, cold: DataFrame, key: str = "record
     return asked.join(best, key, "left").select(key, F.when(F.col("t").isNull(), "not_found").otherwise("found").alias("state"), F.when(F.col("t") == 0, "hot").when(F.col("t") == 1, "cold").alias("tier"), "version")
 
 
-def counts(rows: DataFrame, dim: str, top: int | None = None) -> DataFrame:
-    """Rows by a dimension (nulls excluded), most first, ties by the value as text."""
+#: Groups that a count by a dimension may have.
+MOST_GROUPS = 100_000
+
+
+def counts(rows: DataFrame, dim: str, top: int | None = None, most: int = MOST_GROUPS) -> DataFrame:
+    """Rows by a dimension (nulls excluded), most first, ties by the value as text; with more than `most` groups the query fails.
+
+    The check is on a count of groups that goes no further than one above the limit, one row that is joined to all.
+    """
     out = rows.where(F.col(dim).isNotNull()).groupBy(F.col(dim).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    size = out.limit(most + 1).agg(F.count("*").alias("_groups"))
+    checked = F.when(F.col("_groups") > most, F.raise_error(F.lit(f"more than {most} groups of {dim}"))).otherwise(F.col("n"))
+    out = out.join(F.broadcast(size)).select("value", checked.cast("long").alias("n"))
     return out.orderBy(F.desc("n"), "value").limit(top) if top else out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,8 +130,13 @@ def flatten_event(messages: DataFrame, col: str = "message") -> DataFrame:
     return messages.select(*[at(n) for n in names])
 
 
-def request_payload(rows: DataFrame, fields: list[str]) -> DataFrame:
-    return rows.select("event_id", F.to_json(F.struct(*fields)).alias("inputs"), F.concat(F.lit("log_"), "event_id").alias("user"))
+def request_payload(rows: DataFrame, fields: list[str], user: str = "log_{event_id}") -> DataFrame:
+    """event_id, inputs (JSON of the fields, null ones as "unknown") and user, from a template over columns; a template that
+    names a column which is null or is not there gives log_unknown."""
+    inputs = F.to_json(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("unknown")).alias(f) for f in fields if f in rows.columns]))
+    parts = re.split(r"\{(\w+)\}", user)
+    pieces = [F.lit(p) if i % 2 == 0 else F.col(p).cast("string") if p in rows.columns else F.lit(None).cast("string") for i, p in enumerate(parts)]
+    return rows.select("event_id", inputs.alias("inputs"), F.coalesce(F.concat(*pieces), F.lit("log_unknown")).alias("user"))
 
 
 def report_record(rows: DataFrame) -> DataFrame:

@@ -34,11 +34,17 @@ def dual_pack(knowledge: DataFrame, cases: DataFrame, n_knowledge: int = 3, n_ca
 
 
 def merge_evidence(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The first occurrence of each evidence stays; key: the id, else the first 50 characters of the text."""
+    """The first occurrence of each evidence stays; key: the id, else the first 50 characters of the text. Where the rows name
+    their `sources`, an evidence has those of all its occurrences, in order, each once."""
     both = old.withColumn("_o", F.lit(0)).unionByName(new.withColumn("_o", F.lit(1)))
     key = F.when(F.coalesce(F.trim("source_id"), F.lit("")) != "", F.col("source_id")).otherwise(F.substring("content", 1, 50))
-    w = Window.partitionBy("query_id", key).orderBy("_o", "rank")
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_o")
+    names = [c for c in both.columns if c not in ("_o", "query_id", "sources")]
+    found = [F.min_by(F.struct(*names), F.struct("_o", "rank")).alias("_first")]
+    if "sources" in both.columns:
+        listed = F.array_sort(F.collect_list(F.struct("_o", "rank", "sources")))
+        found.append(F.array_distinct(F.flatten(F.transform(listed, lambda x: F.coalesce(x["sources"], F.array().cast("array<string>"))))).alias("sources"))
+    out = both.groupBy("query_id", key.alias("_key")).agg(*found)
+    return out.select("query_id", *[F.col("_first")[c].alias(c) for c in names], *(["sources"] if "sources" in both.columns else []))
 
 
 def case_query(logs: DataFrame) -> DataFrame:

@@ -111,6 +111,23 @@ def cleanup_plan(rows: DataFrame, checkpoints: DataFrame, now_ms: int, days: int
     return j.groupBy("day_ms").agg(F.sum("n").alias("n"), F.bool_and(F.coalesce(F.col("off") < F.col("next_offset"), F.lit(False))).alias("behind")).where(F.col("day_ms") + 86_400_000 <= now_ms - days * 86_400_000).select("day_ms", "n", F.when(F.col("behind"), "ELIGIBLE").otherwise("BLOCKED").alias("state"))
 
 
+def cleanup_proof(rows: DataFrame, archive: DataFrame, checkpoints: DataFrame, now_ms: int, days: int = 7) -> DataFrame:
+    """Day partitions past the hot tier (rows have `day`, yyyy-MM-dd) and the first reason why one may not be dropped.
+
+    A day is ELIGIBLE if all its rows are inside it, all are verified by the archive, and every source offset is behind its
+    checkpoint. A plan only: nothing is deleted.
+    """
+    start = F.unix_millis(F.to_timestamp("day", "yyyy-MM-dd"))
+    old = rows.withColumn("day_ms", start).where(F.col("day_ms") + 86_400_000 <= now_ms - days * 86_400_000)
+    judged = verdicts(old, archive).select("record_id", "version", "off", F.col("verdict").isin("verified", "newer").alias("good"))
+    whole = old.join(judged, ["record_id", "version", "off"]).withColumn("inside", (F.col("event_time") >= F.col("day_ms")) & (F.col("event_time") < F.col("day_ms") + 86_400_000))
+    top = whole.groupBy("day", "topic", "part").agg(F.max("off").alias("off"), F.count("*").alias("n"), F.bool_and("inside").alias("inside"), F.bool_and("good").alias("good"))
+    behind = F.coalesce(F.col("off") < F.col("next_offset"), F.lit(False))
+    by = top.join(checkpoints.select("topic", "part", "next_offset"), ["topic", "part"], "left").groupBy("day").agg(F.sum("n").alias("n"), F.bool_and("inside").alias("inside"), F.bool_and("good").alias("good"), F.bool_and(behind).alias("behind"))
+    reason = F.when(~F.col("inside"), "rows outside their day").when(~F.col("good"), "rows that the archive does not verify").when(~F.col("behind"), "offsets ahead of the checkpoint")
+    return by.select("day", "n", F.when(reason.isNull(), "ELIGIBLE").otherwise("BLOCKED").alias("state"), reason.alias("reason"))
+
+
 def certify(source: DataFrame, archive: DataFrame, start: int) -> DataFrame:
     """Whether all source rows are verified, none is before start, and the counts agree."""
     v = verdicts(source, archive).agg(F.count("*").alias("source_rows"), F.count_if(~F.col("verdict").isin("verified", "newer")).alias("bad"))
@@ -132,6 +149,52 @@ def observe(checkpoints: DataFrame, observed: DataFrame) -> DataFrame:
     return j.select("topic", "part", (F.col("high") - F.col("next_offset")).alias("lag"), s.alias("status"))
 
 
+def observed(checkpoints: DataFrame, now: DataFrame, at_ms: int) -> DataFrame:
+    """Checkpoints after a look at the topics (topic, part, low, high, partition_count, generation): status of each partition.
+
+    Partitions that are new start at low. Where the status is ok, partition_count, observed_offset and checked_at are those
+    of the look; elsewhere the checkpoint stays as it is and the first reason is the status.
+    """
+    n = now.select("topic", "part", "low", "high", F.col("partition_count").alias("_count"), F.col("generation").alias("_generation"))
+    j = n.join(checkpoints, ["topic", "part"], "full")
+    old = F.col("next_offset").isNotNull()
+    status = (
+        F.when(F.col("high").isNull(), "partition missing").when(old & (F.col("generation") != F.col("_generation")), "generation changed").when(old & (F.col("partition_count") != 0) & (F.col("partition_count") != F.col("_count")), "partition count changed")
+        .when(F.col("next_offset") < F.col("low"), "retention loss").when(F.col("next_offset") > F.col("high"), "reset").otherwise("ok")
+    )
+    fresh = lambda new, kept: F.when(status == "ok", new).otherwise(F.col(kept))
+    return j.select(
+        "topic", "part", F.coalesce("initial_offset", "low").alias("initial_offset"), F.coalesce("next_offset", "low").alias("next_offset"), fresh(F.col("high"), "observed_offset").alias("observed_offset"), fresh(F.col("_count"), "partition_count").alias("partition_count"),
+        fresh(F.lit(at_ms).cast("long"), "checked_at").alias("checked_at"), F.coalesce("generation", "_generation").alias("generation"), (F.col("high") - F.coalesce("next_offset", "low")).alias("lag"), status.alias("status"),
+    )
+
+
+def handoff_proof(checkpoints: DataFrame, handoffs: DataFrame, now_ms: int, most_lag_ms: int = 30_000) -> DataFrame:
+    """Each topic: whether its partitions are those of the handoff, all lie within their checkpoints, none lags, all are fresh."""
+    j = checkpoints.join(handoffs, ["topic", "part"], "full")
+    both = F.coalesce(F.col("next_offset").isNotNull() & F.col("handoff").isNotNull(), F.lit(False))
+    every = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    by = j.groupBy("topic").agg(every(both).alias("exact"), every(F.col("handoff").between(F.col("initial_offset"), F.col("next_offset"))).alias("within"), every(F.col("next_offset") >= F.col("observed_offset")).alias("caught_up"), every(F.col("checked_at") >= now_ms - most_lag_ms).alias("fresh"))
+    return by.withColumn("complete", F.col("exact") & F.col("within") & F.col("caught_up") & F.col("fresh"))
+
+
+def hot_coverage(checkpoints: DataFrame, open_gaps: DataFrame, windows: DataFrame, now_ms: int, source: str, generation: str, most_lag_ms: int = 30_000) -> DataFrame:
+    """Whether each topic's hot tier may be read, and the first reason why not.
+
+    All partitions 0..count-1 are there, of this generation, checked within most_lag_ms and caught up; no gap is open; and
+    a verified live window (topic, window_id, verified, live, source, generation, part, handoff: one row a partition) has a
+    handoff within every partition's checkpoint.
+    """
+    ok = (F.col("generation") == generation) & (F.col("checked_at") >= now_ms - most_lag_ms) & (F.col("next_offset") >= F.col("observed_offset"))
+    c = checkpoints.groupBy("topic").agg((F.count("*") == F.max("partition_count")).alias("n"), (F.countDistinct("part") == F.max("partition_count")).alias("d"), ((F.min("part") == 0) & (F.max("part") == F.max("partition_count") - 1)).alias("r"), F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"), F.count("*").alias("parts"))
+    g = open_gaps.where("state = 'open'").select("topic").distinct().withColumn("_gap", F.lit(True))
+    right = windows.where("verified and live").where((F.col("source") == source) & (F.col("generation") == generation)).select("topic", "window_id", "part", "handoff")
+    held = right.join(checkpoints.select("topic", "part", "initial_offset", "next_offset"), ["topic", "part"]).where(F.col("handoff").between(F.col("initial_offset"), F.col("next_offset")))
+    full = held.groupBy("topic", "window_id").agg(F.countDistinct("part").alias("held")).groupBy("topic").agg(F.max("held").alias("held"))
+    reason = F.when(~(F.col("n") & F.col("d") & F.col("r")), "partitions are missing").when(~F.col("ok"), "consumers are behind or unavailable").when(F.col("_gap"), "unresolved gaps").when(F.coalesce("held", F.lit(0)) < F.col("parts"), "no certified live window")
+    return c.join(g, "topic", "left").join(full, "topic", "left").select("topic", reason.isNull().alias("ready"), reason.alias("reason"))
+
+
 def advance(checkpoints: DataFrame, written: DataFrame) -> DataFrame:
     """next_offset moved to behind the last row written; it never goes back."""
     top = written.groupBy("topic", "part").agg((F.max("off") + 1).alias("_top"))

@@ -794,3 +794,94 @@ def p22_answers(logs):
 def p26_source_ids(logs):
     nested = F.expr("""concat('{"record_id": "no", "event_id": "', event_id, '", "a": [{"id": ', case when n % 2 = 0 then cast(n as string) else '1.5' end, '}, [{"_source.id": ', case when n % 3 = 0 then concat('"s', n, '"') else 'null' end, '}]], "x": {"source_id": "z"}}')""")
     return logs.select("event_id", F.array_join(source_ids(nested), ",").alias("ids"))
+
+
+# --- proofs of the archive and its consumers -----------------------------------------------------------------------
+_LOOK = "select topic, part, case when topic = '0' and part = 0 then next_offset + 1 else initial_offset end as low, case when part = 1 then next_offset - 1 else next_offset + part end as high, case when topic = '2' then 5 else 4 end as partition_count, case when topic = '1' and part = 2 then 'v2' else 'v1' end as generation from checkpoints where not (topic = '0' and part = 3)"
+
+
+@query("checkpoints", sql=f"""with n as ({_LOOK} union all select '9', 0, 7, 9, 1, 'v1'), s as (select coalesce(n.topic, c.topic) as topic, coalesce(n.part, c.part) as part, c.initial_offset as i, c.next_offset as x, c.observed_offset as o, n.low, n.high, n.partition_count as pc, n.generation as g,
+case when high is null then 'partition missing' when x is not null and g <> 'v1' then 'generation changed' when x is not null and pc <> 4 then 'partition count changed' when x < low then 'retention loss' when x > high then 'reset' else 'ok' end as status from checkpoints c full join n on n.topic = c.topic and n.part = c.part)
+select topic, part, coalesce(i, low) as initial_offset, coalesce(x, low) as next_offset, case when status = 'ok' then high else o end as observed_offset, cast(case when status = 'ok' then pc when x is not null then 4 end as integer) as partition_count, cast(case when status = 'ok' then {NOW} else 5 end as bigint) as checked_at, 'v1' as generation, high - coalesce(x, low) as lag, status from s""")
+def v10_observed_topics(ck):
+    x, t, p = F.col("next_offset"), F.col("topic"), F.col("part")
+    look = ck.where("not (topic = '0' and part = 3)").select("topic", "part", F.when((t == "0") & (p == 0), x + 1).otherwise(F.col("initial_offset")).alias("low"), F.when(p == 1, x - 1).otherwise(x + p).alias("high"), F.when(t == "2", 5).otherwise(4).alias("partition_count"), F.when((t == "1") & (p == 2), "v2").otherwise("v1").alias("generation"))
+    new = ck.limit(1).select(F.lit("9").alias("topic"), F.lit(0).cast("long").alias("part"), F.lit(7).cast("long").alias("low"), F.lit(9).cast("long").alias("high"), F.lit(1).alias("partition_count"), F.lit("v1").alias("generation"))
+    return verify.observed(ck.withColumns({"generation": F.lit("v1"), "checked_at": F.lit(5).cast("long")}), look.unionByName(new), NOW)
+
+
+_CHECKED = f"case when topic = '1' and part = 3 then {NOW} - 30001 else {NOW} - part * 10000 end"
+
+
+@query("checkpoints", sql=f"with h as (select topic, case when topic = '2' and part = 1 then 7 else part end as part, initial_offset + part as handoff from checkpoints), j as (select coalesce(c.topic, h.topic) as topic, c.next_offset is not null and h.handoff is not null as b, coalesce(h.handoff between c.initial_offset and c.next_offset, false) as w, coalesce(c.next_offset >= c.observed_offset - 1, false) as u, coalesce({_CHECKED.replace('topic', 'c.topic').replace('part', 'c.part')} >= {NOW} - 30000, false) as f from checkpoints c full join h on c.topic = h.topic and c.part = h.part) select topic, bool_and(b) as exact, bool_and(w) as within, bool_and(u) as caught_up, bool_and(f) as fresh, bool_and(b and w and u and f) as complete from j group by topic")
+def v9_handoff_proof(ck):
+    handoffs = ck.select("topic", F.when((F.col("topic") == "2") & (F.col("part") == 1), 7).otherwise(F.col("part")).alias("part"), (F.col("initial_offset") + F.col("part")).alias("handoff"))
+    return verify.handoff_proof(ck.withColumns({"checked_at": F.expr(_CHECKED), "observed_offset": F.col("observed_offset") - 1}), handoffs, NOW)
+
+
+@query("checkpoints", "versioned_log", sql="select topic, topic = '0' as ready, case topic when '1' then 'unresolved gaps' when '2' then 'no certified live window' end as reason from (select distinct topic from checkpoints)")
+def v15_hot_coverage(ck, rows):
+    ck = ck.withColumns({"observed_offset": F.col("next_offset"), "generation": F.lit("v1"), "checked_at": F.lit(NOW - 30_000)})
+    gaps = rows.select("topic", F.when(F.col("topic") == "1", "open").otherwise("resolved").alias("state"))
+    windows = ck.select("topic", F.lit("w").alias("window_id"), F.lit(True).alias("verified"), F.lit(True).alias("live"), F.lit("es").alias("source"), "generation", "part", F.when((F.col("topic") == "2") & (F.col("part") == 0), F.col("next_offset") + 1).otherwise(F.col("next_offset")).alias("handoff"))
+    return verify.hot_coverage(ck, gaps, windows, NOW, "es", "v1")
+
+
+@query("versioned_log", "checkpoints", sql=f"""with {_LATEST}, e as ({_FIRST}), d as (select *, make_timestamp((event_time - event_time % 86400000 - case when off % 997 = 5 and event_time % 7 = 0 then 86400000 else 0 end) * 1000) as day from e), o as (select * from d where epoch_ms(day) + 86400000 <= {HOT}),
+j as (select o.*, a.version is not null and o.event_time = a.event_time and ((o.payload_hash = a.payload_hash and a.version >= o.version) or (o.topic = a.topic and o.part = a.part and a.off > o.off)) as good, k.next_offset from o left join (select * from v where off % 4001 <> 0) a on o.record_id = a.record_id left join (select topic, part, case when topic = '2' and part = 1 then next_offset // 2 else next_offset end as next_offset from checkpoints) k on o.topic = k.topic and o.part = k.part)
+select strftime(day, '%Y-%m-%d') as day, count(*) as n, case when bool_and(event_time >= epoch_ms(day) and event_time < epoch_ms(day) + 86400000) and bool_and(good) and bool_and(coalesce(off < next_offset, false)) then 'ELIGIBLE' else 'BLOCKED' end as state,
+case when not bool_and(event_time >= epoch_ms(day) and event_time < epoch_ms(day) + 86400000) then 'rows outside their day' when not bool_and(good) then 'rows that the archive does not verify' when not bool_and(coalesce(off < next_offset, false)) then 'offsets ahead of the checkpoint' end as reason from j group by day""")
+def v5_cleanup_proof(rows, ck):
+    moved = F.when((F.col("off") % 997 == 5) & (F.col("event_time") % 7 == 0), 86_400_000).otherwise(0)
+    first = rows.where(F.col("off") == F.col("record_id").cast("long")).withColumn("day", F.date_format(F.timestamp_millis(F.col("event_time") - moved), "yyyy-MM-dd"))
+    return verify.cleanup_proof(first, logquery.latest(rows).where("off % 4001 <> 0"), ck.withColumn("next_offset", F.when((F.col("topic") == "2") & (F.col("part") == 1), F.floor(F.col("next_offset") / 2)).otherwise(F.col("next_offset"))), NOW)
+
+
+# --- corpus of three kinds, whole case metrics ---------------------------------------------------------------------
+_HEAD, _, _TAIL = _CHUNKS.rpartition("select concat_ws('::', 'nginx_session'")
+
+
+@query("access_log", "reports", sql=f"""{_HEAD.rstrip()}, chunk as (select concat_ws('::', 'nginx_session'{_TAIL})
+select event_id as source_id, 'event' as source_type, concat_ws(' ', concat('ip=', ip), concat('request=', method, ' ', path), concat('status=', cast(status as varchar)), case when user_agent <> '' then concat('ua=', user_agent) end, concat('@', cast(ts_ms as varchar))) as content from access_log
+union all select source_id, 'session', content from chunk
+union all select concat('report::', event_id), 'report', concat_ws(' ', case when risk_level <> '' then concat('risk=', risk_level) end, concat('type=', detect_type), concat('ip=', ip), case when n % 3 = 0 then concat('seen at ', path) end) from reports""")
+def c4_corpus_of_three(logs, rows):
+    return corpus.union(logs, logs, rows.withColumn("summary", F.when(F.col("n") % 3 == 0, F.concat(F.lit("seen at "), "path"))))
+
+
+_CASES = """with g as (select distinct case_id, cast(case_id as bigint) as n from calls), a as (select case_id, count(*) as steps, count(*) filter (not ok or source_id = '') as wasted, list(distinct tool) as tools, list(distinct source_id) filter (source_id <> '') as found, max_by(text, step) filter (role = 'assistant' and text <> '') as last from calls where cast(case_id as bigint) % 11 <> 0 group by case_id),
+m as (select g.case_id, case n % 2 when 0 then 'baseline' else 'upgraded' end as variant, case when n % 3 = 0 then 'THE report mit' else coalesce(last, '') end as answer, found, tools, coalesce(wasted, 0) as wasted_calls, coalesce(steps, 0) as steps_to_finish, n from g left join a on g.case_id = a.case_id),
+p as (select case_id, variant, answer, case when n % 5 = 0 then 0 else (cast(contains(lower(answer), 'the') as integer) + cast(contains(lower(answer), 'mit') as integer)) / 2 end as correctness, case when n % 7 = 0 then 1 else len(list_intersect(coalesce(found, []), ['s1', 's2', 's9'])) / 3 end as evidence_coverage, len(list_intersect(coalesce(tools, []), ['search_docs', 'other'])) / 2 as tool_recall, wasted_calls, steps_to_finish,
+case when n % 4 = 0 then 0 else 2 end as replan, case when n % 4 = 0 then 0 else 1 end as compact, 0 as "continue", n % 4 <> 0 as finished, n % 4 = 1 as has_finish_reason from m)"""
+
+
+def _cases(rows):
+    golden = rows.select("case_id").distinct()
+    n = F.col("case_id").cast("long")
+    text = lambda *x: F.array(*[F.lit(v) for v in x])
+    wanted = golden.select("case_id", F.lit("s").alias("scenario"), F.when(n % 5 != 0, text("the", "MIT")).alias("expected_keys"), F.when(n % 7 != 0, text("s1", "s2", "s9")).alias("expected_source_ids"), text("search_docs", "other").alias("expected_tools"))
+    states = golden.where(n % 4 != 0).select("case_id", F.when(n % 3 == 0, F.lit("THE report mit")).otherwise("").alias("report"), F.when(n % 4 == 1, "done").alias("finish_reason"), text("Replan", "COMPACT", "replan", "Finish").alias("actions"))
+    told = golden.where((n % 4 == 0) & (n % 3 == 0)).select("case_id", F.lit("THE report mit").alias("report"), F.lit(None).cast("string").alias("finish_reason"), F.array().cast("array<string>").alias("actions"))
+    return evals.per_case(states.unionByName(told), rows.where(n % 11 != 0), wanted)
+
+
+@query("calls", sql=f"{_CASES} select case_id, 's' as scenario, answer, correctness, evidence_coverage, tool_recall, wasted_calls, steps_to_finish, replan, compact, \"continue\", finished, has_finish_reason from p")
+def e6_e9_per_case(rows):
+    return _cases(rows)
+
+
+@query("calls", sql=f"{_CASES}, u as (unpivot (select variant, cast(count(*) as double) as count, round(avg(correctness), 6) as correctness, round(avg(evidence_coverage), 6) as evidence_coverage, round(avg(tool_recall), 6) as tool_recall, round(avg(wasted_calls), 6) as wasted_calls, round(avg(steps_to_finish), 6) as steps_to_finish, round(avg(cast(finished as integer)), 6) as finish_rate, round(avg(replan), 6) as replan, round(avg(compact), 6) as compact from p group by variant) on columns(* exclude variant) into name metric value v) select metric, coalesce(max(v) filter (variant = 'baseline'), 0) as baseline, coalesce(max(v) filter (variant = 'upgraded'), 0) as upgraded, 0.0 as third from u group by metric")
+def e10_eight_means(rows):
+    named = _cases(rows).withColumn("variant", F.when(F.col("case_id").cast("long") % 2 == 0, "baseline").otherwise("upgraded"))
+    return evals.averages_of_variants(named, ["baseline", "upgraded", "third"])
+
+
+@query("calls", sql="with k as (select *, case when source_id <> '' then source_id else substr(text, 1, 50) end as key, case when step < 4 then 0 else 1 end as o from calls), f as (select case_id, key, list(tool order by o, step) as tools, min_by(source_id, o * 1000000 + step) as source_id, min_by(text, o * 1000000 + step) as content, min_by(step, o * 1000000 + step) as rank from k group by case_id, key) select case_id as query_id, source_id, content, rank, array_to_string(list_filter(tools, lambda x, i: list_position(tools, x) = i), ',') as sources from f")
+def q9_sources_of_evidence(rows):
+    e = rows.select(F.col("case_id").alias("query_id"), "source_id", F.col("text").alias("content"), F.col("step").alias("rank"), F.array("tool").alias("sources"))
+    return retrieve.merge_evidence(e.where("rank < 4"), e.where("rank >= 4")).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("access_log", sql="select event_id, concat('{\"ip\":\"', ip, '\",\"path\":\"', replace(path, '/', '/'), '\",\"status\":\"', case when n % 9 = 0 then 'unknown' else cast(status as varchar) end, '\"}') as inputs, case when n % 9 = 0 then 'log_unknown' else concat('log_', event_id, '_', status) end as user from access_log")
+def p21_request_payloads(logs):
+    return normalize.request_payload(logs.withColumn("status", F.when(F.col("n") % 9 != 0, F.col("status"))), ["ip", "path", "status", "nothing"], "log_{event_id}_{status}")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
-from lograil.operators.corpus import follow
+from lograil.operators.corpus import expired, follow
 from lograil.operators.detect import security_events
 from lograil.operators.normalize import normalize
 from lograil.operators.parse import parse_strict, split_parsed
@@ -167,12 +167,19 @@ def anchored_sessions(rows: DataFrame, time: str = "ts", span_ms: int = 300_000,
     return timed.groupBy("ip").applyInPandasWithState(step, "ip string, start_ms long, end_ms long, n long", "first long, last long, n long, times array<long>, counts array<long>", "append", "EventTimeTimeout")
 
 
-def follow_corpus(notices: DataFrame, events: Callable[[], DataFrame], base: str, checkpoint: str, now: Callable[[], int], days: int = 90) -> StreamingQuery:
+CORPUS = "source_id string, source_type string, attack_type string, content string, created_at long, notice_id long"
+
+
+def follow_corpus(notices: DataFrame, events: Callable[[], DataFrame], base: str, checkpoint: str, now: Callable[[], int], days: int = 90, documents: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """The corpus follows archive notices (notice_id, record_id): what each one does goes to the table base/actions.
 
     events() gives the archive's latest rows at that time. Notices of events that lie in the future wait in base/waiting
     and are judged again with the next batch. Both are keyed by the notice, so a batch that is run again, or a new
     checkpoint over the same notices, repeats nothing; a notice that was acted upon waits no more.
+
+    With `documents`, which makes rows of the corpus (source_id, source_type, attack_type, content, created_at) of rows of
+    the archive, actions are applied to the table base/corpus, the latest notice of a record last: an upsert puts its
+    document, a removal leaves one without content. `followed_corpus` reads it.
     """
     whose = ["notice_id"]
 
@@ -181,10 +188,23 @@ def follow_corpus(notices: DataFrame, events: Callable[[], DataFrame], base: str
         schema = batch.select("notice_id", "record_id").withColumn("acted", F.lit(0)).schema
         old = read(spark, f"{base}/waiting", schema).where("acted = 0").select("notice_id", "record_id")
         due = batch.select("notice_id", "record_id").unionByName(old).dropDuplicates(whose)
-        acts = table(follow(due, events(), None, at, at - days * 86_400_000), "judged")
+        archive_now = events()
+        acts = table(follow(due, archive_now, None, at, at - days * 86_400_000), "judged")
         again = Batch(no.stream, no.run)
+        if documents is not None:
+            last = acts.where("action <> 'wait'").groupBy("record_id").agg(F.max_by("action", "notice_id").alias("action"), F.max("notice_id").alias("notice_id"))
+            put_ = documents(archive_now.join(last.where("action = 'upsert'").select("record_id", "notice_id"), "record_id"))
+            put_ = put_.join(last.select(F.col("record_id").alias("source_id"), "notice_id"), "source_id").select("source_id", "source_type", "attack_type", "content", "created_at", "notice_id")
+            gone = last.where("action = 'remove'").select(F.col("record_id").alias("source_id"), *[F.lit(None).cast("string").alias(c) for c in ("source_type", "attack_type", "content")], F.lit(None).cast("long").alias("created_at"), "notice_id")
+            put(put_.unionByName(gone), f"{base}/corpus", again, key_bucket(["source_id"], 16), ["source_id"], ["notice_id"])
         put(acts.where("action <> 'wait'"), f"{base}/actions", again, key_bucket(whose, 16), whose)
         put(acts.select("notice_id", "record_id", (F.col("action") != "wait").cast("int").alias("acted")), f"{base}/waiting", again, key_bucket(whose, 16), whose, ["acted"])
         discard(acts)
 
     return start(notices, each, checkpoint, "follow")
+
+
+def followed_corpus(spark: SparkSession, base: str, oldest: int) -> DataFrame:
+    """The corpus that follow_corpus keeps, without what was removed and without cases older than `oldest`."""
+    rows = read(spark, f"{base}/corpus", spark.createDataFrame([], CORPUS).schema).drop("ledger_part", "notice_id")
+    return expired(rows.where("content is not null"), oldest)
