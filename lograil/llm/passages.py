@@ -148,14 +148,18 @@ def _open(own: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _rare(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of texts with a rare shingle in common of which one is not done; and the members with LEAST frequent ones."""
-    each = members.select("k", "id", "at", (F.col("root") != F.col("k")).alias("open"), F.explode("s").alias("x"))
+    """Pairs (a, b) of texts that meet at rare shingles, may have LEAST in common with the frequent ones, and of which one is not
+    done; and the members with LEAST frequent ones."""
+    key = ["k", "id", "at"]
+    each = members.select(*key, (F.col("root") != F.col("k")).alias("open"), F.explode("s").alias("x"))
     counts = each.groupBy("k", "x").agg(F.count("*").alias("c")).where("c > 1")
     shared = materialize(each.join(counts, ["k", "x"]), "shared-shingles")
-    few = shared.where(f"c <= {RARE}").select("k", "x", "id", "open")
-    pairs = few.withColumnsRenamed({"id": "a", "open": "oa"}).join(few.withColumnsRenamed({"id": "b", "open": "ob"}), ["k", "x"]).where("a < b and (oa or ob)").select("a", "b").distinct()
-    many = shared.where(f"c > {RARE}").groupBy("k", "id", "at").agg(F.count("*").alias("c")).where(f"c >= {LEAST}").drop("c")
-    return pairs, members.join(many, ["k", "id", "at"], "left_semi").drop("s")
+    many = materialize(shared.where(f"c > {RARE}").groupBy(*key).agg(F.count("*").alias("f")), "frequent-shingles")
+    few = shared.where(f"c <= {RARE}").join(many, key, "left").select(*key, "x", "open", F.coalesce("f", F.lit(0)).alias("f"))
+    one, other = (few.select("k", "x", F.struct("id", "at", "open", "f").alias(n)) for n in ("p", "q"))
+    met = one.join(other, ["k", "x"]).where("p.id < q.id and (p.open or q.open)").groupBy("k", "p", "q").agg(F.count("*").alias("c"))
+    pairs = met.where(F.col("c") + F.least("p.f", "q.f") >= LEAST).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    return pairs, members.join(many.where(f"f >= {LEAST}"), key, "left_semi").drop("s")
 
 
 def settled(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:

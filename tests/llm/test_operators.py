@@ -287,6 +287,26 @@ def test_passages_of_a_common_frame_equal_brute_force(spark, monkeypatch, block)
     assert [got[i] for i in range(len(texts))] == label and len(set(label)) == 60
 
 
+def test_a_frame_pairs_nothing_and_large_groups_list_every_place(spark, monkeypatch):
+    rng = random.Random(21)
+    frame = words(rng, 30)
+    texts = [words(rng, 40) + " " + frame + " " + words(rng, 40) for _ in range(150)]
+    held = []
+    rare = passages._rare
+    monkeypatch.setattr(passages, "_rare", lambda m: held.append(rare(m)) or held[-1])
+    links, _ = passages.settled(docs(spark, texts), "text")
+    assert links.isEmpty() and held[0][0].isEmpty() and held[0][1].isEmpty()  # no pair is formed beyond one alignment a text
+    # 40 texts with one passage each, in pairs alike, within the frame's group: each place of both is listed
+    w = [words(rng, 60).split() for _ in range(20)]
+    pairs = [" ".join([*x[:30], "changed", *x[31:]]) if k else " ".join(x) for x in w for k in (0, 1)]
+    both = [*texts[:40], *[words(rng, 9 * (i % 3)) + " " + frame + " " + p for i, p in enumerate(pairs)]]
+    got = {r["doc_id"]: r for r in passages.near_passages(docs(spark, both)).collect()}
+    for i in range(40):
+        partner = 40 + (i ^ 1)
+        assert got[40 + i]["class_id"] == 40 + min(i, i ^ 1) and got[i]["class_id"] == i
+        assert any(p["partner"] == partner and p["end"] - p["start"] >= 80 for p in got[40 + i]["passages"])
+
+
 def test_empty_tables(spark):
     none = docs(spark, []).limit(0)
     assert simhash.near_duplicates(none).isEmpty() and mixing.mix(none).isEmpty() and langid.identify(none).isEmpty()
