@@ -162,6 +162,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """docs whose text has a known language that makes up at least `least` of it; all columns are kept."""
+    """docs whose text has a known language that makes up at least `least` of it; all columns are kept.
+
+    Learns from all rows with a text and a language. Texts that are null, empty or without a letter go, as do all where
+    nothing was learned; repeated rows stay or go together; extra columns stay as they are; an empty table gives no rows.
+    """
     rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_t"))
     return predict(rows, train(docs, text_col, lang_col), "_t", keep=("_row",)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

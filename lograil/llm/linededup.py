@@ -110,7 +110,11 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_wo
 
 
 def keep_deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int = 8) -> DataFrame:
-    """docs with the cleaned texts; documents of which every line was a later copy go. All columns are kept."""
+    """docs with the cleaned texts; documents of which every line was a later copy go. All columns are kept.
+
+    Null and empty texts have no lines and stay as they are. Rows that agree in id and text are one document, of which all
+    stay or go; a null id comes first. Extra columns stay as they are; an empty table gives no rows.
+    """
     out = _cleaned(docs, id_col, text_col, min_lines, min_words).where("n_removed = 0 or _clean <> ''")
     cols = [F.col("_clean").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     return out.select(*cols)
