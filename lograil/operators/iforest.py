@@ -50,17 +50,25 @@ def fit(features: DataFrame, names: list[str], id_col: str = "event_id", trees:
     """
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame | None] = [None] * trees
+        """Of each tree the rows that are below its sample's largest hash so far join the sample; most rows join none."""
+        most = np.iinfo(np.int64).max
+        order, own, bound = [np.empty(0, np.int64)] * trees, [np.empty((0, len(names)))] * trees, [most] * trees
         for pdf in frames:
-            key = pdf["_h"].to_numpy().astype(np.uint64)
+            key, x = pdf["_h"].to_numpy().astype(np.uint64), pdf[names].to_numpy(float)
             for t in range(trees):
                 h = (key ^ np.uint64(t * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
                 h ^= h >> np.uint64(31)
-                own = pdf.assign(_t=t, _o=(h >> np.uint64(1)).astype(np.int64)).nsmallest(sample, "_o")
-                best[t] = own if best[t] is None else pd.concat([best[t], own]).nsmallest(sample, "_o")
-        for own in best:
-            if own is not None:
-                yield own[["_t", "_o", *names]]
+                o = (h >> np.uint64(1)).astype(np.int64)
+                near = np.flatnonzero(o < bound[t])
+                if len(near):
+                    both, rows = np.concatenate((order[t], o[near])), np.concatenate((own[t], x[near]))
+                    if len(both) > sample:
+                        kept = np.argpartition(both, sample - 1)[:sample]
+                        both, rows = both[kept], rows[kept]
+                    order[t], own[t], bound[t] = both, rows, int(both.max()) if len(both) >= sample else most
+        for t in range(trees):
+            if len(order[t]):
+                yield pd.DataFrame(own[t], columns=names).assign(_t=t, _o=order[t])[["_t", "_o", *names]]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.nsmallest(sample, "_o")
