@@ -11,7 +11,7 @@ Under every function these have the same minimum, so both texts have the signatu
 share a signature are a group, and each is aligned with the group's text of smallest hash. What matters then is places: a
 place (text, signature) that lies in a passage found is done. Other places are compared with all members of their group:
 
-* in groups of few texts each with each;
+* in groups of few texts each with each, in those that fit a block by one matrix product of the shingles around;
 * in larger ones by the LEAST shingles that passages alike by 0.8 have in common around such a run. Of two surroundings
   with LEAST in common, either both hold LEAST or more shingles that are frequent in the group, or they share one that is
   not: those pairs meet at rare shingles, each held by RARE members at most. So texts that share a frame of fewer words,
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lograil.llm._common import WORD, bounded_batches, components, materialize
+from lograil.llm._common import WORD, bounded_batches, components, discard, materialize
 from lograil.llm.groups import Check, links_in_groups
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
@@ -42,8 +42,9 @@ HASHES, RUN, LEAST = 2, 20, 41
 AROUND, GAP = 64, 12
 #: A text of at least 50 words; reads no more of it than these.
 LONG = f"^(?:[\\x20\\x09-\\x0D]*+{WORD}+){{{WORDS}}}"
-#: Texts with a common signature that are aligned each with each, and members that hold a shingle which is not frequent.
-SMALL, RARE = 16, 64
+#: Texts with a common signature that are aligned each with each, those that are compared in one block, and members that hold a
+#: shingle which is not frequent.
+SMALL, ONE_BLOCK, RARE = 16, 1000, 64
 _MIX = np.random.default_rng(11).integers(1, 1 << 63, (max(SHINGLE, HASHES), 3), dtype=np.uint64) | np.uint64(1)
 
 
@@ -117,8 +118,8 @@ def windows(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def surroundings(rows: DataFrame) -> DataFrame:
-    """k, id, at, n, root, w, s: the shingles around each of the places of rows (th, text, places: sig, at, root), 4 bytes each:
-    w in order, s the different ones. root is the place's own, or the group's if it is done."""
+    """k, id, at, n, root, w, s: the shingles around each of the places of rows (th, text, places: sig, at, root, huge), 4 bytes
+    each: w in order, s the different ones, for places of huge groups. root is the place's own, or the group's if it is done."""
     bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,7 @@ def surroundings(rows: DataFrame) -> DataFrame:
                 short = (shingles(text) >> np.uint64(32)).astype("<u4")
                 for place in places:
                     w = short[max(0, place["at"] - AROUND) : place["at"] + AROUND]
-                    for cell, v in zip(cells, (place["sig"], th, place["at"], len(w), place["root"], w.tobytes(), np.unique(w).astype(np.int64)), strict=True):
+                    for cell, v in zip(cells, (place["sig"], th, place["at"], len(w), place["root"], w.tobytes(), np.unique(w).astype(np.int64) if place["huge"] else None), strict=True):
                         cell.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["k", "id", "at", "n", "root", "w", "s"])
@@ -142,9 +143,12 @@ def _open(own: DataFrame, found: DataFrame) -> DataFrame:
     sides = [found.select(F.col(t).alias("th"), F.explode(F.transform("passages", lambda p: F.struct(p[f"{t}_start"].alias("start"), p[f"{t}_end"].alias("end")))).alias("p")) for t in "ab"]  # noqa: B023
     spans = sides[0].unionAll(sides[1]).distinct().groupBy("th").agg(F.collect_list("p").alias("spans"))
     inside = F.exists("spans", lambda p: (p["start"] <= F.col("at")) & (F.col("at") + SHINGLE - 1 <= p["end"]))
-    rest = materialize(own.where("th <> low").join(spans, "th", "left").select("sig", "th", "at", F.coalesce(inside, F.lit(False)).alias("done")), "places")
+    rest = own.where("c > 2 and th <> low").join(spans, "th", "left").select("sig", "th", "at", F.coalesce(inside, F.lit(False)).alias("done"))
+    rest = materialize(rest.repartition("sig"), "places")
     left = rest.groupBy("sig").agg(F.approx_count_distinct("th").alias("others"), F.min("th").alias("x"), F.max("th").alias("y"), F.bool_and("done").alias("all")).where("x <> y and not all").select("sig", "others")
-    return materialize(rest.join(left, "sig"), "open")
+    out = materialize(rest.join(left, "sig"), "open")
+    discard(rest)
+    return out
 
 
 def _rare(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -165,27 +169,32 @@ def _rare(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 def settled(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of texts, whose components are those of all, and a, b and the passages of the linked pairs."""
     every = windows(docs, text_col).repartition("sig")
-    shared = every.groupBy("sig").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low <> high").drop("high")
+    # all columns are asked for on both sides, so the windows are made and shuffled once
+    shared = every.groupBy("sig").agg(F.min("th").alias("low"), F.max("th").alias("high"), F.count("at").alias("c")).where("low <> high").drop("high")
     own = materialize(every.join(shared, "sig").distinct(), "signatures")
     texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     pairs = materialize(own.where("low < th").select(F.col("low").alias("a"), F.col("th").alias("b")).distinct(), "pairs")
     found = verified(pairs, texts)
     open_ = _open(own, found)
+    discard(own)
     if open_.isEmpty():
         return found.select("a", "b"), found
     small = open_.where(f"others <= {SMALL}").select("sig", "th", "done").distinct()
     each = small.withColumnsRenamed({"th": "a", "done": "da"}).join(small.withColumnsRenamed({"th": "b", "done": "db"}), "sig").where("a < b and not (da and db)").select("a", "b").distinct()
-    large = open_.where(f"others > {SMALL}")
+    large, blocks = open_.where(f"others > {SMALL}"), None
     if not large.isEmpty():
-        place = F.struct("sig", "at", F.when(F.col("done"), F.col("sig")).otherwise(F.xxhash64("sig", "th", "at")).alias("root"))
+        place = F.struct("sig", "at", F.when(F.col("done"), F.col("sig")).otherwise(F.xxhash64("sig", "th", "at")).alias("root"), (F.col("others") > ONE_BLOCK).alias("huge"))
         named = materialize(large.groupBy("th").agg(F.collect_list(place).alias("places")), "named")
         members = materialize(surroundings(named.join(_once(texts, named), "th")), "surroundings")
-        rare, many = _rare(members)
-        each = each.unionAll(rare).distinct()
+        rare, many = _rare(members.where("s is not null"))
+        each, blocks = each.unionAll(rare).distinct(), materialize(members.where("s is null").drop("s").unionByName(many), "blocks")
+        discard(members)
     each = materialize(each.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    discard(open_)
     found = found.unionAll(verified(each, texts))
-    if not large.isEmpty():
-        more = links_in_groups(materialize(many, "frequent"), None, lambda common, x, y: common >= LEAST, Check(dense, lambda x, y: bool(near(x, y))), found.select("a", "b"))
+    if blocks is not None:
+        more = links_in_groups(blocks, None, lambda common, x, y: common >= LEAST, Check(dense, lambda x, y: bool(near(x, y))), found.select("a", "b"))
+        discard(blocks)
         found = found.unionAll(verified(more.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), texts))
     return found.select("a", "b"), found
 
@@ -292,7 +301,8 @@ def _once(texts: DataFrame, named: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b and the passages of each of the pairs (a, b) of texts that has any."""
     texts = _once(texts, pairs.select(F.explode(F.array("a", "b")).alias("th")))
-    both = pairs.join(texts.withColumnsRenamed({"th": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"th": "b", "text": "tb"}), "b")
+    # the last join leaves the pairs of an a together, so its shingles are made once
+    both = pairs.join(texts.withColumnsRenamed({"th": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"th": "a", "text": "ta"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a_start", pa.int64()), ("a_end", pa.int64()), ("b_start", pa.int64()), ("b_end", pa.int64()), ("similarity", pa.float64())]))
@@ -315,7 +325,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), kind), strict=True)], names=["a", "b", "passages"])
 
     kind = "array<struct<a_start:long,a_end:long,b_start:long,b_end:long,similarity:double>>"
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, f"a long, b long, passages {kind}"), "verified")
+    out = materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, f"a long, b long, passages {kind}"), "verified")
+    discard(texts)
+    return out
 
 
 def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -294,6 +294,7 @@ def test_a_frame_pairs_nothing_and_large_groups_list_every_place(spark, monkeypa
     held = []
     rare = passages._rare
     monkeypatch.setattr(passages, "_rare", lambda m: held.append(rare(m)) or held[-1])
+    monkeypatch.setattr(passages, "ONE_BLOCK", 20)
     links, _ = passages.settled(docs(spark, texts), "text")
     assert links.isEmpty() and held[0][0].isEmpty() and held[0][1].isEmpty()  # no pair is formed beyond one alignment a text
     # 40 texts with one passage each, in pairs alike, within the frame's group: each place of both is listed
