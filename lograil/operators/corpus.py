@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograil.operators.ranges import scan
-from lograil.sources.scratch import discard, table
+from lograil.sources.scratch import table
 
 
 def markdown_chunks(pages: DataFrame, col: str = "text") -> DataFrame:
@@ -56,35 +60,6 @@ def _islands(times: DataFrame, span_ms: int) -> DataFrame:
     return times.where(f"probe = 0 and (earlier is null or at - earlier > {span_ms})").select("ip", F.col("at").alias("start_ms"))
 
 
-def chunk_starts(logs: DataFrame, span_ms: int) -> DataFrame:
-    """(ip, start_ms): where a chunk begins, if a request more than span behind the start of its chunk begins the next.
-
-    Each time points to the first one more than span behind it. The starts are what is reached from the starts of islands
-    along these pointers: in round k those that are 2^k pointers further are added, and pointers are doubled. Every round is
-    two joins on (ip, time), of which no value is frequent, so a busy ip is spread over tasks; the rounds are the logarithm
-    of the chunks of the longest island.
-    """
-    times = _times(logs, span_ms)
-    islands = table(_islands(times, span_ms), "starts")
-    pairs = times.where("probe = 1 and later is not null").select("ip", F.col("ts_ms").alias("a"), F.col("later").alias("b"))
-    other = islands.select(F.col("ip").alias("_ip"), "start_ms")
-    jump = table(pairs.join(other, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("b") == F.col("start_ms")), "left_anti"), "pointers")
-    reached = [islands]
-    while True:
-        starts = reached[0]
-        for r in reached[1:]:
-            starts = starts.unionAll(r)
-        again = starts.select(F.col("ip").alias("_ip"), "start_ms")
-        new = table(again.join(jump, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("a") == F.col("start_ms"))).select("ip", F.col("b").alias("start_ms")), "starts")
-        if new.isEmpty():
-            return starts
-        reached.append(new)
-        right = jump.select(F.col("ip").alias("_ip"), F.col("a").alias("_a"), F.col("b").alias("c"))
-        doubled = table(jump.join(right, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("b") == F.col("_a"))).select("ip", "a", F.col("c").alias("b")), "pointers")
-        discard(jump)
-        jump = doubled
-
-
 def _assigned(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """Rows with ip, ts_ms and event_id with the last start of their ip that is not behind them, as `start_ms`."""
     both = rows.withColumn("_row", F.lit(1)).unionByName(starts.select("ip", F.col("start_ms").alias("ts_ms"), F.lit(0).alias("_row")), allowMissingColumns=True)
@@ -102,17 +77,126 @@ def idle_sessions(logs: DataFrame, gap_ms: int = 300_000) -> DataFrame:
 SESSION_ID, SESSION_TEXT, SESSION_MORE, SESSION_SHOWN = "nginx_session::%s::%d::%d", "ip=%s 在 [%d~%d] 发起 %d 次请求: %s", "; ...(+%d more)", 5
 
 
+def _exits(ranged: DataFrame, asked: list[int], through: set[int], span_ms: int) -> DataFrame:
+    """Of the last ip of each asked partition, where chunks get to: _pid, at, exit (binary, 8-byte numbers).
+
+    A chunk that comes in may begin the next one at any time of the first span or the first behind it; exit is the last
+    start that is reached from there, and `at` the last of the times in a row with that exit. Chunks from different times
+    soon meet, so these rows are short; there are as many numbers as distinct times in a span at most. Where the ip itself
+    begins in the partition (not in `through`) its first time is the only way in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, limit, more, none = None, 0, True, np.empty(0, np.int64)
+        times, way, now = none, none, none  # ways in, for each the number of its chunk, and the starts of these
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if pid is not None:
+                last = np.flatnonzero(np.append(np.diff(now[way]) != 0, True))
+                yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([times[last].tobytes()], pa.binary()), pa.array([now[way][last].tobytes()], pa.binary())], names=["_pid", "at", "exit"])
+
+        for batch in batches:
+            pids, ts = batch.column("_pid").to_numpy(), batch.column("ts_ms").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(pids)) + 1).tolist(), len(pids)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                t = ts[lo:hi]
+                if pids[lo] != pid:
+                    yield from found()
+                    pid, limit, more, times, way, now = int(pids[lo]), int(t[0]) + span_ms, True, none, none, none
+                if more:
+                    new = np.unique(t[: np.searchsorted(t, limit, "right") + 1]) if pid in through else t[:1]
+                    new = new[new > times[-1]] if len(times) else new
+                    times, way, now = np.append(times, new), np.append(way, len(now) + np.arange(len(new))), np.append(now, new)
+                    more = pid in through and bool(t[-1] <= limit)
+                while True:
+                    at = np.searchsorted(t, now + span_ms, "right")
+                    moves = at < len(t)
+                    if not moves.any():
+                        break
+                    now[moves] = t[at[moves]]
+                now, number = np.unique(now, return_inverse=True)
+                way = number[way]
+        yield from found()
+
+    wanted = ranged.sparkSession.createDataFrame([(p,) for p in asked], "_pid int")
+    tail = ranged.groupBy("_pid").agg(F.max(F.struct("ip")).alias("tail")).join(F.broadcast(wanted), "_pid").select("_pid", F.col("tail.ip").alias("_tail"))
+    rows = ranged.join(F.broadcast(tail), "_pid").where(F.col("ip").eqNullSafe(F.col("_tail"))).select("_pid", "ts_ms")
+    return rows.repartition("_pid").sortWithinPartitions("_pid", "ts_ms").mapInArrow(run, "_pid int, at binary, exit binary")
+
+
+def _carried(ranged: DataFrame, span_ms: int) -> dict[int, int]:
+    """For each partition whose first ip goes on from the one before it the start of the chunk that comes in: a number a partition."""
+    ends = ranged.groupBy("_pid").agg(F.min(F.struct("ip")).alias("head"), F.max(F.struct("ip")).alias("tail")).orderBy("_pid").collect()
+    after = {a["_pid"]: b["_pid"] for a, b in zip(ends[:-1], ends[1:], strict=True) if a["tail"] == b["head"]}
+    through = {r["_pid"] for r in ends if r["_pid"] in after.values() and r["head"] == r["tail"]}
+    carried: dict[int, int] = {}
+    for row in _exits(ranged, sorted(after), through, span_ms).orderBy("_pid").toLocalIterator() if after else ():
+        at, exits = np.frombuffer(row["at"], np.int64), np.frombuffer(row["exit"], np.int64)
+        start = carried.get(row["_pid"]) if row["_pid"] in through else None
+        way = 0 if start is None else int(np.searchsorted(at, start + span_ms, "right"))
+        carried[after[row["_pid"]]] = int(exits[way]) if way < len(at) else start
+    return carried
+
+
+def chunk_pieces(rows: DataFrame, span_ms: int, shown: int) -> DataFrame:
+    """Chunks of rows (ip, ts_ms, event_id, request), if a request more than span behind the start of its chunk begins the
+    next: ip, start_ms, end_ms, n, _pid, seq and the first `shown` requests; a chunk may come in several pieces, in the
+    order of (_pid, seq).
+
+    Rows are range-partitioned by (ip, ts_ms, event_id) once, so a busy ip lies over many tasks, and each task reads its
+    part in order. What comes in from the part before it is known from `_carried`.
+    """
+    ranged = table(rows.repartitionByRange("ip", "ts_ms", "event_id").withColumn("_pid", F.spark_partition_id()), "ranged")
+    carried = _carried(ranged, span_ms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, ip, start, seq = None, None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pids, ts, ips = batch.column("_pid").to_numpy(), batch.column("ts_ms").to_numpy(), batch.column("ip")
+            code = ips.dictionary_encode().indices.fill_null(-1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(pids) != 0) | (np.diff(code) != 0)) + 1).tolist(), len(pids)]
+            heads, begins = [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                key = int(pids[lo]), ips[lo].as_py()
+                if key != (pid, ip):
+                    start = carried.get(key[0]) if key[0] != pid else None
+                    pid, ip = key
+                t = ts[lo:hi]
+                at = 0 if start is None else int(np.searchsorted(t, start + span_ms, "right"))
+                if at:
+                    heads.append(lo)
+                    begins.append(start)
+                behind = np.searchsorted(t, t + span_ms, "right").tolist()
+                while at < len(t):
+                    start = int(t[at])
+                    heads.append(lo + at)
+                    begins.append(start)
+                    at = behind[at]
+            head = np.array(heads)
+            n = np.diff(np.append(head, len(ts)))
+            few = np.minimum(n, shown)
+            ends = np.cumsum(few)
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), batch.column("request").take(pa.array(np.arange(ends[-1]) - np.repeat(ends - few, few) + np.repeat(head, few))))
+            yield pa.RecordBatch.from_arrays([ips.take(pa.array(head)), pa.array(begins, pa.int64()), pa.array(ts[head + n - 1]), pa.array(n.astype(np.int64)), pa.array(pids[head]), pa.array(seq + np.arange(len(head))), listed], names=["ip", "start_ms", "end_ms", "n", "_pid", "seq", "first"])
+            seq += len(head)
+
+    ordered = ranged.repartition("_pid").sortWithinPartitions("_pid", "ip", "ts_ms", "event_id").select("_pid", "ip", "ts_ms", "request")
+    return ordered.mapInArrow(run, "ip string, start_ms long, end_ms long, n long, _pid int, seq long, first array<string>")
+
+
 def anchored_sessions(logs: DataFrame, span_ms: int = 300_000) -> DataFrame:
     """Chunks of each ip with their text: a new one when a request is more than span after the chunk's *start*.
 
-    No window or group is by ip alone (see `chunk_starts`); of a chunk only its first requests leave a task.
+    No window or group is by ip alone (see `chunk_pieces`); of a chunk only its first requests leave a task.
     """
     rows = logs.where("ts_ms is not null").select("ip", "ts_ms", "event_id", F.concat_ws(" ", "method", "path", F.col("status").cast("string")).alias("request"))
-    placed = table(_assigned(rows, chunk_starts(logs, span_ms)), "chunks")
-    spans = placed.groupBy("ip", "start_ms").agg(F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"))
-    first = placed.withColumn("k", F.row_number().over(Window.partitionBy("ip", "start_ms").orderBy("ts_ms", "event_id"))).where(f"k <= {SESSION_SHOWN}")
-    shown = first.groupBy("ip", "start_ms").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "request"))), lambda r: r["request"]), "; ").alias("t")).select(F.col("ip").alias("_ip"), F.col("start_ms").alias("_s"), "t")
-    both = spans.join(shown, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("start_ms") == F.col("_s")))
+    listed = F.array_sort(F.collect_list(F.struct("_pid", "seq", "first")))
+    both = chunk_pieces(rows, span_ms, SESSION_SHOWN).groupBy("ip", "start_ms").agg(F.max("end_ms").alias("end_ms"), F.sum("n").alias("n"), listed.alias("pieces"))
+    both = both.withColumn("t", F.array_join(F.slice(F.flatten(F.transform("pieces", lambda p: p["first"])), 1, SESSION_SHOWN), "; "))
     more = F.when(F.col("n") > SESSION_SHOWN, F.format_string(SESSION_MORE, F.col("n") - SESSION_SHOWN)).otherwise("")
     return both.select(F.format_string(SESSION_ID, "ip", "start_ms", "end_ms").alias("source_id"), "ip", "start_ms", "end_ms", "n", F.concat(F.format_string(SESSION_TEXT, "ip", "start_ms", "end_ms", "n", "t"), more).alias("content"))
 

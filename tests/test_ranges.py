@@ -84,3 +84,16 @@ def test_curve_keeps_scores_apart_that_differ_little(spark):
     p, q = [s for y, s in rows if y], [s for y, s in rows if not y]
     want = sum((a < b) + (a == b) / 2 for a in p for b in q) / (len(p) * len(q))
     assert abs(got.auc - want) < 1e-8 and evaluate.curve(df).count() == len({s for _, s in rows})
+
+
+def test_chunks_come_from_one_range_shuffle_and_cross_partitions(spark, monkeypatch):
+    rng, made = random.Random(6), []
+    monkeypatch.setattr(corpus, "table", lambda df, name: made.append(df.repartitionByRange(9, "ip", "ts_ms", "event_id").withColumn("_pid", F.spark_partition_id()).localCheckpoint()) or made[-1])
+    rows = [("busy", rng.choice([rng.randrange(9000), 40 * rng.randrange(200)]), f"{i:05}") for i in range(2000)] + [("z", 100 * i, f"z{i}") for i in range(400)] + [(None, 7, "n")]
+    df = spark.createDataFrame([(*r, "GET", f"/{r[2]}", 200) for r in rows], "ip string, ts_ms long, event_id string, method string, path string, status int")
+    for span in (0, 39, 300, 2500, 20_000):
+        want = chunks(rows, span)
+        got = corpus.anchored_sessions(df, span).collect()
+        assert {(r.ip, r.start_ms): (r.end_ms, r.n) for r in got} == {k: (v[-1][0], len(v)) for k, v in want.items()} and len(got) == len(want)
+        assert all("; ".join(f"GET /{e} 200" for _, e in want[r.ip, r.start_ms][:5]) in r.content for r in got)
+    assert len(made) == 5 and made[0].select("_pid").distinct().count() == 9
