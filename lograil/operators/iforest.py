@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lograil.operators.ranges import scan
+from lograil.sources.scratch import table
 
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.1, 42
 EULER = 0.5772156649
@@ -105,7 +106,8 @@ def score(features: DataFrame, forest: DataFrame, names: list[str], keep: tuple[
 
 
 def predict(scored: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
-    """Adds predicted: 1 below the contamination quantile of the scores."""
+    """Adds predicted: 1 below the contamination quantile of the scores. These are written once, as they are read twice."""
+    scored = table(scored, "scored")
     cut = scored.agg(F.percentile_approx("score", contamination, 10_000).alias("cut"))
     return scored.join(F.broadcast(cut)).select(*scored.columns, (F.col("score") < F.col("cut")).cast("int").alias("predicted"))
 

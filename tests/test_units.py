@@ -121,3 +121,15 @@ def test_future_notices_wait_for_their_time(spark, tmp_path):
     assert turn((1, "old"), (2, "now"), (3, "soon"), (4, "gone")) == {(1, "remove"), (2, "upsert"), (4, "remove")}
     clock[0] = 102 * day
     assert turn((5, "now")) == {(1, "remove"), (2, "upsert"), (4, "remove"), (3, "upsert"), (5, "upsert")}
+
+
+def test_scores_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf.assign(score=-pdf["id"] / 100.0)
+
+    scored = spark.range(100).mapInPandas(run, "id long, score double")
+    assert iforest.predict(scored).where("predicted = 1").count() == 9 and seen.value == 100
