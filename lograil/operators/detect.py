@@ -31,8 +31,11 @@ def detections(profiles: list[Profile] = PROFILES, libraries: dict[str, list[tup
 
 
 def detect(logs: DataFrame, profiles: list[Profile] = PROFILES, libraries: dict[str, list[tuple[str, str]]] = LIBRARIES) -> DataFrame:
-    """Rows with a detection: the log's columns, detections and attack_type (types joined by commas, in order)."""
-    found = logs.withColumn("detections", detections(profiles, libraries)).where(F.size("detections") > 0)
+    """Rows with a detection: the log's columns, detections and attack_type (types joined by commas, in order).
+
+    Detections come out of a generator, below which no filter is pushed: patterns are tried once a row, not again in a filter.
+    """
+    found = logs.drop("detections").select("*", F.explode(F.array(detections(profiles, libraries))).alias("detections")).where(F.size("detections") > 0)
     return found.withColumn("attack_type", F.array_join(F.transform("detections", lambda d: d["attack_type"]), ","))
 
 

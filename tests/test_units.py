@@ -133,3 +133,10 @@ def test_scores_are_computed_once(spark):
 
     scored = spark.range(100).mapInPandas(run, "id long, score double")
     assert iforest.predict(scored).where("predicted = 1").count() == 9 and seen.value == 100
+
+
+def test_patterns_are_tried_once_a_row(spark):
+    logs = spark.range(3).selectExpr("id as event_id", "'/admin/' as path", "cast(id as string) as referrer").repartition(2)
+    plan = detect.flat_matches(detect.detect(logs))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "RLIKE" in line.upper()] and "RLIKE" in plan.upper()
+    assert detect.detect(logs.withColumn("detections", F.lit(1))).columns.count("detections") == 1
