@@ -140,3 +140,15 @@ def test_patterns_are_tried_once_a_row(spark):
     plan = detect.flat_matches(detect.detect(logs))._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Filter" in line and "RLIKE" in line.upper()] and "RLIKE" in plan.upper()
     assert detect.detect(logs.withColumn("detections", F.lit(1))).columns.count("detections") == 1
+
+
+def test_payload_is_written_once(monkeypatch):
+    from lograil.functions import decode
+
+    made = []
+    monkeypatch.setattr(decode, "_dumped", lambda v: made.append(v) or "x")
+    monkeypatch.setattr(decode.json, "dumps", lambda *a, **k: made.append(a))
+    assert decode._payload('{"b": 1, "_storage": {"x": 2}}') == "x" and made == [{"b": 1}]
+    monkeypatch.undo()
+    assert decode._payload('{"b": [1.0, "\\u00e9"], "_storage": 5, "a": 1}') == '{"a":1,"b":[1.0,"é"]}'
+    assert decode._payload('{"a": NaN}') is None and decode._payload("[1]") is None and decode._payload(None) is None
