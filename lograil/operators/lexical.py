@@ -21,6 +21,8 @@ from lograil.sources.scratch import table
 K1, B = 1.2, 0.75
 #: (query, term) pairs of a block, and cells (document, query) that a task adds up at once.
 TERMS, CELLS = 1 << 16, 1 << 21
+#: Pairs of a document's terms and queries, and hits, that a task holds at once; documents whose terms are counted at once.
+PAIRS, HITS, ROWS = 1 << 18, 1 << 17, 1000
 
 
 def terms(col: str) -> Column:
@@ -38,7 +40,7 @@ def counted(corpus: DataFrame, words: list[str], keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(words, pa.string())
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             lists = batch.column(len(keep))
             sizes = np.diff(lists.offsets.to_numpy())
             number = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy()
@@ -75,6 +77,16 @@ def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
     return df
 
 
+def _parts(pairs: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `rows` documents with at most PAIRS pairs together; one with more is alone."""
+    ends, lo = np.cumsum(pairs), 0
+    while lo < len(pairs):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right"))
+        hi = min(lo + rows, max(lo + 1, hi))
+        yield lo, hi
+        lo = hi
+
+
 def _scored(docs: DataFrame, weights: np.ndarray, average: float, asks: list[tuple[int, int, int]], queries: int, k: int) -> DataFrame:
     """q, source_id, score: the k best documents of a task for each query. asks: (term, query, times asked), by number."""
     asks = sorted(asks)
@@ -97,8 +109,12 @@ def _scored(docs: DataFrame, weights: np.ndarray, average: float, asks: list[tup
         waiting = 0
         for whole in batches:
             kind = whole.column(0).type
-            for at in range(0, whole.num_rows, block):
-                batch = whole.slice(at, block)
+            if not whole.num_rows:
+                continue
+            every, many = _flat(whole, "terms")
+            pairs = np.bincount(np.repeat(np.arange(len(many)), many), lows[every + 1] - lows[every], len(many))
+            for at, end in _parts(pairs, block):
+                batch = whole.slice(at, end - at)
                 (term, sizes), (tf, _) = _flat(batch, "terms"), _flat(batch, "counts")
                 row, length = np.repeat(np.arange(len(sizes)), sizes), batch.column("len").to_numpy()
                 part = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / average)) if len(term) else np.empty(0)
@@ -113,7 +129,7 @@ def _scored(docs: DataFrame, weights: np.ndarray, average: float, asks: list[tup
                 names = batch.column(0).to_numpy(zero_copy_only=False)
                 best.append((q, score[r, q], (names.astype(str) if names.dtype == object else names)[r]))
                 waiting += len(r)
-                if waiting > CELLS:
+                if waiting > HITS:
                     cut()
                     waiting = len(best[0][0])
         if best:

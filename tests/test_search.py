@@ -72,3 +72,16 @@ def test_knn_equals_brute_force(spark):
     even = sorted((r.query_id, r.source_id, r.score, r["rank"]) for r in vectors.knn(c, q, 7, where=F.col("source_id") % 2 == 0).collect())
     assert even == nearest([r for r in rows if r[0] is not None and r[0] % 2 == 0], queries, 7, set())
     assert vectors.knn(c.limit(0), q, 3).count() == 0 == vectors.knn(c, q.limit(0), 3).count()
+
+
+def test_bm25_parts_are_bounded_and_change_nothing(spark, monkeypatch):
+    from lograil.operators import lexical
+
+    assert list(lexical._parts(np.array([3, 0, 5]), 2)) == [(0, 2), (2, 3)]
+    monkeypatch.setattr(lexical, "PAIRS", 10)
+    assert list(lexical._parts(np.array([4, 6, 1, 99, 2, 2]), 100)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(f"w{j}" for j in range(i % 9 + 1)) + f" x{i % 4}") for i in range(300)], "source_id string, content string").repartition(2)
+    asked = spark.createDataFrame([(q, f"w{q} x{q % 4} w0 w0") for q in range(12)], "query_id long, text string")
+    few = sorted(map(tuple, lexical.bm25(docs, asked, 5).collect()))
+    monkeypatch.undo()
+    assert few == sorted(map(tuple, lexical.bm25(docs, asked, 5).collect())) and len(few) == 60
