@@ -175,3 +175,16 @@ def test_licenses_of_odd_rows(spark):
     assert by[1, "p/a/LICENSE"] == ("MIT", "own", None) and by[2, "p/a/b/x"] == ("MIT", "inherited", "p/a") == by[5, "p/a/n"] and by[3, "p/c/y"] == (None, "none", None)
     assert by[4, "q/z"][:2] == ("MIT", "own") and by[6, None] == (None, "none", None) and by[7, None][:2] == ("MIT", "own") and by[8, "r/deep/er/y"][1:] == ("inherited", "r")
     assert license.scan(df.limit(0)).count() == 0
+
+
+def test_licenses_that_no_single_line_shows(spark):
+    mit = dict(license.TEXTS)["MIT"].split()
+    file = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    filler = "some words that speak of nothing at all"
+    rows = [(1, f"{filler}\nReleased\nunder the\n\nMIT\nlicense", "a/x"), (2, filler, "a/y"), (3, f"MIT License\n\n{file}", "b/LICENSE"), (4, filler, "b/c/z"),
+        (5, f"{filler}\nThis source code form is subject to the terms of the Mozilla public\n" + f"{filler}\n" * 30, "d/x"), (6, filler, "d/y"), (7, f"{filler}\n" * 2500 + "this work is licensed\nunder the GNU general\npublic license\nversion 3", "e/x")]
+    by = {r.doc_id: (r.license, r.origin, r.from_dir) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert by[1] == ("MIT", "own", None) and by[2] == ("MIT", "inherited", "a")  # wrapped
+    assert by[3] == ("MIT", "own", None) and by[4] == ("MIT", "inherited", "b")  # a whole licence file
+    assert by[5] == ("MPL-2.0", "own", None) and by[6] == (None, "none", None)  # no cue in the line
+    assert by[7] == ("GPL-3.0", "own", None)  # far behind in a long text
