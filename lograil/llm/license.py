@@ -3,7 +3,8 @@
 All in DataFrame operations. Lines that carry a cue of a licence are reduced to their different token sequences, so a
 notice that a third of all documents carry is weighed once; document frequencies are counted over all such lines. By the
 same frequencies are scored: lines without a cue, and runs of lines, as notices are wrapped, against the notices; and
-whole texts, as licence files are, against texts of licences. Of these only those leave their row whose cosine
+whole texts, as licence files are, against texts of licences. Texts that have too little of every template's weight
+are left aside first, in one pass. Of runs and texts only those leave their row whose cosine
 may reach the threshold by the terms that they share with a template, any other term weighing 1 at least. A document
 without a notice of its own takes that of the nearest directory above it that holds a licence file.
 """
@@ -74,6 +75,11 @@ def templates(spark: SparkSession, known: list[tuple[str, str]] = TEMPLATES) ->
     return spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(known)], "template int, license string, notice string").select("template", "license", tokens(F.col("notice")).alias("tokens"))
 
 
+def texts(spark: SparkSession) -> DataFrame:
+    """template, license, tokens of TEXTS, each different token once."""
+    return templates(spark, TEXTS).select("template", "license", F.array_distinct("tokens").alias("tokens"))
+
+
 def frequencies(lines: DataFrame) -> DataFrame:
     """term, df: lines with the term, of distinct token sequences (key, tokens, n), n times each; the null term has their number."""
     terms = lines.select("n", F.explode(F.array_distinct("tokens")).alias("term"))
@@ -126,6 +132,25 @@ def may_reach(toks: Column, known: Column, vocabulary: Column) -> Column:
     return F.exists(once, lambda o: F.exists(known, lambda t: reaches(t, o["met"], o["n"])))
 
 
+def with_mass(keyed: DataFrame, ours: DataFrame) -> DataFrame:
+    """The rows of keyed whose terms in common with one of the weighed templates have THRESHOLD squared of its squared norm: no
+    part of another text reaches it, as a part has no terms that the whole has not. Terms are counted before they are weighed."""
+    least = (THRESHOLD - 1e-6) ** 2
+    squares = F.sort_array(F.transform("terms", lambda x: x["tw"] * x["tw"]), False)
+    nil = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    add = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), (acc["n"] + F.when(acc["sum"] < least * F.col("norm") * F.col("norm"), 1).otherwise(0)).alias("n"))
+    each = _normed(ours).select("norm", "terms", F.transform("terms", lambda x: x["term"]).alias("names"), F.aggregate(squares, nil, add)["n"].alias("need"))
+    packed = each.agg(F.collect_list(F.struct("norm", "terms", "names", "need")).alias("known"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("vocabulary"))
+
+    def heavy(t: Column, met: Column) -> Column:
+        common = F.filter(t["terms"], lambda x: F.array_contains(met, x["term"]))
+        mass = F.aggregate(common, F.lit(0.0), lambda acc, x: acc + x["tw"] * x["tw"])
+        return (F.size(F.array_intersect(met, t["names"])) >= t["need"]) & (mass >= least * t["norm"] * t["norm"])
+
+    once = F.array(F.array_intersect(tokens(F.col("text")), F.col("vocabulary")))
+    return keyed.join(F.broadcast(packed)).where(F.exists(once, lambda met: F.exists("known", lambda t: heavy(t, met)))).drop("known", "vocabulary")
+
+
 def cued_terms(ours: DataFrame) -> str:
     """A pattern of the terms of which each text with a cosine of THRESHOLD to a template has one: so many that those left have
     less than THRESHOLD squared of its squared norm, words of everyday English last."""
@@ -144,23 +169,26 @@ def cued_terms(ours: DataFrame) -> str:
     return f"(?<![a-z])(?:{'|'.join(sorted(out))})"
 
 
+def _normed(ours: DataFrame) -> DataFrame:
+    """norm, terms: one row a template."""
+    return ours.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("norm"), F.collect_list(F.struct("term", "idf", "tw")).alias("terms"))
+
+
 def _packed(ours: DataFrame) -> DataFrame:
     """One row: known and vocabulary, as `may_reach` takes them."""
-    each = ours.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("norm"), F.collect_list(F.struct("term", "idf", "tw")).alias("terms"))
-    return each.agg(F.collect_list(F.struct("norm", "terms")).alias("known"), F.array_distinct(F.flatten(F.collect_list(F.transform("terms", lambda x: x["term"])))).alias("vocabulary"))
+    return _normed(ours).agg(F.collect_list(F.struct("norm", "terms")).alias("known"), F.array_distinct(F.flatten(F.collect_list(F.transform("terms", lambda x: x["term"])))).alias("vocabulary"))
 
 
-def wrapped(keyed: DataFrame, counts: DataFrame) -> DataFrame:
+def wrapped(keyed: DataFrame, ours: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, path, th, words, own_words, license, score of texts with runs of lines, blank ones skipped, that reach THRESHOLD:
     the best run's, and the words of all runs that have no smaller such run in them, each line once. Lines with a cue are no
     runs alone, nor are their words counted here.
 
     A run has SPAN tokens at most: with terms of equal weight a longer one has less than THRESHOLD to any notice.
     """
-    spark = keyed.sparkSession
-    ours = materialize(weighed(templates(spark), counts), "notices-weighed")
     pattern = cued_terms(ours)
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.struct(tokens(x).alias("t"), x.alias("line"))), lambda x: F.size(x["t"]) > 0)
+    lines = F.transform(lines, lambda x: F.struct(x["t"], x["line"], F.rlike(F.array_join(x["t"], " "), F.lit(pattern)).alias("hit")))
     asked = keyed.where(F.lower("text").rlike(pattern)).select("doc_id", "path", "th", lines.alias("ls"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("ls") - 1, F.lit(0)), F.lit(PART))
     parts = asked.where("size(ls) > 0").select("doc_id", "path", "th", F.explode(F.transform(starts, lambda k: F.struct(k.alias("at"), F.slice("ls", k + 1, PART + SPAN).alias("ls")))).alias("p")).select("doc_id", "path", "th", "p.*")
@@ -169,14 +197,14 @@ def wrapped(keyed: DataFrame, counts: DataFrame) -> DataFrame:
     add = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), (acc["n"] + F.when(acc["sum"] + x <= SPAN, 1).otherwise(0)).alias("n"))
     fit = lambda i: F.aggregate(F.slice("sizes", i, SPAN), nil, add)["n"]
     fits = F.transform(F.sequence(F.lit(1), F.least(F.size("ls"), F.lit(PART))), lambda i: F.struct((F.col("at") + i).alias("first"), F.slice("ls", i, fit(i)).alias("ls")))
-    begun = sized.select("doc_id", "path", "th", F.explode(F.filter(fits, lambda x: F.exists(x["ls"], lambda line: F.rlike(F.array_join(line["t"], " "), F.lit(pattern))))).alias("s")).select("doc_id", "path", "th", "s.*")
+    begun = sized.select("doc_id", "path", "th", F.explode(F.filter(fits, lambda x: F.exists(x["ls"], lambda line: line["hit"]))).alias("s")).select("doc_id", "path", "th", "s.*")
     runs = begun.select("doc_id", "path", "th", "first", F.explode(F.transform(F.sequence(F.lit(1), F.size("ls")), lambda n: F.slice("ls", 1, n))).alias("ls"))
     toked = runs.select("*", F.flatten(F.transform("ls", lambda x: x["t"])).alias("tokens")).join(F.broadcast(_packed(ours)))
     likely = toked.where(may_reach(F.col("tokens"), F.col("known"), F.col("vocabulary"))).select(
         "doc_id", "path", "th", "first", (F.col("first") + F.size("ls") - 1).alias("last"), ((F.size("ls") == 1) & F.lower(F.col("ls")[0]["line"]).rlike(CUE)).alias("line"), F.transform("ls", lambda x: word_count(x["line"])).alias("ws"), "tokens", F.sha2(F.array_join("tokens", " "), 256).alias("key")
     )
     likely = materialize(likely.distinct(), "runs")
-    scores = score_lines(likely.groupBy("key").agg(F.first("tokens").alias("tokens")), templates(spark), counts)
+    scores = score_lines(likely.groupBy("key").agg(F.first("tokens").alias("tokens")), templates(keyed.sparkSession), counts)
     each = Window.partitionBy("doc_id", "path", "th")
     inner = F.min("last").over(each.orderBy(F.desc("first"), "last").rowsBetween(Window.unboundedPreceding, -1))
     every = likely.drop("tokens").join(scores, "key")
@@ -187,21 +215,19 @@ def wrapped(keyed: DataFrame, counts: DataFrame) -> DataFrame:
     found = every.where("not line").select("doc_id", "path", "th", F.lit(0).cast("long").alias("own_words"), "license", "score").unionAll(counted)
     best = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license")))
     own = materialize(found.groupBy("doc_id", "path", "th").agg(best.alias("b"), F.sum("own_words").alias("own_words")).select(F.col("doc_id").alias("_i"), F.col("path").alias("_p"), F.col("th").alias("_h"), "own_words", "b.*"), "own-runs")
-    texts = keyed.join(own.select("_h").distinct(), F.col("th") == F.col("_h"), "left_semi").select("doc_id", "path", "th", word_count(F.col("text")).alias("words")).distinct()
-    return texts.join(own, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("path").eqNullSafe(F.col("_p")) & (F.col("th") == F.col("_h"))).select("doc_id", "path", "th", "words", "own_words", "license", "score")
+    sized = keyed.join(own.select("_h").distinct(), F.col("th") == F.col("_h"), "left_semi").select("doc_id", "path", "th", word_count(F.col("text")).alias("words")).distinct()
+    return sized.join(own, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("path").eqNullSafe(F.col("_p")) & (F.col("th") == F.col("_h"))).select("doc_id", "path", "th", "words", "own_words", "license", "score")
 
 
-def whole(keyed: DataFrame, counts: DataFrame) -> DataFrame:
+def whole(keyed: DataFrame, ours: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, path, th, words, own_words, license, score of the whole texts that reach THRESHOLD to the text of a licence; here
     each different term counts once on both sides."""
     once = F.array_distinct(F.col("tokens")).alias("tokens")
-    known = templates(keyed.sparkSession, TEXTS).select("template", "license", once)
-    ours = materialize(weighed(known, counts), "texts-weighed")
     asked = keyed.where(F.lower("text").rlike(cued_terms(ours))).select("doc_id", "path", "th", "text", tokens(F.col("text")).alias("tokens"))
     likely = asked.select("doc_id", "path", "th", "text", once).join(F.broadcast(_packed(ours))).where(may_reach(F.col("tokens"), F.col("known"), F.col("vocabulary")))
     likely = likely.select("doc_id", "path", "th", word_count(F.col("text")).alias("words"), "tokens", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256).alias("key"))
     likely = materialize(likely.dropDuplicates(["doc_id", "path", "th"]), "whole")
-    scores = score_lines(likely.groupBy("key").agg(F.first("tokens").alias("tokens")), known, counts)
+    scores = score_lines(likely.groupBy("key").agg(F.first("tokens").alias("tokens")), texts(keyed.sparkSession), counts)
     return likely.join(scores, "key").select("doc_id", "path", "th", "words", F.col("words").alias("own_words"), "license", "score")
 
 
@@ -238,7 +264,9 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     scores = score_lines(lines, templates(files.sparkSession), counts)
     best = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license")))
     alone = notices.join(scores, "key").select("doc_id", "path", "th", "words", "own_words", "license", "score")
-    every = alone.unionByName(wrapped(keyed, counts)).unionByName(whole(keyed, counts))
+    short, long = (materialize(weighed(known, counts), name) for known, name in ((templates(files.sparkSession), "notices-weighed"), (texts(files.sparkSession), "texts-weighed")))
+    heavy = materialize(with_mass(keyed, short.unionAll(long.withColumn("template", F.col("template") + len(TEMPLATES)))), "with-mass")
+    every = alone.unionByName(wrapped(heavy, short, counts)).unionByName(whole(heavy, long, counts))
     owned = materialize(every.groupBy("doc_id", "path", "th", "words").agg(best.alias("b"), F.sum("own_words").alias("own_words")).select("doc_id", "path", "th", "words", "own_words", "b.*"), "owned")
     is_file = (F.col("own_words") >= FILE_SHARE * F.col("words")) & F.col("path").isNotNull()
     dirs = owned.where(is_file).groupBy(parent(F.col("path")).alias("dir")).agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("path"), F.col("license"))).alias("d")).select("dir", "d.*")

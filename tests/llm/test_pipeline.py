@@ -188,3 +188,16 @@ def test_licenses_that_no_single_line_shows(spark):
     assert by[3] == ("MIT", "own", None) and by[4] == ("MIT", "inherited", "b")  # a whole licence file
     assert by[5] == ("MPL-2.0", "own", None) and by[6] == (None, "none", None)  # no cue in the line
     assert by[7] == ("GPL-3.0", "own", None)  # far behind in a long text
+
+
+def test_licenses_look_closer_at_texts_with_enough_of_a_template_only(spark, monkeypatch):
+    held = []
+    for name in ("wrapped", "whole"):
+        step = getattr(license, name)
+        monkeypatch.setattr(license, name, lambda keyed, *more, _step=step: held.append({r.doc_id for r in keyed.select("doc_id").collect()}) or _step(keyed, *more))
+    bsd = dict(license.TEXTS)["BSD-3-Clause"].split()
+    rows = [(i, f"a file in a library of {n} and other software\nor one of a public source without a name and a version", "a/x") for i, n in enumerate("pqrst")]
+    rows += [(5, "filler\nreleased\nunder the mit\nlicense", "b/x"), (6, " ".join(bsd[: len(bsd) * 9 // 10]), "c/x"), (7, None, "d/x"), (8, "Released under the MIT license", "e/x"), (9, "", "f/x")]
+    got = {r.doc_id: (r.license, r.origin) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert held == [{5, 6, 8}, {5, 6, 8}]
+    assert got == {**{i: (None, "none") for i in (0, 1, 2, 3, 4, 7, 9)}, 5: ("MIT", "own"), 6: ("BSD-3-Clause", "own"), 8: ("MIT", "own")}
