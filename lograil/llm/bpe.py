@@ -176,6 +176,11 @@ class Automaton:
             found.auto, found.live, found.token, found.size = self, live, token, size
         return found
 
+    def empty(self) -> None:
+        """Forget resolved arcs and the transition table."""
+        self.arcs.clear()
+        self._restart()
+
     def _restart(self) -> None:
         for state in self.states.values():
             state.clear()
@@ -257,6 +262,11 @@ class Encoder:
         self.fresh = Chunks
         self.new = Chunks()
 
+    def empty(self) -> None:
+        """Forget what was kept of texts; the compiled merges stay."""
+        self.old, self.new = {}, self.fresh()
+        self.automaton.empty()
+
     def chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """ids and labels of a text without white space."""
         words = [chunk] if chunk.isalpha() else SPLIT.findall(chunk)
@@ -307,23 +317,26 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids as binary if with_ids.
 
-    A map over Arrow batches: no shuffle, and a task holds one batch and its bounded tables. Null and empty texts have no
-    tokens and the hash of nothing; whole texts are read, however long; repeated rows and null ids pass through as they
-    are; other columns are not read. An empty table gives no rows.
+    A map over Arrow batches: no shuffle, and a task holds one batch and its bounded tables, which are emptied at its end.
+    Null and empty texts have no tokens and the hash of nothing; whole texts are read, however long; repeated rows and null
+    ids pass through as they are; other columns are not read. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, max(b.num_rows, 1), 1000)):
-            got = [enc.encode(t) for t in batch.column("text").to_pylist()]
-            cols = [batch.column("doc_id"), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for _, d in got], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array([i for i, _ in got], pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        try:
+            for batch in (b.slice(at, 1000) for b in batches for at in range(0, max(b.num_rows, 1), 1000)):
+                got = [enc.encode(t) for t in batch.column("text").to_pylist()]
+                cols = [batch.column("doc_id"), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for _, d in got], pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    cols.append(pa.array([i for i, _ in got], pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        finally:  # idle workers live on beside the next stage's work
+            enc.empty()
 
     return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 

@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -58,6 +59,18 @@ def test_bpe_tables_that_are_full():
         assert small.encode(text) == large.encode(text)
 
 
+def test_bpe_leaves_nothing_of_texts_in_idle_workers(spark):
+    rows = docs(spark, [f"word{i} and {i * i}" for i in range(400)]).repartition(8)
+    assert bpe.encode(rows, PATH).where("n_tokens > 0").count() >= 400
+
+    def held(batches):
+        for batch in batches:
+            enc = bpe.encoder(PATH)
+            yield pa.RecordBatch.from_arrays([pa.array([len(enc.new) + len(enc.old) + len(enc.automaton.arcs) + len(enc.automaton.states) - 1])], names=["n"])
+
+    assert {r["n"] for r in rows.select("doc_id").mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_blocks_link_as_pairs_do():
     rng = np.random.default_rng(3)
     for _ in range(60):
